@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, decontam, licenses, media, neardup, quality, spm, tokenbin, toxicity
+from . import counts, decontam, licenses, lm, media, neardup, quality, spm, tokenbin, toxicity
 from .text import table
 
 
@@ -19,6 +19,10 @@ def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.posterior(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bayes, op3_order_minhash, op4_token_codes, op5_audio_features, op6_token_counts, op7_string_tiling, op8_toxicity_lexicon, op9_licence_rules, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_quality_bayes, op2_maxent_scores, op3_order_minhash, op4_token_codes, op5_audio_features, op6_token_counts, op7_string_tiling, op8_toxicity_lexicon, op9_licence_rules, op10_sentencepiece)}
 ORACLES = {"op9_licence_rules": licenses.scan_sql()}
