@@ -7,7 +7,7 @@ toxic and other texts; entries must beat chance at one in as many as were tried.
 exception phrases don't count. Distinct matched weights are summed, divided by a power of the
 length, and a logistic curve, fitted on the same labelled rows, gives the score.
 
-Training reads at most ``TRAIN_ROWS`` labelled rows (by least hash of doc_id; exact copies once);
+Training reads at most ``TRAIN_ROWS`` labelled rows (a share by hash of doc_id; exact copies once);
 everything else covers all rows. null and empty texts score like texts without a match.
 Repeated rows: each gives its own. Without labels of both kinds the lexicon is empty and every score is 0.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import materialize, slices
 
 TRAIN_ROWS = 200_000
 #: Most lexicon entries; they are broadcast.
@@ -114,15 +114,23 @@ def features(folded: str) -> set[str]:
     return out
 
 
-def learn(rows: DataFrame, *, most: int = TRAIN_ROWS, entries: int = ENTRIES) -> Lexicon:
-    """A lexicon from (doc_id, text, toxic); null labels are left out. Every count is a Spark aggregation."""
-    rows = rows.filter(F.col("toxic").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    slot = 1_000_000_000
-    n = rows.count()
-    if n > most:  # the same share of every kind of row; the bound holds to a few in a thousand
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slot)) < int(slot * most / n))
-    once = rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
-    rows = rows.join(once, ["doc_id", "toxic"], "left_semi")
+def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``most`` labelled rows whose crc32(doc_id as text) mod 4 isn't 2, exact copies once.
+
+    Which rows these are is found without their texts; they then come by a broadcast of their ids, which ``most`` bounds.
+    """
+    marks = labels.select("doc_id", "toxic").na.drop().filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(marks, "doc_id")
+    once = materialize(slim.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct())
+    n = once.count()
+    if n > most:  # the same share of every kind of row
+        slot = 1_000_000_000
+        once = once.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slot)) < int(slot * most / n)).limit(most)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(once), "doc_id")
+
+
+def learn(rows: DataFrame, *, entries: int = ENTRIES) -> Lexicon:
+    """A lexicon from ``training``'s rows. Every count is a Spark aggregation."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: tuple[dict, dict] = ({}, {})
@@ -149,8 +157,6 @@ def learn(rows: DataFrame, *, most: int = TRAIN_ROWS, entries: int = ENTRIES) ->
 
     counts = rows.select("text", "toxic").mapInArrow(count, "entry string, toxic int, n long").groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
     counts = counts.filter((F.col("t") >= LEAST_TEXTS) & (F.col("t") >= PURITY * (F.col("t") + F.col("o"))) | (F.col("entry") == ""))
-    from .text import materialize
-
     counts = materialize(counts)
     total = counts.filter("entry = ''").select("t", "o").first()
     if not total or not total.t or not total.o:
@@ -229,9 +235,3 @@ def drop_toxic(docs: DataFrame, lex: Lexicon, limit: float = LIMIT) -> DataFrame
             yield b.filter(pa.array(score(b.column(at).to_pylist()) < limit))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows whose crc32(doc_id as text) mod 4 isn't 2."""
-    own = labels.select("doc_id", "toxic").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(own, "doc_id")
