@@ -99,3 +99,29 @@ def test_stream_equals_batch(spark, tmp_path):
     closed = sorted(tuple(r) for r in spark.table("bars_out").collect())
     batch = sorted(tuple(r) for r in daily_bars(spark.read.parquet(str(tmp_path / "in"))).collect())
     assert closed and set(closed) <= set(batch)
+
+
+def test_momentum_score(spark):
+    from shoal.operators import research
+
+    names = "ma5 ma20 ma60 close dif dea chg volume vol_ma5 high20 rsi"
+    rows = [(3.0, 2.0, 1.0, 4.0, 0.2, 0.1, 2.0, 2.0, 1.0, 4.0, 60.0), (1.0, 2.0, 3.0, 1.0, 0.0, 0.1, 0.0, 1.0, 1.0, 4.0, 90.0), (None,) * 11, (1.0, 2.0, 3.0, 4.0, -0.1, -0.2, 0.0, 1.0, 1.0, 9.0, 40.0)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names.split()))
+    assert [r[0] for r in df.select(research.momentum_score().alias("s")).collect()] == [85, 0, 0, 25]
+
+
+def test_research_edges(spark):
+    from pyspark.sql import functions as F
+
+    from shoal.operators import research
+
+    tall = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 1, "y", 2.0), ("b", 1, "x", 3.0), ("b", 1, "y", None)], "factor string, dt int, code string, value double")
+    assert [tuple(r) for r in research.pair_correlations(tall).collect()] == [("a", "b", 1, 0.0)]
+    assert research.pair_correlations(tall.limit(0)).count() == 0
+    evals = spark.createDataFrame([("a", 1, -1.0, 1.0), ("a", 2, 1.0, 1.0), ("b", 1, None, 1.0), ("c", 1, 1.0, -1.0)], "factor string, run_at int, net_ir double, stability double")
+    active = spark.createDataFrame([(f,) for f in "abcda"], "factor string")
+    assert {tuple(r) for r in research.demotions(active, evals).collect()} == {("a", None), ("b", "net_ir"), ("c", "stability"), ("d", None)}
+    ends = spark.sql("select date'2024-02-10' as f, date'2024-07-01' as l").select(research.quarters(F.col("f"), F.col("l")).alias("q")).first().q
+    assert [str(d) for d in ends] == ["2024-03-31", "2024-06-30", "2024-09-30"]
+    series = spark.createDataFrame([("a", k, float(k)) for k in range(3)], "code string, dt int, x double")
+    assert research.stability(series, "code", "x", window=4).count() == 0
