@@ -58,9 +58,9 @@ def report_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SW}, c AS (SELECT DISTINCT dt FROM p ORDER BY dt DESC LIMIT 20)
- SELECT code, round(avg(amount), 2) AS amount FROM p WHERE dt IN (SELECT dt FROM c) GROUP BY code HAVING avg(amount) >= 40000""")
+ SELECT code, round(avg(amount), 6) AS amount FROM p WHERE dt IN (SELECT dt FROM c) GROUP BY code HAVING avg(amount) >= 40000""")
 def liquid_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return research.liquid_recently(B.panel(spark, sf_dir, "sw"), 20, 40000.0).select("code", F.round("amount", 2).alias("amount"))
+    return research.liquid_recently(B.panel(spark, sf_dir, "sw"), 20, 40000.0).select("code", r6("amount").alias("amount"))
 
 
 @query("SELECT s_nationkey, s_suppkey, round(abs(s_acctbal) / nullif(sum(abs(s_acctbal)) OVER (PARTITION BY s_nationkey), 0), 6) AS weight FROM supplier")
@@ -90,6 +90,8 @@ def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(B.table(spark, sf_dir, "lineitem").agg(F.count("*").alias("lines")))
 
 
-@query("""SELECT o_orderdate::DATE AS run_date, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1""")
+@query("""SELECT o_orderdate::DATE AS run_date, count(*) AS n, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE / count(*) AS mean FROM orders GROUP BY 1""")
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("run_date")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean")).orderBy(F.desc("run_date"))
+    """The mean comes from an exact sum of cents, as a rounded mean of cents has ties."""
+    mean = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")
+    return B.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("run_date")).agg(F.count("*").alias("n"), mean.alias("mean")).orderBy(F.desc("run_date"))
