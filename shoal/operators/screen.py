@@ -62,8 +62,9 @@ def capped_top(scored: DataFrame, top: int, cap: int) -> DataFrame:
 
 def composite(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(code, score, reasons): weighted z-scores of the cross-section, and the three largest contributions."""
-    one = Window.partitionBy(F.lit(1))
-    z = {f: F.coalesce(F.try_divide(F.col(f) - F.avg(f).over(one), F.nullif(F.stddev_samp(f).over(one), F.lit(0.0))), F.lit(0.0)) * w for f, w in weights.items()}
+    stats = rows.agg(*(g(f).alias(f"_{k}_{f}") for f in weights for k, g in (("m", F.avg), ("s", F.stddev_samp))))
+    rows = rows.crossJoin(F.broadcast(stats))  # one row
+    z = {f: F.coalesce(F.try_divide(F.col(f) - F.col(f"_m_{f}"), F.nullif(F.col(f"_s_{f}"), F.lit(0.0))), F.lit(0.0)) * w for f, w in weights.items()}
     parts = F.array(*(F.struct((-F.abs(c)).alias("k"), F.lit(f).alias("f"), c.alias("c")) for f, c in z.items()))
     x = rows.select("code", parts.alias("p"))
     reasons = F.transform(F.slice(F.array_sort("p"), 1, 3), lambda s: F.format_string("%s(%+.1f)", s["f"], s["c"]))
@@ -89,3 +90,11 @@ def outcomes(picks: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     out = entry.withColumn("ord", F.col("ord") + n).join(b.select("code", "ord", "close"), ["code", "ord"], "left")
     ret = F.when(F.col("open") > 0, F.bround((F.col("close") / F.col("open") - 1) * 100, 2))
     return picks.join(out.select("run_date", "code", ret.alias("ret")), ["run_date", "code"], "left")
+
+
+def funnel(codes: DataFrame, bars: DataFrame, days: int, rows: int, window: int, lim: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """(code flags, picks): hard, live and liquid of every code (code, industry, score, fundamentals), and the capped best of those that pass all."""
+    x = codes.withColumn("hard", F.size(failures(lim)) == 0)
+    for name, ok in (("live", live(bars, days)), ("liquid", liquid(bars, rows, window, lim.min_amount))):
+        x = x.join(ok.select("code", F.lit(True).alias(name)), "code", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return x, capped_top(x.filter("hard and live and liquid").select("code", "industry", "score"), lim.top, lim.cap)

@@ -72,11 +72,12 @@ def simulate(rows: pd.DataFrame, top: int, horizon: int, stop: float, profit: fl
 
 
 def backtest(signals: DataFrame, prices: DataFrame, runs: list[dict], capital: float = 1e6) -> DataFrame:
-    """(run_id, dt, eq, cash, positions, trades) of every run. signals: (dt, code, pick, enter), pick 1 the best, for the date it trades on.
-    runs: dicts of run_id, top, horizon, stop, profit, trail."""
-    own = prices.join(signals.select("code").distinct(), "code", "left_semi").join(signals, ["dt", "code"], "left").withColumn("enter", F.coalesce("enter", F.lit(False)))
+    """(run_id, dt, eq, cash, positions, trades) of every run. signals: (dt, code, pick, enter), pick 1 the best, for the date it trades on;
+    with a run_id of their own, or the same for all runs. runs: dicts of run_id, top, horizon, stop, profit, trail."""
     spec = {r["run_id"]: r for r in runs}
-    keyed = own.withColumn("run_id", F.explode(F.array(*(F.lit(r) for r in spec))))
+    if "run_id" not in signals.columns:
+        signals = signals.withColumn("run_id", F.explode(F.array(*(F.lit(r) for r in spec))))
+    keyed = prices.join(signals.select("run_id", "code").distinct(), "code").join(signals, ["run_id", "dt", "code"], "left").withColumn("enter", F.coalesce("enter", F.lit(False)))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         r = spec[key[0]]

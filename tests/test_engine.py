@@ -125,3 +125,38 @@ def test_research_edges(spark):
     assert [str(d) for d in ends] == ["2024-03-31", "2024-06-30", "2024-09-30"]
     series = spark.createDataFrame([("a", k, float(k)) for k in range(3)], "code string, dt int, x double")
     assert research.stability(series, "code", "x", window=4).count() == 0
+
+
+def test_quotes_short_lines_blank_prices_and_bad_numbers(spark):
+    from shoal.sources import quotes
+
+    body = ["" for _ in range(quotes.LEAST)]
+    body[1], body[3], body[36], body[39], body[45] = "One", "2.5", "7", "-", "0"
+    none = [*body]
+    none[3] = ""
+    text = f'v_sh600001="{"~".join(body)}";\nv_sz000002="{"~".join(none)}";v_sz000003="a~b";'
+    got = quotes.parse(spark.createDataFrame([(text,), (None,), ("",)], "text string")).collect()
+    assert [(r["code"], r["name"], r["price"], r["volume"], r["amount"], r["pe"], r["total_mv"]) for r in got] == [("600001", "One", 2.5, 700.0, 0.0, None, None)]
+
+
+def test_selection_queries_choose_factors(spark):
+    import __spark_entry__ as entry
+
+    q, sf = entry.queries(), "/root/testdata/sf0.001"
+    signals = q["technical_score"](spark, sf).collect()
+    assert signals and all(r["score"] > {"momentum": 25, "reversal": 40}[r["strategy"]] and r["score"] <= 100 for r in signals)
+    mined = sorted(q["mine_factors"](spark, sf).collect())
+    assert mined and [r["sharpe"] for r in mined] == sorted(r["sharpe"] for r in mined)
+    # the second factor must raise what the first gives alone
+    assert len({r["factor"] for r in mined}) == len(mined)
+    chosen = [r["factor"] for r in q["greedy_select"](spark, sf).collect()]
+    assert len(chosen) == len(set(chosen))
+    walk = q["walk_forward_sim"](spark, sf).collect()
+    assert walk and sum(r["trades"] for r in walk) > 0 and max(r["positions"] for r in walk) <= 5
+
+
+def test_guard_of_no_evaluations(spark):
+    from shoal.operators import selection
+
+    none = spark.createDataFrame([], "factor string, run_at int, net_ir double, stability double")
+    assert selection.guard(none).first().asDict() == {"bad": 0, "warn": 0, "names": ""}
