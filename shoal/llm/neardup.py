@@ -5,11 +5,11 @@ k-mers are its windows of ``K`` words (lower case, ASCII punctuation parts words
 occurrence number. For each of ``SKETCHES`` seeds the ``MINIMA`` least hashes are taken and hashed
 in text order, so texts that agree in a sketch share these k-mers in the same order. Texts
 that share a sketch are compared with the leader of their group (the least id), so a group of copies
-costs one comparison per member. Members that don't match it, such as texts with a common
-passage, are sketched again by ``DEEP_SKETCHES`` sketches of ``DEEP_MINIMA`` k-mers, which a mere passage
-seldom shares whole and texts with four fifths of their k-mers in common do (all but one pair in a
-thousand); in those groups the rest meets further leaders, ``GROWTH`` times as many each round, until
-none is left. A pair is a link if the edit
+costs one comparison per member. Where a group still has rows of several components, linked with the
+leader or not, all its pairs of two components are bounded from below by hashed bags of words, which
+leaves out no similar pair; those within the bound are verified, the likeliest first and ``GROWTH`` times as
+many each round, until every pair is decided or of one component. The rows of such groups also meet by
+``DEEP_SKETCHES`` sketches of ``DEEP_MINIMA`` k-mers. A pair is a link if the edit
 similarity of its words, 1 - distance / words of the longer, is ``SIMILAR`` or more; the distance is
 found by alignment in a band no wider than that allows. Classes are the connected components of
 links and copies, found by label propagation over written tables.
@@ -21,21 +21,24 @@ read. Class ids are the least doc_id of the class.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import NOT_WORD, flat, materialize, mix, slices, span_hash, spans
 
 K, SKETCHES, MINIMA, SIMILAR = 5, 48, 3, 0.8
-#: Deeper sketches, for texts that share one with others than the leader of their group.
+#: Deeper sketches beside the others, for texts in groups of several components.
 DEEP_SKETCHES, DEEP_MINIMA = 64, 10
-#: How many times as many leaders each further round has: few rounds, and rows left x leaders pairs at most in each.
+#: How many times as many pairs of two components each further round verifies at most.
 GROWTH = 16
+#: Rows of a bucket that meet at once, and hashes of words by which their distance is bounded.
+BLOCK, BINS = 1024, 128
 STRIDE = 16
 _B = np.uint64(0x100000001B3)
 
@@ -237,37 +240,100 @@ def word_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, words binary")
 
 
+def bags(words: DataFrame) -> DataFrame:
+    """(id, bag): how many words of a text have each of ``BINS`` hashes, a byte each, 255 at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "words"):
+            data, offs = flat(b.column(1))
+            counts = np.diff(offs) // 8
+            place = np.repeat(np.arange(len(counts)) * BINS, counts) + (np.frombuffer(data.tobytes(), np.uint64) % np.uint64(BINS)).astype(np.int64)
+            raw = np.minimum(np.bincount(place, minlength=len(counts) * BINS), 255).astype(np.uint8).tobytes()
+            yield pa.record_batch({"id": b.column(0), "bag": pa.array([raw[k : k + BINS] for k in range(0, len(raw), BINS)], pa.binary())})
+
+    return words.select("id", "words").mapInArrow(run, "id long, bag binary")
+
+
+def apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, id, n, root, size) of buckets whose rows are of several components; of buckets with the same rows, one."""
+    rows = rows.select("bucket", "id", "n").join(groups, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    many = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).filter("lo <> hi")
+    return rows.join(many.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "bucket")
+
+
+def near(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, lo, hi, gap) of all pairs of a bucket that are of two components, lo and hi, and may be similar.
+
+    Large buckets meet block by block. ``gap`` is a bound of the distance from below: the words not in
+    common after they are hashed into ``BINS``, so no similar pair is left out.
+    """
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    # a block meets itself once, so rows of one block and another have keys of their own
+    key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = own.select(key.alias("key"), side.alias("side"), "id", "n", "root", "bag").repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in itertools.chain(batches, [None]):
+            held += [] if b is None else [b]
+            if not sum(h.num_rows for h in held):
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key, side, ids, n, root = (t.column(k).to_numpy() for k in range(5))
+            bag = np.frombuffer(flat(t.column(5))[0].tobytes(), np.uint8).reshape(-1, BINS)
+            n, total = n.astype(np.int64), bag.sum(1, dtype=np.int64)
+            edge = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, *([len(key)] if b is None else [])]
+            got: list[tuple] = []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                met = lo + np.flatnonzero(side[lo:hi] == 1)
+                for p in range(lo, hi) if side[lo] == 2 else (lo + np.flatnonzero(side[lo:hi] == 0)).tolist():
+                    q = np.arange(p + 1, hi) if side[lo] == 2 else met
+                    q = q[root[q] != root[p]]
+                    most = (np.maximum(n[q], n[p]) * (1 - least) + 1e-9).astype(np.int64)
+                    fit = np.abs(n[q] - n[p]) <= most
+                    q, most = q[fit], most[fit]
+                    gap = np.maximum(total[q], total[p]) - np.minimum(bag[q], bag[p]).sum(1, dtype=np.int64)
+                    q, gap = q[gap <= most], gap[gap <= most]
+                    if len(q):
+                        got.append((np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p]), np.minimum(root[q], root[p]), np.maximum(root[q], root[p]), gap))
+                if got and (hi == edge[-1] or len(got) > BLOCK):
+                    yield pa.record_batch(dict(zip(("a", "b", "lo", "hi", "gap"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
+                    got = []
+            if got:
+                yield pa.record_batch(dict(zip(("a", "b", "lo", "hi", "gap"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
+            held = t.slice(int(edge[-1])).to_batches()
+
+    return dealt.mapInArrow(run, "a long, b long, lo long, hi long, gap long")
+
+
 def links(docs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b) of links between different texts: enough to connect all that share a sketch and are similar."""
-    spark = docs.sparkSession
-    left = materialize(buckets(texts))
-    wanted = materialize(left.select("id").distinct().join(texts.select("id", "doc_id"), "id"))
+    """(a, b) of edges between different texts that connect all that share a sketch and are similar."""
+    rows = materialize(buckets(texts))
+    wanted = materialize(rows.select("id").distinct().join(texts.select("id", "doc_id"), "id"))
     words = materialize(word_table(docs, wanted).dropDuplicates(["id"]))
-    found, done, leaders, deep = spark.createDataFrame([], "a long, b long"), None, 1, False
-    while not left.isEmpty():
-        if leaders == 1:
-            pairs = left.filter("id <> leader").select("bucket", "id", "n", "leader", "leader_n")
-        else:  # the least ``leaders`` ids of a bucket's rest; every other row meets each of them
-            head = left.filter(f"rank <= {leaders}").select("bucket", F.col("id").alias("leader"), F.col("n").alias("leader_n"))
-            pairs = left.join(head, "bucket").filter("id <> leader")
-        pairs = pairs.filter(F.least("n", "leader_n") >= F.greatest("n", "leader_n") * least - 1e-9)
-        pairs = materialize(pairs.select("bucket", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-        todo = pairs.select("a", "b").distinct()
-        fresh = todo if done is None else todo.join(done, ["a", "b"], "left_anti")
-        checked = materialize(verify(fresh, words, least))
-        done = checked if done is None else done.unionByName(checked)
-        found = found.unionByName(checked.filter("link").select("a", "b"))
-        # a row is settled once it has led, or is linked with a leader of its bucket
-        linked = pairs.join(done.filter("link").select("a", "b"), ["a", "b"], "left_semi").select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
-        rest = left.filter("id <> leader" if leaders == 1 else f"rank > {leaders}").select("bucket", "id", "n").join(linked, ["bucket", "id"], "left_anti")
-        rest = materialize(rest)
-        many = rest.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-        left = rest.join(many, "bucket", "left_semi")
-        if not deep:
-            left, deep = materialize(deep_buckets(words.join(left.select("id").distinct(), "id", "left_semi"))), True
-            continue
-        left = materialize(left.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))))
-        leaders *= GROWTH
+    pairs = rows.filter("id <> leader").filter(F.least("n", "leader_n") >= F.greatest("n", "leader_n") * least - 1e-9)
+    done = materialize(verify(pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), words, least))
+    groups = materialize(components(done.filter("link").select("a", "b")))
+    found = groups.select(F.col("root").alias("a"), F.col("id").alias("b"))
+    # the pairs that leaders don't decide: rows of a bucket in different components, linked with the leader or not
+    left = materialize(apart(rows, groups))
+    words = materialize(words.join(left.select("id").distinct(), "id", "left_semi"))
+    left = left.unionByName(apart(deep_buckets(words), groups))
+    todo = materialize(near(left.join(bags(words), "id"), least).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    most = 1
+    while not todo.isEmpty():
+        # the likeliest pairs of each two components first; once these are one, the others need no look
+        best = todo.groupBy("lo", "hi", F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("part")).agg(F.min(F.struct("gap", "a", "b")).alias("p"))
+        checked = materialize(verify(best.select("p.a", "p.b"), words, least))
+        linked = checked.filter("link").select("a", "b")
+        found = found.unionByName(linked)
+        name = materialize(components(todo.join(linked, ["a", "b"], "left_semi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))))
+        todo = todo.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        for c in ("lo", "hi"):
+            todo = todo.join(name.select(F.col("id").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        todo = todo.filter("lo <> hi").select("a", "b", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "gap")
+        todo, most = materialize(todo), most * GROWTH
     return found
 
 

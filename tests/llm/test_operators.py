@@ -163,6 +163,47 @@ def test_near_duplicates(spark):
     assert neardup.classes(docs_of(spark, [])).count() == 0
 
 
+def near_groups(texts):
+    """The components of all pairs by brute force, as the least place of each."""
+    w = [np.array([zlib.crc32(x.encode()) for x in t.split()], np.int64) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.similar(w[i], w[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_chains_and_groups_beyond_a_leader(spark):
+    r = random.Random(11)
+
+    def edited(words, k, tag):
+        words = list(words)
+        begin = 30  # the tail of the text is common to all, so they share sketches
+        for i in r.sample(range(begin), k):
+            words[i] = f"{tag}x{i}"
+        return words
+
+    chain, texts = [f"c{i}" for i in range(100)], []
+    first = edited(chain, 18, "l")
+    middle = chain
+    last = edited(chain, 18, "b")
+    texts += [first, middle, last]
+    # not the leader's: 2 and 3 are similar, and only by the middle ones connected with 0
+    groups = [[f"g{g}w{i}" for i in range(100)] for g in range(3)]
+    for g, base in enumerate(groups):
+        texts += [edited(base, r.choice([10, 11, 12, 15]), f"e{g}v{k}") for k in range(14)]
+    passage = [f"p{i}" for i in range(70)]
+    texts += [[f"o{k}w{i}" for i in range(30)] + passage for k in range(12)]
+    texts += [edited(t[:30], 8, "z") + t[30:] for t in texts[-4:]]
+    texts = [" ".join(t) for t in texts]
+    for order in (texts, texts[::-1]):
+        want = near_groups(order)
+        got = rows(neardup.classes(docs_of(spark, order)))
+        assert [got[i].class_id for i in range(len(order))] == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (9, 3), (5, 6), (7, 7)], "a long, b long")
     assert {r.id: r.root for r in neardup.components(edges).collect()} == {2: 1, 3: 1, 9: 1, 6: 5}
