@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line ends and after . ! ? with white space; each sentence is
-normalised (lower case, runs of other characters than a-z and 0-9 become one blank) and looked
+A text is cut into sentences after . ! ? with white space or a line end, at blank lines, list items
+and colons that end a line. Comment signs at line starts don't count. A sentence is looked up whole, over
+wrapped lines, and where it isn't known, line by line; for that it is normalised (lower case, runs of other characters than a-z and 0-9 become one blank) and looked
 up among the known licence sentences. The identifiers found, in text order, are matched against
 rules: a rule holds where its identifiers occur in its order, other known sentences between them
 allowed. All of it is row-wise Spark SQL, so nothing is shuffled and a hot licence costs nothing.
@@ -12,6 +13,8 @@ than once in a text is reported once. Other columns aren't read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,20 @@ SENTENCES = {
     "cc-by-sa-name": "licensed under cc by sa 4 0",
     "reserved": "all rights reserved",
 }
+_GRANT = ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+_GPL = ", either version {} of the License, or (at your option) any later version"
+_PLAIN = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+#: Whole sentences of the licences where SENTENCES has their beginnings or parts, and the identifiers that they stand for.
+WHOLE = {
+    SENTENCES["apache-name"] + " the license " + SENTENCES["apache-may-not"]: ["apache-name", "apache-may-not"],
+    SENTENCES["apache-name"] + " the license": ["apache-name"],
+    SENTENCES["apache-copy"].replace("http", "https"): ["apache-copy"],
+    SENTENCES["mit-grant"] + " " + _PLAIN(_GRANT): ["mit-grant"],
+    SENTENCES["mit-as-is"] + " " + _PLAIN("including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"): ["mit-as-is"],
+    **{SENTENCES["gpl-free"] + " " + _PLAIN(_GPL.format(v)): ["gpl-free"] for v in (2, 3)},
+    SENTENCES["gpl-hope"] + " " + _PLAIN("without even the implied warranty of merchantability or fitness for a particular purpose"): ["gpl-hope"],
+    **{f"this {x} is {y} under the mit license": ["mit-name"] for x in ("file", "code", "software", "project", "program", "library", "package", "work") for y in ("released", "licensed", "distributed")},
+}
 #: Rule name, licence, identifiers in order.
 RULES = [
     ("apache-2.0-name", "apache-2.0", ["apache-name"]),
@@ -53,6 +70,8 @@ RULES = [
 ]
 #: Where a sentence ends; longer ones than any known sentence aren't looked up.
 CUT = "[.!?]+[ \\t\\r]+|[.!?]*\\n+"
+#: Stands for a line end within a sentence.
+WRAP = "\x01"
 
 
 def pattern(ids: list[str]) -> str:
@@ -63,24 +82,40 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def identifiers(text: Column, sentences: dict[str, str]) -> Column:
+def unwrapped(text: Column) -> Column:
+    """The text without comment signs at line starts; ``WRAP`` for the line ends that don't end a sentence."""
+    for find, put in (
+        ("\\r\\n", "\n"),
+        ("(?m)^[ \\t]*(?:<!--|-->|/\\*+|\\*+/|\\*+|//+|#+|;+|--+|%+|(?:dnl|rem|REM)(?=[ \\t]|$))?[ \\t]*", ""),
+        ("\\n\\n+(?=https?://)", WRAP),  # an address set apart belongs to its sentence
+        ("(?m)^(?:[-•*]|\\(?[0-9]{1,2}[.)]|\\(?[a-z][.)])[ \\t]+", "\n\n"),
+        (":[ \\t]*\\n", "\n\n"),
+        ("(?<![\\n.!?])\\n(?!\\n)", WRAP),
+    ):
+        text = F.regexp_replace(text, find, put)
+    return text
+
+
+def identifiers(text: Column, sentences: dict[str, str], whole: dict[str, list[str]]) -> Column:
     """The known identifiers of a text in order, each between bars."""
-    longest = max(map(len, sentences.values())) * 2
-    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (s, f"|{i}|")))
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), CUT), lambda s: F.length(s).between(min(map(len, sentences.values())), longest))
-    return F.array_join(F.filter(F.transform(parts, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull()), "")
+    table = {s: f"|{i}|" for i, s in sentences.items()} | {s: "".join(f"|{i}|" for i in ids) for s, ids in whole.items()}
+    low, high = min(map(len, table)), max(map(len, table)) * 2
+    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    look = lambda s: F.when(F.length(s).between(low, high), F.try_element_at(known, normalised(s)))
+    parts = F.filter(F.split(unwrapped(F.coalesce(text, F.lit(""))), CUT), lambda s: F.length(s) >= low)
+    return F.array_join(F.transform(parts, lambda s: F.coalesce(look(s), F.array_join(F.transform(F.split(s, WRAP), look), ""))), "")
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES, whole: dict[str, list[str]] = WHOLE) -> DataFrame:
     """(doc_id, rule, license, sentences) of every rule that a text fulfils."""
     table = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit(pattern(ids)).alias("pattern")) for n, lic, ids in rules))
-    seq = docs.select("doc_id", identifiers(F.col("text"), sentences).alias("sentences")).filter(F.col("sentences") != "")
+    seq = docs.select("doc_id", identifiers(F.col("text"), sentences, whole).alias("sentences")).filter(F.col("sentences") != "")
     hit = seq.select("doc_id", "sentences", F.explode(table).alias("r"))
     return hit.filter(F.expr("sentences like r.pattern")).select("doc_id", "r.rule", "r.license", "sentences")
 
 
 def scan_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL for texts whose sentences have a line each or share one; not for wrapped or commented ones and ``WHOLE``."""
     low, high = min(map(len, sentences.values())), max(map(len, sentences.values())) * 2
     known = ", ".join(f"('{s}', '|{i}|')" for i, s in sentences.items())
     table = ", ".join(f"('{n}', '{lic}', '{pattern(ids)}')" for n, lic, ids in rules)

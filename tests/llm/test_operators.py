@@ -277,6 +277,32 @@ def test_licences(spark):
     assert got == [(2, "mit-name"), (3, "mit-text"), (5, "apache-2.0-name")]
 
 
+def test_real_licences_wrapped_and_commented(spark):
+    import textwrap
+
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"]
+    mit += ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."]
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."]
+    bsd += ["2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    gpl = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."]
+    gpl += ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."]
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0"]
+    apache += ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."]
+    want = [{"mit-text"}, {"bsd-2-text", "bsd-3-text"}, {"gpl-notice"}, {"apache-2.0-name", "apache-2.0-header"}]
+    for width in (72, 10_000):
+        for sign in ("", "# ", "// ", " * ", "-- "):
+            texts = []
+            for blocks in (mit, bsd, gpl, apache):
+                plain = "\n\n".join("\n".join(textwrap.wrap(b, width, initial_indent=" " * (len(b) - len(b.lstrip())))) for b in blocks)
+                texts.append("\n".join((sign + x).rstrip() for x in plain.split("\n")) + "\n\ncode = 1\n")
+            got = [set() for _ in texts]
+            for r in licenses.scan(docs_of(spark, texts)).collect():
+                got[r.doc_id].add(r.rule)
+            assert got == want, (width, sign)
+    got = licenses.scan(docs_of(spark, ["This file is released under the MIT License.", "A line\nAll rights reserved\nmore", "No license here"])).collect()
+    assert sorted((r.doc_id, r.rule) for r in got) == [(0, "mit-name"), (1, "reserved")]
+
+
 def test_words_are_bytes_between_white_space():
     column = pa.array(["a B\x0bc", None, "", " x", "longer-than-eight-bytes y", "é\xa0é"])
     h, n = text.words(column)
