@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import NOT_WORD, flat, materialize, mix, slices, span_hash, spans
@@ -160,6 +160,12 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
 TEXT = "t1 long, t2 long"
 
 
+def text_keys() -> tuple[Column, Column]:
+    """The 128-bit hash of a text, null as empty."""
+    x = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(x), F.xxhash64(F.lit(1), x)
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, n, sketch) of every row: the text's hash, its words, and its sketches packed as bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -167,9 +173,6 @@ def copies(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             column = b.column(1).fill_null("")
-            data, offs = flat(column)
-            t1 = span_hash(data, offs[:-1], offs[1:])
-            t2 = span_hash(data[::-1], len(data) - offs[1:], len(data) - offs[:-1])
             data, offs = flat(pc.utf8_lower(column))
             starts, ends, counts = spans(data, offs, NOT_WORD)
             h, own = kmers(span_hash(data, starts, ends), counts)
@@ -177,9 +180,10 @@ def copies(docs: DataFrame) -> DataFrame:
             packed, at = [b""] * len(counts), np.flatnonzero(own > 0)
             for r, row in zip(at.tolist(), s, strict=True):
                 packed[r] = row.tobytes()
-            yield pa.record_batch({"doc_id": b.column(0), "t1": pa.array(t1.view(np.int64)), "t2": pa.array(t2.view(np.int64)), "n": pa.array(counts, pa.int32()), "sketch": pa.array(packed, pa.binary())})
+            yield pa.record_batch({"doc_id": b.column(0), "t1": b.column(2), "t2": b.column(3), "n": pa.array(counts, pa.int32()), "sketch": pa.array(packed, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {TEXT}, n int, sketch binary")
+    x, y = text_keys()
+    return docs.select("doc_id", "text", x.alias("t1"), y.alias("t2")).mapInArrow(run, f"doc_id {kind}, {TEXT}, n int, sketch binary")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -226,8 +230,9 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def word_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, words) of the wanted (doc_id, id): word hashes packed as bytes."""
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("id", "text")
+    """(id, words) of the wanted (t1, t2, id): word hashes packed as bytes."""
+    x, y = text_keys()
+    rows = docs.select("doc_id", "text", x.alias("t1"), y.alias("t2")).join(wanted, (F.col("doc_id").eqNullSafe(F.col("copy_of"))) & (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -310,7 +315,7 @@ def near(rows: DataFrame, least: float) -> DataFrame:
 def links(docs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(a, b) of edges between different texts that connect all that share a sketch and are similar."""
     rows = materialize(buckets(texts))
-    wanted = materialize(rows.select("id").distinct().join(texts.select("id", "doc_id"), "id"))
+    wanted = materialize(rows.select("id").distinct().join(texts.select("id", "copy_of", F.col("t1").alias("w1"), F.col("t2").alias("w2")), "id"))
     words = materialize(word_table(docs, wanted).dropDuplicates(["id"]))
     pairs = rows.filter("id <> leader").filter(F.least("n", "leader_n") >= F.greatest("n", "leader_n") * least - 1e-9)
     done = materialize(verify(pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), words, least))
@@ -356,20 +361,32 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
-def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, copy_of) of every row: its class, and the least doc_id with exactly its text."""
+def grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t1, t2) of every row, written, and (t1, t2, copy_of, root) of every text."""
     rows = materialize(copies(docs))
     keyed = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("copy_of"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    texts = materialize(keyed.select("t1", "t2", "copy_of", "n", "sketch", F.coalesce(F.col("copy_of").cast("long"), F.lit(-(2**62))).alias("id"), F.col("copy_of").alias("doc_id")))
+    # texts have ids of their own: doc_ids may be null, or the same for several texts
+    texts = materialize(keyed.withColumn("id", F.monotonically_increasing_id()))
     group = components(links(docs, texts, least))
-    named = texts.select("t1", "t2", "copy_of", "id").join(group, "id", "left").select("t1", "t2", "copy_of", F.coalesce("root", "copy_of").cast(docs.schema["doc_id"].dataType).alias("class_id"))
+    return rows, texts.select("t1", "t2", "copy_of", "id").join(group, "id", "left").select("t1", "t2", "copy_of", F.coalesce("root", "id").alias("root"))
+
+
+def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(doc_id, class_id, copy_of) of every row: its class, and the least doc_id with exactly its text; null where all are null."""
+    rows, texts = grouped(docs, least)
+    texts = materialize(texts)
+    named = texts.join(texts.groupBy("root").agg(F.min("copy_of").alias("class_id")), "root")
     return rows.select("doc_id", "t1", "t2").join(named, ["t1", "t2"]).select("doc_id", "class_id", "copy_of")
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the least of its class; one row where rows repeat."""
-    own = materialize(classes(docs, least))
-    keep = own.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__keep"))
-    once = keep.distinct()
-    out = docs.join(once, docs["doc_id"].eqNullSafe(once["__keep"]), "left_semi")
-    return out if keep.count() == once.count() else out.dropDuplicates(["doc_id"])
+    """One row of each class of ``docs``, all columns: of the least doc_id, null only where all are null."""
+    rows, texts = grouped(docs, least)
+    own = rows.select("doc_id", "t1", "t2").join(texts.select("t1", "t2", "root"), ["t1", "t2"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("k")
+    keep = materialize(own.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2")))
+    x, y = text_keys()
+    out = docs.withColumns({"__x": x, "__y": y})
+    out = out.join(keep, out["doc_id"].eqNullSafe(keep["__id"]) & (out["__x"] == keep["__t1"]) & (out["__y"] == keep["__t2"]), "left_semi")
+    twice = own.join(keep, own["doc_id"].eqNullSafe(keep["__id"]) & (own["t1"] == keep["__t1"]) & (own["t2"] == keep["__t2"]), "left_semi").count() > keep.count()
+    return (out.dropDuplicates(["doc_id", "__x", "__y"]) if twice else out).drop("__x", "__y")

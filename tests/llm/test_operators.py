@@ -163,6 +163,14 @@ def test_near_duplicates(spark):
     assert neardup.classes(docs_of(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    a, b, c = (prose(120, s) for s in (41, 42, 43))
+    data = [(None, a), (None, b), (None, a), (7, c), (7, prose(120, 44)), (8, "changed " + b)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = sorted(neardup.one_of_each(docs).collect(), key=str)
+    assert kept == sorted([data[0], data[3], data[4], data[5]], key=str)
+
+
 def near_groups(texts):
     """The components of all pairs by brute force, as the least place of each."""
     w = [np.array([zlib.crc32(x.encode()) for x in t.split()], np.int64) for t in texts]
