@@ -5,13 +5,15 @@ those ids that have so many; its bitmap says which go on in level k + 1, and its
 (the number of set bits before every 512th) gives the place there. A block is one file's bytes:
 header, document ids and starts, levels. ``write_blocks`` makes blocks of whole documents in
 ascending doc_id order (null first; ties by text hash) as rows of an uncompressed Parquet table
-in a folder that every executor reads; ``read_blocks`` and ``Block`` read them back.
+in a folder that every executor reads; ``read_blocks`` and ``Block`` read them back. Documents are dealt by
+ranges of (doc_id, text hash), so a doc_id that many rows have, or null, is split too.
 
 null and empty texts: the end id alone. Repeated rows: each is stored. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import BLANK, Memo, encode_parts, flat, ragged, scratch, slices, span_hash, spans
+from .text import BLANK, LOWER, Memo, encode_parts, flat, ragged, scratch, slices, span_hash, spans
 
 MAGIC, STEP, END = b"SDAC0001", 512, 2
-#: Bytes set in a byte.
+#: What a byte of a plain word is: 1 a letter, 2 a digit, 3 another sign, 0 not plain.
+KIND = np.array([1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 if 33 <= c < 127 and chr(c) not in "'<" else 0 for c in range(128)] + [0] * 128, np.uint8)
+#: Bits set in a byte.
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint32)
 
 
@@ -117,11 +121,24 @@ class Block:
         return out
 
 
+#: The pattern that the vocabulary's file splits lower-cased words by (fixed value); what lies between matches goes.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a printable byte as itself, and the others as 256, 257 and so on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: 256 + k for k, b in enumerate(others) if b != 32}  # no piece has blanks
+
+
 class Encoder:
-    """The library's ids of whole texts; each distinct word between ASCII white space is encoded once.
+    """The library's ids of whole texts; each distinct piece of a word is encoded once.
 
     The tokenizer drops white space and works on each run between it alone, so this gives
-    the ids of the whole text; ``Encoder`` refuses tokenizers of another kind.
+    the ids of the whole text; ``Encoder`` refuses tokenizers of another kind. Plain words (ASCII but for ``'`` and
+    ``<``, and the letters of Latin-1) are cut into the pieces of ``PIECES`` here, and pieces go to the same
+    merges without the normalizer; other words go to the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -135,18 +152,72 @@ class Encoder:
         if any(probe(f"{w}{s}{w}") != probe(w) * 2 for w in ("it's", "x1", "<|a", "é") for s in " \t\n\v\f\r"):
             raise ValueError("a tokenizer that drops white space is needed")
         self.memo = Memo()
+        spec = json.loads(self.tok.to_str())
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        plain = parts[0].get("pattern", {}).get("Regex") == PIECES and parts[0].get("invert") and [x["type"] for x in parts] == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix") == "</w>"
+        plain = plain and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and all(chr(self.letters.get(b, b)) + "</w>" in spec["model"]["vocab"] for b in range(256) if b != 32)
+        self.merges = None
+        if plain:
+            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}))
+            self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
+
+    letters = byte_letters()
+
+    def cut(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(data in lower case, starts, ends, plain) of the pieces of words; a word that isn't plain is one piece, as it is."""
+        if self.merges is None or not len(starts):
+            return data, starts, ends, np.zeros(len(starts), bool)
+        kind = KIND[data]
+        before = np.r_[np.uint8(0), data[:-1]]
+        after = np.r_[data[1:], np.uint8(0)]
+        tail = (before == 0xC3) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+        kind[tail] = 1
+        kind[(data == 0xC3) & (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)] = 1
+        odd = np.r_[0, np.cumsum(kind == 0)]
+        plain = odd[ends] == odd[starts]
+        low = LOWER[data]
+        low[tail & (data <= 0x9E)] += 0x20
+        first = np.zeros(len(data), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        word = np.zeros(len(data) + 1, np.int8)
+        word[starts[plain]] += 1
+        word[ends[plain]] -= 1  # adjacent words of two rows: the next one's start adds up with it
+        first &= np.cumsum(word[:-1]) > 0
+        first[starts] = True
+        at = np.flatnonzero(first)
+        own = np.searchsorted(starts, at, "right") - 1
+        close = np.minimum(np.r_[at[1:], len(data)], ends[own])
+        return np.where(np.cumsum(word[:-1]) > 0, low, data), at, close, plain[own]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offs = flat(column)
-        starts, ends, counts = spans(data, offs, BLANK)
-        code, keys = pd.factorize(span_hash(data, starts, ends))
+        starts, ends, _ = spans(data, offs, BLANK)
+        data, starts, ends, plain = self.cut(data, starts, ends)
+        counts = np.diff(np.searchsorted(starts, offs))
+        code, keys = pd.factorize(span_hash(data, starts, ends) ^ np.where(plain, 0, 0x5A5A5A5A5A5A5A5A).astype(np.uint64))
         seen = np.zeros(len(keys), np.int64)
         seen[code[::-1]] = np.arange(len(code))[::-1]
         raw = data.tobytes()
 
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            parts = [raw[a:b].decode() for a, b in zip(starts[seen[new]].tolist(), ends[seen[new]].tolist(), strict=True)]
-            return encode_parts(self.tok, parts)
+            at = seen[new]
+            easy, sizes, out = plain[at], np.zeros(len(at), np.int64), []
+            bounds = lambda k: zip(starts[k].tolist(), ends[k].tolist(), strict=True)
+            if easy.any():
+                parts = [raw[a:b] for a, b in bounds(at[easy])]
+                lines = [b" ".join(parts[k : k + 2000]).decode("latin-1").translate(self.letters) for k in range(0, len(parts), 2000)]
+                ids = np.concatenate([np.array(e.ids, np.int32) for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
+                sizes[easy] = np.diff(np.r_[-1, np.flatnonzero(self.last[ids])])
+                out.append(ids)
+            if not easy.all():
+                ids, sizes[~easy] = encode_parts(self.tok, [raw[a:b].decode() for a, b in bounds(at[~easy])])
+                out.append(ids)
+            # the plain ones come first in ids: put them in the order of new
+            order = np.r_[np.flatnonzero(easy), np.flatnonzero(~easy)]
+            begin = np.empty(len(at), np.int64)
+            begin[order] = np.cumsum(sizes[order]) - sizes[order]
+            return np.concatenate(out)[ragged(begin, sizes)], sizes
 
         at, size, ids = self.memo.rows(keys, make)
         each = size[code]
@@ -162,39 +233,26 @@ def encoder(path: str) -> Encoder:
 BLOCKS = "bucket int, seq int, n_docs long, n_tokens long, payload binary"
 
 
-def write_blocks(docs: DataFrame, path: str, out: str, *, end: int = END, per_bucket: int = 20_000) -> None:
-    """Encode, and write blocks to ``out``; ascending doc_id is ascending (bucket, seq, place)."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = ids.count()
-    buckets = max(24, -(-n // per_bucket))
-    cuts = sorted(set(ids.select(F.col("doc_id").cast("double").alias("x")).na.drop().stat.approxQuantile("x", [k / buckets for k in range(1, buckets)], 0.1 / buckets))) if n else []
-    lane = F.coalesce(F.expr(f"size(filter(array({','.join(map(repr, cuts))}), x -> x <= doc_id))"), F.lit(0)) if len(cuts) <= 64 else None
-    if lane is None:  # a binary search, in batches
-        edges = np.array(cuts)
-
-        @F.pandas_udf("int")
-        def lane_of(x: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(edges, x.fillna(-np.inf).to_numpy(), "right").astype(np.int32))
-
-        lane = lane_of(F.col("doc_id").cast("double"))
+def write_blocks(docs: DataFrame, path: str, out: str, *, end: int = END, part_bytes: int = 16 << 20, block_bytes: int = 2 << 20) -> None:
+    """Encode, and write blocks of about ``block_bytes`` of text to ``out``; ascending doc_id is ascending (bucket, seq, place)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // part_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, seq, last = encoder(path), 0, None
-        for b in slices(batches):
+        e = encoder(path)
+        for seq, b in enumerate(slices(batches, "text", block_bytes)):
             ids, n = e.encode(b.column(2))
-            offs = np.r_[0, np.cumsum(n)]
             full = np.full(len(ids) + len(n), end, np.int32)
             full[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-            lanes, keys = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(lanes)) + 1):
-                lo, hi, lane = int(part[0]), int(part[-1]) + 1, int(lanes[part[0]])
-                seq, last = (seq + 1 if lane == last else 0), lane
-                own = full[offs[lo] + lo : offs[hi] + hi]
-                raw = encode_block(keys[lo:hi], n[lo:hi] + 1, own)
-                yield pa.record_batch({"bucket": pa.array([lane], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([hi - lo]), "n_tokens": pa.array([len(own)]), "payload": pa.array([raw], pa.binary())})
+            raw = encode_block(b.column(1).to_pylist(), n + 1, full)
+            yield pa.record_batch({"bucket": b.column(0).slice(0, 1), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(n)]), "n_tokens": pa.array([len(full)]), "payload": pa.array([raw], pa.binary())})
 
-    blocks = ids.withColumn("lane", lane).repartition(buckets, "lane").sortWithinPartitions("lane", "doc_id", F.xxhash64("text")).select("lane", "doc_id", "text").mapInArrow(run, BLOCKS)
-    blocks.write.option("compression", "uncompressed").parquet(out)
+    key = F.xxhash64("text")
+    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), key).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key)
+    blocks = dealt.select(F.spark_partition_id().alias("bucket"), "doc_id", "text").mapInArrow(run, BLOCKS)
+    # row groups of a few blocks, so that a task holds no more at once
+    blocks.write.option("compression", "uncompressed").option("parquet.block.row.count.limit", 4).parquet(out)
 
 
 def read_blocks(spark, path: str) -> DataFrame:
@@ -206,7 +264,7 @@ def read_blocks(spark, path: str) -> DataFrame:
     begin = within.join(first, "bucket").select("bucket", "seq", (F.col("before") + F.col("ahead")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "payload", 1):  # a block at a time
             for lane, seq, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 block = Block(raw)
                 s = block.starts
