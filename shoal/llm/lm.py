@@ -1,15 +1,18 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) P(word | class). Each of the ``TOP`` most frequent training
+P(word | context) = P(class | context) P(cell | class, context) P(word | cell). Each of the ``TOP`` most frequent training
 words is a class of its own; the other words fall into ``FORMS`` classes by the hash of their ending, so
-unknown words have a class too. P(class | context) is a softmax over rows of weights that hashed
-features choose: the previous word, the word before it (a skip), the classes of both, and the
-classes of the two words before those. Within a class, known words have their discounted share of training tokens, and
-the discount goes to unknown words. All probabilities sum to 1 over known words and, by class, unknown ones.
+unknown words have a class too, and the words of a class fall into ``CELLS`` cells by their hash. Both the class and the cell
+have a softmax over rows of weights that hashed features choose, trained by gradients. The class's features are the
+previous word, the word before it (a skip), the classes of both, and the classes of the two words before those;
+the cell's are the previous word and the skipped one, each with the class. Within a cell, known words have their discounted
+share of training tokens, and the discount goes to unknown words. All probabilities sum to 1 over known
+words and, by cell, unknown ones. A softmax over all words of a class would cost as many steps a token as the class has words,
+and words by the hundred thousand occur once, so a word's share of its cell has no features.
 
 Word counts are one Spark aggregation. Training takes every training text once, in ``ROUNDS``: each task
 updates the weights by minibatch gradients on its texts, and the changed rows are averaged
-over tasks, weighted by how often a row was used. Scoring groups texts into lanes; a lane's distinct
+over tasks, weighted by how often a row was used. Scoring deals rows evenly into lanes, a partition each; a lane's distinct
 words are joined with the counts, and both meet in a cogroup, so no table of words goes to one place.
 
 null and empty texts hold the end token alone. Repeated rows: each counts and gives its own row.
@@ -25,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BLANK, LOWER, flat, materialize, slices, span_hash, spans
+from .text import BLANK, LOWER, flat, materialize, ragged, slices, span_hash, spans
 
-TOP, FORMS, ROUNDS = 16, 48, 2
+TOP, FORMS, CELLS, ROUNDS = 16, 16, 32, 2
 CLASSES = TOP + FORMS
-WORD_ROWS = 1 << 14
+WIDTH = 32  # of a row of weights: as many classes, as many cells
+WORD_ROWS, CELL_ROWS = 1 << 14, 1 << 15
 PAIR_ROWS = CLASSES * CLASSES
-ROWS = 2 * WORD_ROWS + 2 * PAIR_ROWS
-BATCH, RATE = 4096, 0.5
+FIRST_CELL = 2 * WORD_ROWS + 2 * PAIR_ROWS
+ROWS = FIRST_CELL + 2 * CELL_ROWS
+BATCH, RATE = 8192, 0.5
 LANE_BYTES = 24 << 20
 MERGE = 256  # rows of weights that are averaged together
 #: The end of a text as a word.
@@ -72,8 +77,8 @@ def classes(h: np.ndarray, form: np.ndarray, top: np.ndarray) -> np.ndarray:
     return out
 
 
-def rows_of(h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The four rows of weights that each token's context chooses."""
+def rows_of(h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of weights that each token's context chooses: four for its class, and two for its cell."""
     n = len(h)
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
 
@@ -83,48 +88,86 @@ def rows_of(h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out[place < j] = 0
         return out
 
-    shift = np.uint64(64 - 14)
-    word = lambda j: (back(h, j) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int32)
-    out = np.empty((n, 4), np.int32)
-    out[:, 0] = word(1)
-    out[:, 1] = word(2) + WORD_ROWS
+    spread = np.uint64(0x9E3779B97F4A7C15)
+    one, two = back(h, 1) * spread, back(h, 2) * spread
+    out, cell = np.empty((n, 4), np.int32), np.empty((n, 2), np.int32)
+    out[:, 0] = one >> np.uint64(64 - 14)
+    out[:, 1] = (two >> np.uint64(64 - 14)).astype(np.int32) + WORD_ROWS
     out[:, 2] = back(k, 1) * CLASSES + back(k, 2) + 2 * WORD_ROWS
     out[:, 3] = back(k, 3) * CLASSES + back(k, 4) + 2 * WORD_ROWS + PAIR_ROWS
-    return out
+    own = (k.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    for j, x in enumerate((one, two)):
+        cell[:, j] = ((x ^ own) * spread >> np.uint64(64 - 15)).astype(np.int32) + FIRST_CELL + j * CELL_ROWS
+    return out, cell
+
+
+def cells(h: np.ndarray) -> np.ndarray:
+    """The cell of each word: the first five bits of its hash."""
+    return (h >> np.uint64(59)).astype(np.int32)
 
 
 def logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]]
+    """bias: a row, or one for each token."""
+    z = w.take(rows[:, 0], axis=0)
     for j in range(1, rows.shape[1]):
-        z += w[rows[:, j]]
+        z += w.take(rows[:, j], axis=0)
     z += bias
     return z
 
 
+def log_share(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row's k-th."""
+    own = z[np.arange(len(z)), k]
+    top = z.max(1, keepdims=True)
+    return own - top[:, 0] - np.log(np.exp(z - top).sum(1))
+
+
 class Trainer:
     """Minibatch gradient steps with a rate that falls for each row as its gradients add up."""
 
-    def __init__(self, w: np.ndarray, bias: np.ndarray) -> None:
-        self.w, self.bias, self.first = w.copy(), bias, w
+    def __init__(self, w: np.ndarray) -> None:
+        self.w, self.first = w.copy(), w
         self.sum = np.full(ROWS, 1e-3, np.float32)
         self.used = np.zeros(ROWS, np.float32)
 
-    def step(self, rows: np.ndarray, k: np.ndarray) -> None:
+    def step(self, rows: np.ndarray, k: np.ndarray, bias: np.ndarray) -> None:
         n = len(k)
-        z = logits(self.w, self.bias, rows)
+        z = logits(self.w, bias, rows)
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
         z[np.arange(n), k] -= 1
-        flat_rows = rows.ravel()
-        order = np.argsort(flat_rows, kind="stable")
-        s = flat_rows[order]
+        chosen = rows.ravel()
+        order = np.argsort(chosen, kind="stable")
+        s = chosen[order]
         begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        g = np.add.reduceat(z[order // rows.shape[1]], begin, axis=0)
+        size = np.diff(np.r_[begin, n * rows.shape[1]])
+        # the gradients of a row are added in pairs, then in fours, and so on: few calls, however often it was used
+        g = z.take(order // rows.shape[1], axis=0)
+        first, left, step = begin, size, 1
+        while len(first := first[left > 1]):
+            left = left[left > 1]
+            many = left // 2
+            at = ragged(np.zeros_like(many), many) * (2 * step) + np.repeat(first, many)
+            g[at] += g.take(at + step, axis=0)
+            left, step = left - many, 2 * step
+        g = g.take(begin, axis=0)
         own = s[begin]
-        self.used[own] += np.diff(np.r_[begin, len(s)])
+        self.used[own] += size
         self.sum[own] += np.einsum("ij,ij->i", g, g)
-        self.w[own] -= RATE * g / np.sqrt(self.sum[own])[:, None]
+        g *= (RATE / np.sqrt(self.sum[own]))[:, None]
+        self.w[own] -= g
+
+    def learn(self, h: np.ndarray, k: np.ndarray, counts: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray) -> None:
+        """Steps over the tokens of some texts: all of them for the class, those of classes of many words for the cell."""
+        rows, cell_rows = rows_of(h, k, counts)
+        for lo in range(0, len(k), BATCH):
+            self.step(rows[lo : lo + BATCH], k[lo : lo + BATCH], bias)
+        rest = np.flatnonzero(k >= TOP)
+        cell = cells(h)
+        for lo in range(0, len(rest), BATCH):
+            at = rest[lo : lo + BATCH]
+            self.step(cell_rows[at], cell[at], cell_bias.take(k[at], axis=0))
 
     def changed(self) -> Iterator[pa.RecordBatch]:
         """(block, used, delta): the change of each block of rows, as half floats, with how often they were used."""
@@ -142,10 +185,10 @@ CHANGE = "block int, part int, own binary, used binary, delta binary"
 
 def merged(key: tuple, table: pa.Table) -> pa.Table:
     """The used-weighted mean of a block's changes; one row again."""
-    total, used = np.zeros((MERGE, CLASSES), np.float32), np.zeros(MERGE, np.float32)
+    total, used = np.zeros((MERGE, WIDTH), np.float32), np.zeros(MERGE, np.float32)
     for own, n, delta in zip(*(table.column(c).to_pylist() for c in ("own", "used", "delta")), strict=True):
         at, n = np.frombuffer(own, np.uint8), np.frombuffer(n, np.float32)
-        total[at] += np.frombuffer(delta, np.float16).reshape(-1, CLASSES).astype(np.float32) * n[:, None]
+        total[at] += np.frombuffer(delta, np.float16).reshape(-1, WIDTH).astype(np.float32) * n[:, None]
         used[at] += n
     at = np.flatnonzero(used)
     mean = (total[at] / used[at][:, None]).astype(np.float16)
@@ -185,22 +228,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("h").agg(F.min("form").alias("form"), F.sum("c").alias("c")))
 
 
-def fit(docs: DataFrame, counts: DataFrame, top: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def fit(docs: DataFrame, top: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray) -> np.ndarray:
     """The weights after every text has been taken once."""
     spark = docs.sparkSession
-    w = np.zeros((ROWS, CLASSES), np.float32)
+    w = np.zeros((ROWS, WIDTH), np.float32)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((w, bias, top))
+        shared = spark.sparkContext.broadcast((w, bias, cell_bias, top))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first, bias, top = shared.value
-            own = Trainer(first, bias)
+            first, bias, cell_bias, top = shared.value
+            own = Trainer(first)
             for b in slices(batches, "text"):
                 h, form, n = tokens(b.column(0))
-                k = classes(h, form, top)
-                rows = rows_of(h, k, n)
-                for lo in range(0, len(k), BATCH):
-                    own.step(rows[lo : lo + BATCH], k[lo : lo + BATCH])
+                own.learn(h, classes(h, form, top), n, bias, cell_bias)
             yield from own.changed()
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ROUNDS)) == turn).select("text")
@@ -211,11 +251,34 @@ def fit(docs: DataFrame, counts: DataFrame, top: np.ndarray, bias: np.ndarray) -
         done = half.groupBy("block").applyInArrow(lambda key, t: merged(key, t), CHANGE).select("block", "own", "delta").toArrow()
         w = w.copy()
         for block, own, delta in zip(*(done.column(c).to_pylist() for c in ("block", "own", "delta")), strict=True):
-            w[block * MERGE + np.frombuffer(own, np.uint8).astype(np.int64)] += np.frombuffer(delta, np.float16).reshape(-1, CLASSES)
+            w[block * MERGE + np.frombuffer(own, np.uint8).astype(np.int64)] += np.frombuffer(delta, np.float16).reshape(-1, WIDTH)
         shared.unpersist()
     return w
 
 
+def log_word(w: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray, h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The natural logarithm of P(class | context) P(cell | class, context) of each token; a frequent word's class has no cells."""
+    rows, cell_rows = rows_of(h, k, counts)
+    out = np.empty(len(h))
+    for lo in range(0, len(k), BATCH):
+        at = slice(lo, lo + BATCH)
+        out[at] = log_share(logits(w, bias, rows[at]), k[at])
+    rest, cell = np.flatnonzero(k >= TOP), cells(h)
+    for lo in range(0, len(rest), BATCH):
+        at = rest[lo : lo + BATCH]
+        out[at] += log_share(logits(w, cell_bias.take(k[at], axis=0), cell_rows[at]), cell[at])
+    return out
+
+
+def word_share(c: np.ndarray, k: np.ndarray, cell: np.ndarray, size: np.ndarray, types: np.ndarray, discount: float) -> np.ndarray:
+    """P(word | class, cell) of words that occur c times in training texts; of unknown ones together where c is 0."""
+    in_cell = size[k, cell]
+    d = np.where(k < TOP, 0.0, discount)
+    known = c - d
+    unknown = np.where(in_cell > 0, discount * types[k, cell], 1)
+    return np.where(c > 0, known, unknown) / np.maximum(in_cell, 1)
+
+
 SCORED = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -232,17 +295,22 @@ def scores(docs: DataFrame) -> DataFrame:
     kind = F.col("form").cast("int") + TOP
     if best:
         kind = F.coalesce(F.expr(f"try_element_at(map({', '.join(f'{r.h}L, {k}' for k, r in enumerate(best))}), h)"), F.col("form").cast("int") + TOP)
-    size, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy(kind.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        size[r.k], types[r.k] = r.c, r.v
+    size, types = np.zeros((CLASSES, CELLS)), np.zeros((CLASSES, CELLS))
+    for r in counts.groupBy(kind.alias("k"), F.shiftrightunsigned("h", 59).cast("int").alias("cell")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        size[r.k, r.cell], types[r.k, r.cell] = r.c, r.v
     discount = once / (once + 2 * twice) if once else 0.5
-    bias = np.log((size + 0.5) / (total + 0.5 * CLASSES)).astype(np.float32)
-    w = fit(train, counts, top, bias)
-    model = spark.sparkContext.broadcast((w.astype(np.float32), bias, top, size, types, discount, total, distinct))
+    bias = np.log((size.sum(1) + 0.5) / (total + 0.5 * CLASSES)).astype(np.float32)
+    cell_bias = np.log((size + 0.5) / (size.sum(1, keepdims=True) + 0.5 * CELLS)).astype(np.float32)
+    w = fit(train, top, bias, cell_bias)
+    model = spark.sparkContext.broadcast((w, bias, cell_bias, top, size, types, discount, total, distinct))
 
-    lanes = max(24, -(-total * 6 // LANE_BYTES))
+    # as many lanes as Spark would make partitions, at least, so that the cogroup keeps them as they are
+    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 6 // LANE_BYTES))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-    laned = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int").alias("lane"), "doc_id", held.alias("held_out"), "text").repartition(lanes, "lane")
+    names = spark.range(int(lanes * (np.log(lanes) + 8))).select(F.col("id").cast("int").alias("lane")).groupBy(F.pmod(F.hash("lane"), F.lit(lanes)).alias("turn")).agg(F.min("lane").alias("lane"))
+    # rows take turns, whatever their ids and texts; each lane's name is hashed to a partition of its own
+    dealt = docs.select(F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int").alias("turn"), "doc_id", held.alias("held_out"), "text")
+    laned = dealt.join(F.broadcast(names), "turn").select("lane", "doc_id", "held_out", "text").repartition(lanes, "lane")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[np.ndarray]] = {}
@@ -255,7 +323,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
         for b in slices(batches, "text"):
             lane = b.column(0).to_numpy()
-            h, _, n = tokens(b.column(1))
+            h, _, n = tokens(b.column(3))
             each = np.repeat(lane, n)
             for x in np.unique(lane).tolist():
                 seen.setdefault(x, []).append(np.unique(h[each == x]))
@@ -263,11 +331,11 @@ def scores(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    pairs = laned.select("lane", "text").mapInArrow(distinct_words, "lane int, h long")
+    pairs = laned.mapInArrow(distinct_words, "lane int, h long")  # all columns, so that Spark deals the texts once
     known = pairs.join(counts.select("h", "c"), "h").select("lane", "h", "c")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        w, bias, top, size, types, discount, total, distinct = model.value
+        w, bias, cell_bias, top, size, types, discount, total, distinct = model.value
         keys = right.column("h").to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
         keys, held = keys[order], right.column("c").to_numpy()[order]
@@ -277,16 +345,7 @@ def scores(docs: DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             c = np.where(keys[at] == h, held[at], 0) if len(keys) else np.zeros(len(h), np.int64)
             k = classes(h, form, top)
-            own = np.empty(len(h))
-            rows = rows_of(h, k, n)
-            for lo in range(0, len(k), BATCH):
-                z = logits(w, bias, rows[lo : lo + BATCH])
-                own[lo : lo + BATCH] = z[np.arange(len(z)), k[lo : lo + BATCH]]
-                z -= (m := z.max(1, keepdims=True))
-                own[lo : lo + BATCH] -= np.log(np.exp(z, out=z).sum(1)) + m[:, 0]
-            d = np.where(k < TOP, 0.0, discount)
-            share = np.where(c > 0, c - d, np.where(size[k] > 0, discount * types[k], 1)) / np.maximum(size[k], 1)
-            own = own / np.log(10) + np.log10(share)
+            own = log_word(w, bias, cell_bias, h, k, n) / np.log(10) + np.log10(word_share(c, k, cells(h), size, types, discount))
             begin = np.cumsum(n) - n
             outs[0].append(n)
             outs[1].append(np.add.reduceat((c > 0).astype(np.int64), begin))
