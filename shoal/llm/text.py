@@ -20,11 +20,12 @@ U = np.uint64
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; a local one only where that is unset and Spark runs locally."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = "file://" + os.path.join(tempfile.gettempdir(), "shoal-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -32,7 +33,20 @@ def materialize(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

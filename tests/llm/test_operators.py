@@ -145,10 +145,14 @@ def test_distance_matches_brute_force():
         return d[-1]
 
     r = random.Random(4)
-    for _ in range(400):
-        a, b = ([r.randint(2, 5) for _ in range(r.randint(0, 20))] for _ in range(2))
-        for most in (0, 2, 5, 30):
-            assert neardup.distance(np.array(a, np.int64), np.array(b, np.int64), most) == min(brute(a, b), most + 1)
+    pairs = [tuple([r.randint(2, 5) for _ in range(r.randint(0, 20))] for _ in range(2)) for _ in range(400)]
+    w = np.array([x for pair in pairs for t in pair for x in t], np.int64)
+    n = np.array([len(t) for pair in pairs for t in pair], np.int64)
+    begin = np.cumsum(n) - n
+    for most in (0, 2, 5, 30):
+        limit = np.full(400, most) if most else np.arange(400) % 9
+        got = neardup.distances(w, begin[::2], n[::2], begin[1::2], n[1::2], limit)
+        assert got.tolist() == [min(brute(a, b), m + 1) for (a, b), m in zip(pairs, limit.tolist(), strict=True)]
 
 
 def test_near_duplicates(spark):
@@ -173,17 +177,19 @@ def test_rows_without_an_id_of_their_own(spark):
 
 def near_groups(texts):
     """The components of all pairs by brute force, as the least place of each."""
-    w = [np.array([zlib.crc32(x.encode()) for x in t.split()], np.int64) for t in texts]
+    w = np.array([zlib.crc32(x.encode()) for t in texts for x in t.split()], np.int64)
+    n = np.array([len(t.split()) for t in texts])
     root = list(range(len(texts)))
     for i in range(len(texts)):
+        near = neardup.similar(w, np.cumsum(n) - n, n, np.full(i, i), np.arange(i))
         for j in range(i):
-            if neardup.similar(w[i], w[j]):
+            if near[j]:
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     return root
 
 
-def test_chains_and_groups_beyond_a_leader(spark):
+def test_chains_and_groups_beyond_a_leader(spark, monkeypatch):
     r = random.Random(11)
 
     def edited(words, k, tag):
@@ -206,9 +212,10 @@ def test_chains_and_groups_beyond_a_leader(spark):
     texts += [[f"o{k}w{i}" for i in range(30)] + passage for k in range(12)]
     texts += [edited(t[:30], 8, "z") + t[30:] for t in texts[-4:]]
     texts = [" ".join(t) for t in texts]
-    for order in (texts, texts[::-1]):
+    for order, hot, block in ((texts, 4096, 1024), (texts[::-1], 4096, 7), (texts, 2, 3)):  # cells whole, in blocks, by rare words
+        monkeypatch.setattr(neardup, "BLOCK", block)
         want = near_groups(order)
-        got = rows(neardup.classes(docs_of(spark, order)))
+        got = rows(neardup.classes(docs_of(spark, order), hot=hot))
         assert [got[i].class_id for i in range(len(order))] == want
 
 
@@ -239,6 +246,44 @@ def test_language_model(spark):
     assert lm.scores(docs_of(spark, [])).count() == 0
 
 
+def test_word_probabilities_add_up():
+    """Over all known words and the unknown ones of each cell, in trained weights, whatever the context."""
+    r = np.random.default_rng(1)
+    h = np.unique(text.mix(np.arange(1, 400, dtype=np.uint64)))
+    top = np.array(sorted((x, i) for i, x in enumerate(h[: lm.TOP])), [("h", np.uint64), ("k", np.int32)])
+    form = r.integers(0, lm.FORMS, len(h)).astype(np.int16)
+    k, c, cell = lm.classes(h, form, top), r.integers(1, 9, len(h)), lm.cells(h)
+    size, types = np.zeros((lm.CLASSES, lm.CELLS)), np.zeros((lm.CLASSES, lm.CELLS))
+    np.add.at(size, (k, cell), c)
+    np.add.at(types, (k, cell), 1)
+    bias = np.log((size.sum(1) + 0.5) / (size.sum() + 0.5 * lm.CLASSES)).astype(np.float32)
+    cell_bias = np.log((size + 0.5) / (size.sum(1, keepdims=True) + 0.5 * lm.CELLS)).astype(np.float32)
+    t = lm.Trainer(np.zeros((lm.ROWS, lm.WIDTH), np.float32))
+    for _ in range(3):
+        at = r.integers(0, len(h), 3000)
+        t.learn(h[at], k[at], np.full(30, 100), bias, cell_bias)
+    cells = [(a, b) for a in range(lm.TOP, lm.CLASSES) for b in range(lm.CELLS)]
+    words = np.r_[h, np.array([(b << 59) | 12345 for _, b in cells], np.uint64)]
+    kinds, count = np.r_[k, np.array([a for a, _ in cells], np.int32)], np.r_[c, np.zeros(len(cells), int)]
+    for context in ([5, 9], [350, 17], [44, 44]):
+        n = len(words)
+        seq = np.stack([np.full(n, h[context[0]]), np.full(n, h[context[1]]), words], 1).ravel()
+        ks = np.stack([np.full(n, k[context[0]]), np.full(n, k[context[1]]), kinds], 1).ravel().astype(np.int32)
+        p = np.exp(lm.log_word(t.w, bias, cell_bias, seq, ks, np.full(n, 3))[2::3]) * lm.word_share(count, kinds, lm.cells(words), size, types, 0.4)
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+    # the sums of gradients in pairs are those of adding them one by one
+    a, b = (lm.Trainer(np.zeros((lm.ROWS, lm.WIDTH), np.float32)) for _ in range(2))
+    rows, _ = lm.rows_of(h[at], k[at], np.full(30, 100))
+    a.step(rows, k[at], bias)
+    z = np.exp(np.tile(bias, (len(at), 1)))
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(at)), k[at]] -= 1
+    g = np.zeros_like(b.w)
+    np.add.at(g, rows.ravel(), np.repeat(z, 4, axis=0))
+    want = -lm.RATE * g / np.sqrt(1e-3 + (g * g).sum(1))[:, None]
+    assert np.abs(a.w - want).max() < 1e-3
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     texts, marks = [], []
