@@ -82,14 +82,17 @@ def reversal_score() -> Column:
     return F.least(F.greatest(total, F.lit(0)), F.lit(100))
 
 
-def outcomes(picks: DataFrame, bars: DataFrame, n: int) -> DataFrame:
-    """picks (run_date, code) with ret: open of the first bar after run_date to the close of the n-th bar after that, in percent."""
-    b = bars.withColumn("ord", F.row_number().over(Window.partitionBy("code").orderBy("dt")))
-    first = picks.join(b.select("code", "dt", "ord"), "code").filter(F.col("dt") > F.col("run_date")).groupBy("run_date", "code").agg(F.min("ord").alias("ord"))
-    entry = first.join(b.select("code", "ord", "open"), ["code", "ord"])
-    out = entry.withColumn("ord", F.col("ord") + n).join(b.select("code", "ord", "close"), ["code", "ord"], "left")
-    ret = F.when(F.col("open") > 0, F.bround((F.col("close") / F.col("open") - 1) * 100, 2))
-    return picks.join(out.select("run_date", "code", ret.alias("ret")), ["run_date", "code"], "left")
+def outcomes(picks: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """picks (run_date, code) with ret_n: open of the first bar after run_date to the close of the n-th bar after that, in percent.
+
+    Picks and bars of a code are sorted once, newest first, and each pick takes the bar last seen; no pick meets all bars.
+    """
+    ahead = Window.partitionBy("code").orderBy("dt")
+    ret = lambda n: F.when(F.col("open") > 0, F.bround((F.lead("close", n).over(ahead) / F.col("open") - 1) * 100, 2) + 0.0).alias(f"ret_{n}")
+    b = bars.select("code", "dt", F.lit(1).alias("kind"), F.struct(*map(ret, horizons)).alias("bar"))
+    both = b.unionByName(picks.select("code", F.col("run_date").alias("dt"), F.lit(0).alias("kind")), allowMissingColumns=True)
+    seen = F.last("bar", ignorenulls=True).over(Window.partitionBy("code").orderBy(F.desc("dt"), "kind").rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("bar", seen).filter("kind = 0").select("code", F.col("dt").alias("run_date"), *(F.col(f"bar.ret_{n}") for n in horizons))
 
 
 def funnel(codes: DataFrame, bars: DataFrame, days: int, rows: int, window: int, lim: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

@@ -6,13 +6,14 @@ to six places and money to two on both sides, as the order of a sum differs betw
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import panel as P
-from shoal.operators import screen, simulate, stats, tables
+from shoal.operators import factors, screen, simulate, stats, tables
 from shoal.plans.dsl import compile_factors
 from shoal.sources import bars as B
 
@@ -145,35 +146,59 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two passes: the signal line is a mean of a difference of means."""
-    p = P.ewm(B.panel(spark, sf_dir, "ev").select("code", "dt", "close"), {"fast": ("close", 2 / 13, 12), "slow": ("close", 2 / 27, 26)})
-    p = P.ewm(p.withColumn("dif", F.col("fast") - F.col("slow")), {"dea": ("dif", 2 / 10, 9)})
-    return out(p.withColumn("hist", 2 * (F.col("dif") - F.col("dea"))), "dif", "dea", "hist")
+    return out(factors.macd(B.panel(spark, sf_dir, "ev"), least=9), "dif", "dea", "hist")
 
 
-_BUILT = {"close_ma20": (1, 20), "ma5_ma20": (5, 20), "ma20_ma60": (20, 60)}
+def _mean(x: str, n: int) -> str:
+    return f"({sroll('avg', x, n)})"
 
 
-@query(f"""WITH {SW}, q AS (SELECT *, {FILL} AS y FROM p), r AS (SELECT *, {sret(1)} AS ret FROM q), z AS (SELECT code, dt, {sret(5)} AS ret_5d, {sret(60)} AS ret_60d, -({sret(20)}) AS rev_20d,
- "close" / {sroll('avg', '"close"', 20)} - 1 AS close_ma20, {sroll('avg', '"close"', 5)} / ({sroll('avg', '"close"', 20)}) - 1 AS ma5_ma20, {sroll('stddev_samp', 'ret', 20)} AS vol_20d,
- {sroll('stddev_samp', 'least(ret, 0)', 20)} AS downside_20d, {sroll('avg', 'volume', 5)} / ({sroll('avg', 'volume', 20)}) AS vol_ratio, ln(greatest({sroll('avg', 'amount', 20)}, 1)) AS log_amt20,
- "close" / ({sroll('max', 'high', 60)}) - 1 AS hi60_dist, ret * 100 AS chg, open / nullif(lag("close", 1) OVER (PARTITION BY code ORDER BY dt), 0) - 1 AS gap_up, abs(ret) / greatest(amount, 1) * 1e6 AS amihud FROM r)
- SELECT code, dt, round(ret_5d, 6) AS ret_5d, round(ret_60d, 6) AS ret_60d, round(rev_20d, 6) AS rev_20d, round(close_ma20, 6) AS close_ma20, round(ma5_ma20, 6) AS ma5_ma20, round(vol_20d, 6) AS vol_20d, round(downside_20d, 6) AS downside_20d,
- round(vol_ratio, 6) AS vol_ratio, round(log_amt20, 6) AS log_amt20, round(hi60_dist, 6) AS hi60_dist, round(chg, 6) AS chg, round(gap_up, 6) AS gap_up, round(amihud, 6) AS amihud FROM z WHERE volume_ok""".replace("FROM z WHERE volume_ok", "FROM z").replace("ln(greatest(CASE", "ln(0 + greatest_nn(CASE").replace("greatest_nn(", "greatest(").replace("ln(0 + greatest", "ln(greatest"))
+def _over(x: str, y: str) -> str:
+    return f"{x} / nullif({y}, 0)"
+
+
+_CLOSE = '"close"'
+_BUILTIN_SQL = {
+    **{f"ret_{n}d": sret(n) for n in (5, 10, 20, 60, 120)}, **{f"rev_{n}d": f"-({sret(n)})" for n in (5, 20)},
+    **{f"close_ma{n}": f"{_over(_CLOSE, _mean(_CLOSE, n))} - 1" for n in (20, 60, 120)}, "ma5_ma20": f"{_over(_mean(_CLOSE, 5), _mean(_CLOSE, 20))} - 1", "ma20_ma60": f"{_over(_mean(_CLOSE, 20), _mean(_CLOSE, 60))} - 1",
+    "vol_20d": sroll("stddev_samp", "ret", 20), "vol_60d": sroll("stddev_samp", "ret", 60), "downside_20d": sroll("stddev_samp", "(CASE WHEN ret IS NOT NULL THEN least(ret, 0) END)", 20),
+    "vol_ratio": _over(_mean("volume", 5), _mean("volume", 20)), "amt_ratio": _over(_mean("amount", 5), _mean("amount", 20)),
+    "log_amt20": f"CASE WHEN {_mean('amount', 20)} IS NOT NULL THEN ln(greatest({_mean('amount', 20)}, 1)) END", **{f"hi{n}_dist": f"{_over(_CLOSE, '(' + sroll('max', 'high', n) + ')')} - 1" for n in (20, 60, 120)},
+    "chg": "ret * 100", "gap_up": 'open / nullif(lag("close", 1) OVER (PARTITION BY code ORDER BY dt), 0) - 1', "amihud": "CASE WHEN amount IS NOT NULL THEN abs(ret) / greatest(amount, 1) * 1e6 END",
+}
+
+
+@query(f"WITH {SW}, q AS (SELECT *, {FILL} AS y FROM p), r AS (SELECT *, {sret(1)} AS ret FROM q), z AS (SELECT code, dt, {', '.join(f'{x} AS {n}' for n, x in _BUILTIN_SQL.items())} FROM r) {sround(*_BUILTIN_SQL)}")
 def builtin_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price and volume factors whose windows must be full."""
-    c = F.col
-    q = B.panel(spark, sf_dir, "sw").withColumn("y", P.filled(c("close"))).withColumn("ret", P.returns("y", 1))
-    mean = lambda x, n: P.rolling(F.avg, c(x), n)
-    low = F.when(c("ret").isNotNull(), F.least("ret", F.lit(0.0)))
-    z = q.withColumns({
-        "ret_5d": P.returns("y", 5), "ret_60d": P.returns("y", 60), "rev_20d": -P.returns("y", 20), "close_ma20": c("close") / mean("close", 20) - 1, "ma5_ma20": mean("close", 5) / mean("close", 20) - 1,
-        "vol_20d": P.rolling(F.stddev_samp, c("ret"), 20), "downside_20d": P.rolling(F.stddev_samp, low, 20), "vol_ratio": F.try_divide(mean("volume", 5), mean("volume", 20)), "log_amt20": F.when(mean("amount", 20).isNotNull(), F.ln(F.greatest(mean("amount", 20), F.lit(1.0)))),
-        "hi60_dist": c("close") / P.rolling(F.max, c("high"), 60) - 1, "chg": c("ret") * 100, "gap_up": F.try_divide(c("open"), F.lag("close", 1).over(P.by_code())) - 1, "amihud": F.when(c("amount").isNotNull(), F.abs("ret") / F.greatest("amount", F.lit(1.0)) * 1e6),
-    })
-    return out(z, "ret_5d", "ret_60d", "rev_20d", "close_ma20", "ma5_ma20", "vol_20d", "downside_20d", "vol_ratio", "log_amt20", "hi60_dist", "chg", "gap_up", "amihud")
+    return out(factors.windowed(B.panel(spark, sf_dir, "sw")), *_BUILTIN_SQL)
+
+
+def _again(sql: str) -> str:
+    """A second recursion in one statement: q, e, w and p0 by other names."""
+    return re.sub(r"\b(q|e|w|p0)\b", lambda m: {"q": "q2", "e": "e2", "w": "w2", "p0": "p1"}[m[1]], sql)
+
+
+def _macd_sql(kind: str, panel: str, least: int) -> str:
+    fast = _ewm_sql(kind, {"fast": ("close", 2 / 13, 12), "slow": ("close", 2 / 27, 26)})
+    for a, b in (("close::DOUBLE", '"close"::DOUBLE'), ("(close IS", '("close" IS'), ("q.close", 'q."close"')):
+        fast = fast.replace(a, b)
+    return f"WITH RECURSIVE {panel}, p0 AS (SELECT * FROM p), {fast}, p1 AS (SELECT code, dt, fast - slow AS dif FROM w), {_again(_ewm_sql(kind, {'dea': ('dif', 2 / 10, least)}))}, m AS (SELECT p1.code, p1.dt, dif, dea, 2 * (dif - dea) AS hist FROM p1 JOIN w2 ON w2.code = p1.code AND w2.dt = p1.dt)"
 
 
-ORACLES["builtin_factors"] = ORACLES["builtin_factors"].replace("abs(ret) / greatest(amount, 1) * 1e6", "CASE WHEN amount IS NOT NULL THEN abs(ret) / greatest(amount, 1) * 1e6 END").replace("least(ret, 0)", "(CASE WHEN ret IS NOT NULL THEN least(ret, 0) END)").replace(f"ln(greatest({sroll('avg', 'amount', 20)}, 1))", f"CASE WHEN {sroll('avg', 'amount', 20)} IS NOT NULL THEN ln(greatest({sroll('avg', 'amount', 20)}, 1)) END")
+ORACLES["macd"] = f"{_macd_sql('ev', EV, 9)} {sround('dif', 'dea', 'hist', table='m')}"
+
+
+@query(f"{_macd_sql('sw', SW, 1)} SELECT code, dt, round(hist, 6) AS macd_hist, round(dif, 6) AS macd_dif FROM m")
+def builtin_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(factors.macd(B.panel(spark, sf_dir, "sw"), least=1).withColumnsRenamed({"hist": "macd_hist", "dif": "macd_dif"}), "macd_hist", "macd_dif")
+
+
+@query(f"""WITH RECURSIVE {SW}, p0 AS (SELECT code, dt, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS up, CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END AS down
+ FROM (SELECT code, dt, y - lag(y, 1) OVER (PARTITION BY code ORDER BY dt) AS d FROM (SELECT code, dt, "close" AS y FROM p))), {_ewm_sql('sw', {'u': ('up', 1 / 14, 1), 'v': ('down', 1 / 14, 1)})},
+ z AS (SELECT code, dt, 100 - 100 / (1 + u / nullif(v, 0)) AS rsi_14 FROM w) {sround('rsi_14')}""")
+def builtin_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(factors.panel_rsi(B.panel(spark, sf_dir, "sw")), "rsi_14")
+
 
 # --- statistics ----------------------------------------------------------------------------
 
@@ -321,36 +346,41 @@ def missing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.missing_history(b, b, 82)
 
 
-@query(f"""WITH {SW}, b AS (SELECT code, dt, open, "close", row_number() OVER (PARTITION BY code ORDER BY dt) AS ord FROM bars), k AS (SELECT code, dt AS run_date FROM bars WHERE month(dt) = 6 AND day(dt) <= 7),
+HORIZONS = (5, 10, 20, 60)
+
+
+@query(f"""WITH {SW}, b AS (SELECT code, dt, open, "close", row_number() OVER (PARTITION BY code ORDER BY dt) AS ord FROM bars), k AS (SELECT code, dt + 2 AS run_date FROM bars),
  f AS (SELECT k.code, run_date, min(ord) AS ord FROM k JOIN b ON b.code = k.code AND b.dt > run_date GROUP BY 1, 2)
- SELECT k.code, k.run_date, round(CASE WHEN e.open > 0 THEN (x."close" / e.open - 1) * 100 END, 2) AS ret FROM k LEFT JOIN f USING (code, run_date) LEFT JOIN b e ON e.code = f.code AND e.ord = f.ord LEFT JOIN b x ON x.code = f.code AND x.ord = f.ord + 5""")
+ SELECT k.code, k.run_date, {', '.join(f'round_even(CASE WHEN e.open > 0 THEN (x{h}."close" / e.open - 1) * 100 END, 2) + 0.0 AS ret_{h}' for h in HORIZONS)}
+ FROM k LEFT JOIN f USING (code, run_date) LEFT JOIN b e ON e.code = f.code AND e.ord = f.ord {' '.join(f'LEFT JOIN b x{h} ON x{h}.code = f.code AND x{h}.ord = f.ord + {h}' for h in HORIZONS)}""")
 def track_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code picked two days after each of its bars, at each horizon."""
     b = B.week_bars(spark, sf_dir)
-    picks = b.filter((F.month("dt") == 6) & (F.dayofmonth("dt") <= 7)).select(F.col("dt").alias("run_date"), "code")
-    return screen.outcomes(picks, b, 5).select("code", "run_date", "ret")
+    picks = b.select(F.date_add("dt", 2).alias("run_date"), "code")
+    return screen.outcomes(picks, b, HORIZONS).select("code", "run_date", *(f"ret_{h}" for h in HORIZONS))
 
 
-@query("""WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), o AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer)
+@query("""WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1), o AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer)
  SELECT k, round(v, 2) AS v, name FROM o WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT k, round(v, 2), NULL FROM n""")
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = B.table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    new = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     old = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("name"))
     return tables.upsert(old, new, ["k"]).select("k", F.round("v", 2).alias("v"), "name")
 
 
-@query("""WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), o AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer)
+@query("""WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1), o AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer)
  SELECT k, round(coalesce(n.v, o.v), 2) AS v, name FROM o FULL JOIN n USING (k)""")
 def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = B.table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    new = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     old = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("name"))
     return tables.upsert(old, new, ["k"], "coalesce").select("k", F.round("v", 2).alias("v"), "name")
 
 
-@query(f"""WITH {EV}, l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn FROM bars), k AS (SELECT code, dt, "close" FROM l WHERE rn <= 25),
- z AS (SELECT code, dt, "close" AS c, {sroll('avg', '"close"', 5)} AS ma5, {sroll('avg', '"close"', 20)} AS ma20 FROM k) {sround('c', 'ma5', 'ma20')}""")
+@query(f"""WITH {EV}, l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn FROM bars), k AS (SELECT code, dt, "close" FROM l WHERE rn <= 250),
+ z AS (SELECT code, dt, "close" AS c, {sroll('avg', '"close"', 5)} AS ma5, {sroll('avg', '"close"', 20)} AS ma20, {sroll('avg', '"close"', 60)} AS ma60 FROM k) {sround('c', 'ma5', 'ma20', 'ma60')}""")
 def kline_ma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.event_bars(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("dt")))).filter("rn <= 25")
-    return out(b.withColumns({"c": F.col("close"), "ma5": P.rolling(F.avg, F.col("close"), 5), "ma20": P.rolling(F.avg, F.col("close"), 20)}), "c", "ma5", "ma20")
+    b = B.event_bars(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("dt")))).filter("rn <= 250")
+    return out(b.withColumns({"c": F.col("close"), "ma5": P.rolling(F.avg, F.col("close"), 5), "ma20": P.rolling(F.avg, F.col("close"), 20), "ma60": P.rolling(F.avg, F.col("close"), 60)}), "c", "ma5", "ma20", "ma60")
 
 
 @query(f"WITH {EV}, h AS (SELECT code, max(dt) AS l FROM bars WHERE dt < DATE '2024-01-20' GROUP BY code) SELECT b.code, b.dt, round(b.\"close\", 6) AS \"close\" FROM bars b LEFT JOIN h USING (code) WHERE l IS NULL OR b.dt > l")
