@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import NOT_WORD, mix, slices, words
+from .text import NOT_WORD, free, mix, slices, words
 
 SEED, COVERAGE, BROADCAST_SEEDS = 5, 0.5, 2_000_000
 _B = np.uint64(0x100000001B3)
@@ -194,8 +194,11 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, k: int, least: float, kinds:
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, k: int = SEED, least: float = COVERAGE, most: int = BROADCAST_SEEDS) -> DataFrame:
     """The rows of ``docs``, all columns, without contaminated ones; in one pass where the benchmark is small."""
     if _count_seeds(items, k) > most:
-        bad = contaminated(docs, items, k=k, least=least, most=most).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+        key = F.xxhash64("doc_id", "text")  # rows go by their texts, whatever others have their doc_id or none
+        bad = contaminated(docs.select(key.alias("doc_id"), "text"), items, k=k, least=least, most=most).select(F.col("doc_id").alias("__bad")).distinct()
+        own = free(docs, "__own")
+        out = docs.withColumn(own, key)
+        return out.join(bad, out[own] == bad["__bad"], "left_anti").drop(own)
     bench = docs.sparkSession.sparkContext.broadcast(_collect(items, k))
     at = docs.columns.index("text")
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import NOT_WORD, discard, flat, materialize, mix, ragged, slices, span_hash, spans
+from .text import NOT_WORD, discard, flat, free, materialize, mix, ragged, slices, span_hash, spans
 
 K, SKETCHES, MINIMA, SIMILAR = 5, 48, 3, 0.8
 #: Deeper sketches beside the others, for texts in groups of several components.
@@ -461,7 +461,8 @@ def one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("k")
     keep = materialize(own.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2")))
     x, y = text_keys()
-    out = docs.withColumns({"__x": x, "__y": y})
-    out = out.join(keep, out["doc_id"].eqNullSafe(keep["__id"]) & (out["__x"] == keep["__t1"]) & (out["__y"] == keep["__t2"]), "left_semi")
+    p, q = free(docs, "__x"), free(docs, "__y")
+    out = docs.withColumns({p: x, q: y})
+    out = out.join(keep, out["doc_id"].eqNullSafe(keep["__id"]) & (out[p] == keep["__t1"]) & (out[q] == keep["__t2"]), "left_semi")
     twice = own.join(keep, own["doc_id"].eqNullSafe(keep["__id"]) & (own["t1"] == keep["__t1"]) & (own["t2"] == keep["__t2"]), "left_semi").count() > keep.count()
-    return (out.dropDuplicates(["doc_id", "__x", "__y"]) if twice else out).drop("__x", "__y")
+    return (out.dropDuplicates(["doc_id", p, q]) if twice else out).drop(p, q)

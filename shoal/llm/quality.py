@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import BLANK, LOWER, flat, materialize, slices, span_hash, spans
+from .text import BLANK, LOWER, flat, free, materialize, slices, span_hash, spans
 
 TRAIN_ROWS = 50_000
 KEEP = 0.5
@@ -79,19 +79,24 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tu
     return mean, scale, w
 
 
+def seen() -> Column:
+    """A hash of all that a row's posterior comes from."""
+    return F.xxhash64("text", F.col("source").cast("string"), F.col("lang").cast("string"))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, host, path and features of every row, written once."""
+    """doc_id, host, path, features and a hash of what they come from, of every row, written once."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     host = F.substring_index(source, "/", 1)
     path = F.concat_ws(" ", F.substring_index(source, "/", 2), F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    rows = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, path string, x array<double>"
+    rows = docs.select("doc_id", host.alias("host"), path.alias("path"), "text", seen().alias("seen"))
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, path string, x array<double>, seen long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = surface(b.column(3))
             offs = np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)
-            yield pa.record_batch({"doc_id": b.column(0), "host": b.column(1), "path": b.column(2), "x": pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))})
+            yield pa.record_batch({"doc_id": b.column(0), "host": b.column(1), "path": b.column(2), "x": pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel())), "seen": b.column(4)})
 
     return materialize(rows.mapInArrow(run, kinds))
 
@@ -113,6 +118,10 @@ def strength(rates: DataFrame, n: str, k: str, low: float = 2.0, high: float = 1
 
 def posterior(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
     """doc_id, evidence, path_rate, posterior, keep of every row."""
+    return judged(docs, labels, train_rows, keep).drop("seen")
+
+
+def judged(docs: DataFrame, labels: DataFrame, train_rows: int, keep: float) -> DataFrame:
     rows = measured(docs)
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).na.drop().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = materialize(rows.join(marks, "doc_id"))
@@ -122,14 +131,14 @@ def posterior(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROW
     x = np.array(sample.column("x").to_pylist(), float).reshape(-1, len(FEATURES)) if n else np.zeros((0, len(FEATURES)))
     y = (np.array(sample.column("quality").to_pylist()) > 0).astype(float) if n else np.zeros(0)
     if not len(y) or y.min() == y.max():
-        return rows.select("doc_id", F.lit(0.0).alias("evidence"), F.lit(0.5).alias("path_rate"), F.lit(0.5).alias("posterior"), F.lit(True).alias("keep"))
+        return rows.select("doc_id", "seen", F.lit(0.0).alias("evidence"), F.lit(0.5).alias("path_rate"), F.lit(0.5).alias("posterior"), F.lit(True).alias("keep"))
     mean, scale, w = fit(x, y)
     z = lambda k: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("x")[k] - float(mean[k])) / float(scale[k]))) * float(w[k])
     logit = sum((z(k) for k in range(1, len(FEATURES))), z(0)) + float(w[-1])
     clip = lambda c: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c))
     soft = lambda c: 1 / (1 + F.exp(-c))
     lo = F.log(F.lit(float(y.mean()) / (1 - float(y.mean()))))
-    scored = rows.select("doc_id", "host", "path", clip(logit).alias("logit"))
+    scored = rows.select("doc_id", "seen", "host", "path", clip(logit).alias("logit"))
     sites = scored.groupBy("host", "path").agg(F.count("*").alias("docs"), F.sum(soft(F.col("logit"))).alias("soft"))
     known = marked.groupBy("host", "path").agg(F.count("*").alias("n_marked"), F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.sum(soft(clip(logit))).alias("soft_marked"))
     # labelled documents count by their label, all others by the classifier's evidence
@@ -140,11 +149,13 @@ def posterior(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROW
     hosts = hosts.select("host", ((F.col("host_k") + a_host * rate) / (F.col("host_n") + a_host)).alias("host_rate"))
     shrunk = sites.join(hosts, "host").select("host", "path", F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), (F.col("k") + a_path * F.col("host_rate")) / (F.col("n") + a_path))).alias("path_rate"))
     shift = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(rate / (1 - rate)))
-    out = scored.join(shrunk, ["host", "path"]).select("doc_id", (F.col("logit") - lo).alias("evidence"), "path_rate", soft(F.col("logit") + shift).alias("posterior"))
+    out = scored.join(shrunk, ["host", "path"]).select("doc_id", "seen", (F.col("logit") - lo).alias("evidence"), "path_rate", soft(F.col("logit") + shift).alias("posterior"))
     return out.withColumn("keep", F.col("posterior") >= keep)
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, *, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't rejected; of rows with one doc_id, all go if one does."""
-    bad = posterior(docs, labels, keep=keep).filter("not keep").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs``, all columns, that aren't rejected; each by its own text and site, whatever other rows have its doc_id or none."""
+    bad = judged(docs, labels, TRAIN_ROWS, keep).filter("not keep").select(F.col("doc_id").alias("__bad"), F.col("seen").alias("__seen")).distinct()
+    own = free(docs, "__own")
+    out = docs.withColumn(own, seen())
+    return out.join(bad, out["doc_id"].eqNullSafe(bad["__bad"]) & (out[own] == bad["__seen"]), "left_anti").drop(own)

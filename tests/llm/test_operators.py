@@ -323,6 +323,31 @@ def test_quality(spark):
     assert all(r.keep for r in quality.posterior(docs, labels.filter("quality = 1")).collect())
 
 
+def test_rows_without_an_id_are_judged_one_by_one(spark):
+    item = prose(40, 9)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, item), (None, prose(50, 3)), (4, item), (4, prose(50, 4)), (None, None)], "doc_id long, text string")
+    for most in (10**6, 0):
+        left = decontam.drop_contaminated(docs, items, most=most).collect()
+        assert sorted(len(r.text or "") for r in left) == sorted([len(prose(50, 3)), len(prose(50, 4)), 0])
+    bad = prose(80, 3).replace(" ", "### ").upper()
+    made = [(s, prose(80, s) if s % 3 else prose(80, s).replace(" ", "### ").upper(), "en", "a/b") for s in range(150)] + [(None, bad, "en", "a/b"), (None, prose(80, 1), "en", "a/b"), (None, prose(80, 1), "en", "a/b")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(s, int(s % 3 > 0)) for s in range(0, 150, 2)], "doc_id long, quality int")
+    assert [r.text for r in quality.drop_poor(docs, labels).filter("doc_id is null").collect()] == [prose(80, 1)] * 2
+
+
+def test_empty_tables(spark):
+    docs = docs_of(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    word, byte, piece = (queries.tokenizer(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+    lex = toxicity.learn(toxicity.training(docs, labels))
+    made = [quality.posterior(docs, labels), quality.drop_poor(docs, labels), tokenbin.stored(docs, word), media.stored(docs), counts.token_counts(docs, byte), decontam.contaminated(docs, items), decontam.drop_contaminated(docs, items)]
+    made += [decontam.contaminated(docs, items, most=-1), toxicity.scored(docs, lex), toxicity.drop_toxic(docs, lex), licenses.scan(docs), spm.digests(docs, piece), neardup.one_of_each(docs)]
+    assert [df.count() for df in made] == [0] * len(made)
+
+
 def test_licences(spark):
     mit = [licenses.SENTENCES[k] for k in ("mit-grant", "mit-notice", "mit-as-is")]
     texts = [None, "", "Intro. Released under the MIT License.\nMore", ". ".join(s.upper() for s in mit) + ".", ". ".join(mit[::-1]), "Licensed under the Apache License, Version 2.0."]
