@@ -22,27 +22,34 @@ def shares_for(budget: float, price: float | None, cash: float) -> int:
     return n if n >= LOT and n * price * (1 + COST_BUY) <= cash else 0
 
 
-def exit_price(pos: dict, open_: float | None, low: float | None, high: float | None, *, stop: float, profit: float, trail: float | None, held: int, horizon: int, stuck: int) -> tuple[float, str] | None:
-    """(price, reason) if the position leaves today: stop, then trailing stop, then profit, then age; without a price only after ``stuck`` days."""
-    if profit <= 0:
-        raise ValueError("profit must be over 0")
-    if held < 1:
-        return None
-    if open_ is None:
-        return (pos["px"], "stuck") if held >= stuck else None
-    floor, goal = pos["px"] * (1 + stop / 100), pos["px"] * (1 + profit / 100)
-    if open_ <= floor:
-        return open_, "stop"
-    if low is not None and low <= floor:
-        return min(open_, floor), "stop"
-    if trail and low is not None and low <= (level := pos["peak"] * (1 - trail)):
-        return min(open_, level), "trail"
-    if high is not None and high >= goal:
-        return max(open_, goal), "profit"
-    return (open_, "age") if held >= horizon - 1 else None
-
-
-def simulate(rows: pd.DataFrame, top: int, horizon: int, stop: float, profit: float, trail: float | None, capital: float) -> list[dict]:
+def position_return(sold: float, bought: float) -> float:
+    """What a position has brought after the costs of both its trades, as a share of what it took."""
+    return sold * (1 - COST_SELL) / (bought * (1 + COST_BUY)) - 1
+
+
+def exit_price(pos: dict, open_: float | None, low: float | None, high: float | None, *, stop: float | None, profit: float | None, trail: float | None, held: int, horizon: int, stuck: int) -> tuple[float, str] | None:
+    """(price, reason) if the position leaves today: stop, then trailing stop, then profit, then age; without a price only after ``stuck`` days.
+
+    stop, profit and trail are percentages, None for none. A stop that the day opens beyond fills at the open, a profit always at its goal.
+    """
+    if profit is not None and profit <= 0:
+        raise ValueError("profit must be over 0, or None")
+    if open_ is None or held < 1:
+        return (pos["px"], "stuck") if stuck and held >= stuck else None
+    levels = []
+    if stop is not None:
+        levels.append((pos["px"] * (1 + stop / 100), "stop"))
+    if trail:
+        levels.append((pos["peak"] * (1 - trail / 100), "trail"))
+    for level, reason in levels:
+        if (low is not None and low <= level) or (reason == "stop" and open_ <= level):
+            return min(open_, level), reason
+    if profit is not None and high is not None and high >= (goal := pos["px"] * (1 + profit / 100)):
+        return goal, "profit"
+    return (open_, "age") if held >= max(horizon - 1, 1) else None
+
+
+def simulate(rows: pd.DataFrame, top: int, horizon: int, stop: float | None, profit: float | None, trail: float | None, capital: float) -> list[dict]:
     """rows: (dt, code, open, high, low, close, pick, enter), pick the signal's rank of the date before. One equity point a date, before its trades."""
     known = lambda x: None if pd.isna(x) else float(x)
     cash, held, out = capital, {}, []

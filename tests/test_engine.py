@@ -69,9 +69,13 @@ def test_recipes_expand():
 def test_exits():
     go = lambda o, lo, hi, held=1, **k: simulate.exit_price({"px": 100.0, "peak": 110.0}, o, lo, hi, **({"stop": -8, "profit": 8, "trail": None, "horizon": 5, "stuck": 10, "held": held} | k))
     assert go(100, 90, 101) == (92.0, "stop") and go(90, 89, 95) == (90, "stop")
-    assert go(100, 99, 109) == (108.0, "profit") and go(100, 98, 101, trail=0.1) == (99.0, "trail")
+    assert go(100, 99, 109) == (108.0, "profit") and go(100, 98, 101, trail=10) == (99.0, "trail")
     assert go(100, 99, 101, held=4) == (100, "age") and go(100, 99, 101) is None and go(100, 1, 999, held=0) is None
-    assert go(None, None, None, held=10) == (100.0, "stuck")
+    assert go(None, None, None, held=10) == (100.0, "stuck") and go(None, None, None, held=9) is None
+    assert go(112, 110, 115) == (108.0, "profit") and go(112, 110, 115, profit=None) is None  # a gap fills at the goal
+    assert go(50, 40, 60, stop=None) is None and go(50, 40, 60, stop=None, trail=5) == (50, "trail")
+    assert go(100, 99, 101, horizon=1) == (100, "age") and go(100, 99, None, held=4) == (100, "age")
+    assert simulate.position_return(110.0, 100.0) == pytest.approx(110 * (1 - simulate.COST_SELL) / (100 * (1 + simulate.COST_BUY)) - 1)
     with pytest.raises(ValueError):
         go(1, 1, 1, profit=0)
 
@@ -84,7 +88,7 @@ def test_cap_edges(spark):
 
 def test_entry_and_rows_only_queries(spark):
     assert entry.entry(spark).count() > 0
-    for name in ("macd", "backtest_sim"):
+    for name in ("backtest_sim",):
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
