@@ -2,8 +2,8 @@
 
 Texts and benchmark items become words (lower case, ASCII punctuation parts them). Windows of
 ``SEED`` words that a text shares with an item are joined as seeds (an item of fewer words is one
-seed). For each such pair, maximal matches are runs of seeds on a diagonal; the longest that is
-free on both sides is marked, again and again, until none of ``SEED`` words is left. The share
+seed). For each such pair the longest match that is free on both sides is marked, again and again, by
+Karp-Rabin hashes of windows of that length, until none of ``SEED`` words is left. The share
 of the item's words that tiles cover is its coverage; a text with an item of ``COVERAGE`` or more
 is contaminated, in whatever order the passages stand.
 
@@ -27,6 +27,9 @@ from .text import NOT_WORD, free, mix, slices, words
 
 SEED, COVERAGE, BROADCAST_SEEDS = 5, 0.5, 2_000_000
 _B = np.uint64(0x100000001B3)
+_B_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+#: Most (text, item) candidates by seed that are held at once, unless a single text has more.
+CANDIDATES = 1 << 21
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,29 +47,83 @@ def windows(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h ^ np.uint64(k))
 
 
+class Runs:
+    """Karp-Rabin hashes of a text's windows of any length, from one pass of prefix sums."""
+
+    def __init__(self, w: np.ndarray) -> None:
+        self.w = w
+        up, down = np.full(len(w) + 1, _B), np.full(len(w) + 1, _B_INVERSE)
+        up[0] = down[0] = 1
+        self.down = np.multiply.accumulate(down)
+        self.sums = np.r_[np.zeros(1, np.uint64), np.add.accumulate(w * np.multiply.accumulate(up)[:-1])]
+        self.taken = np.zeros(len(w), bool)
+
+    def free(self, k: int) -> np.ndarray:
+        """Where a window of k words begins that no tile has touched."""
+        used = np.r_[0, np.cumsum(self.taken)]
+        return np.flatnonzero(used[k:] == used[: len(used) - k])
+
+    def at(self, begin: np.ndarray, k: int) -> np.ndarray:
+        return (self.sums[begin + k] - self.sums[begin]) * self.down[begin]
+
+
+def _shared(doc: Runs, item: Runs, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Free windows of k words of the item and of the doc that have a common hash, with these hashes."""
+    i, j = doc.free(k), item.free(k)
+    hi, hj = doc.at(i, k), item.at(j, k)
+    both = np.intersect1d(hi, hj)
+    own_i, own_j = np.isin(hi, both), np.isin(hj, both)
+    return i[own_i], hi[own_i], j[own_j], hj[own_j]
+
+
 def tile(doc: np.ndarray, item: np.ndarray, k: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles (place in doc, place in item, words), longest first; ties go to the leftmost in the item, then in the doc."""
+    """Tiles (place in doc, place in item, words), longest first; ties go to the leftmost in the item, then in the doc.
+
+    The longest length that free windows of both share is found by doubling and halving (a shared window holds a shorter
+    one), and all tiles of that length are marked in one sweep over the item. Memory grows with the sum of both lengths.
+    """
     k = min(k, len(item))
     if not k or len(doc) < k:
         return []
-    a, b = windows(doc, k), windows(item, k)
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    i = np.repeat(np.arange(len(a)), hi - lo)
-    j = order[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(i))] if len(i) else i
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    out: list[tuple[int, int, int]] = []
-    while len(i):
-        new = np.r_[True, (np.diff(i) != 1) | (np.diff(i - j) != 0)]
-        begin = np.flatnonzero(new)
-        size = np.diff(np.r_[begin, len(i)])
-        best = begin[np.lexsort((i[begin], j[begin], -size))[0]]
-        n = int(size[np.searchsorted(begin, best)]) + k - 1
-        p, q = int(i[best]), int(j[best])
-        out.append((p, q, n))
-        free = ((i + k <= p) | (i >= p + n)) & ((j + k <= q) | (j >= q + n))
-        i, j = i[free], j[free]
+    a, b, out, most = Runs(doc), Runs(item), [], min(len(doc), len(item))
+    while most >= k:
+        low, found, high = k - 1, None, most + 1
+        step = k
+        while low + 1 < high:
+            got = _shared(a, b, step)
+            if len(got[0]):
+                low, found = step, got
+            else:
+                high = step
+            step = (low + high) // 2 if high <= most else min(2 * low, most)
+        if found is None:
+            break
+        out += _sweep(a, b, low, *found)
+        most = low - 1
+    return out
+
+
+def _sweep(a: Runs, b: Runs, n: int, i: np.ndarray, hi: np.ndarray, j: np.ndarray, hj: np.ndarray) -> list[tuple[int, int, int]]:
+    """Mark every tile of ``n`` words; no longer one is left. A tile can touch no other but at one of its ends."""
+    order = np.argsort(hi, kind="stable")
+    i, hi = i[order], hi[order]
+    begin, end = np.searchsorted(hi, hj, "left"), np.searchsorted(hi, hj, "right")
+    first: dict[int, int] = {}  # by hash: places in the doc before this one are taken
+    out = []
+    for q, lo, top in zip(j.tolist(), begin.tolist(), end.tolist(), strict=True):
+        if b.taken[q] or b.taken[q + n - 1]:
+            continue
+        x = first.get(lo, lo)
+        while x < top and (a.taken[i[x]] or a.taken[i[x] + n - 1]):
+            x += 1
+        first[lo] = x
+        while x < top:
+            p = int(i[x])
+            if not (a.taken[p] or a.taken[p + n - 1]) and np.array_equal(a.w[p : p + n], b.w[q : q + n]):
+                a.taken[p : p + n] = b.taken[q : q + n] = True
+                out.append((p, q, n))
+                break
+            x += 1
     return out
 
 
@@ -82,8 +139,11 @@ class Bench:
         self.sizes = sorted({m for s, m in seeds if len(s)})
         self.hash = np.concatenate([s for s, _ in seeds]) if seeds else np.zeros(0, np.uint64)
         self.item = np.repeat(np.arange(len(seeds)), [len(s) for s, _ in seeds])
-        order = np.argsort(self.hash, kind="stable")
+        order = np.lexsort((self.item, self.hash))
         self.hash, self.item = self.hash[order], self.item[order]
+        new = np.r_[np.ones(min(1, len(order)), bool), (np.diff(self.hash) != 0) | (np.diff(self.item) != 0)]
+        first = np.flatnonzero(new)
+        self.hash, self.item, self.times = self.hash[first], self.item[first], np.diff(np.r_[first, len(order)])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hash >> np.uint64(44)] = True
 
@@ -91,20 +151,32 @@ class Bench:
         """(row, item, coverage, tiles, words covered) of every pair at or over ``least``."""
         w, n = tokens(column)
         offs = np.r_[0, np.cumsum(n)]
-        rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rows, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for k in self.sizes:
             h = windows(w, k)
             at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
             row = np.searchsorted(offs, at, "right") - 1
             keep = at + k <= offs[row + 1]
-            at, row = at[keep], row[keep]
-            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            size = hi - lo
-            rows.append(np.repeat(row, size))
-            items.append(self.item[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
-        pair, seeds = np.unique(np.concatenate(rows) * max(1, len(self.ids)) + np.concatenate(items), return_counts=True)
+            rows.append(row[keep])
+            seeds.append(h[at[keep]])
+        row, seed = np.concatenate(rows), np.concatenate(seeds)
+        order = np.lexsort((seed, row))
+        row, seed = row[order], seed[order]
+        once = np.r_[np.ones(min(1, len(row)), bool), (np.diff(row) != 0) | (np.diff(seed) != 0)]
+        row, seed = row[once], seed[once]
+        lo = np.searchsorted(self.hash, seed, "left")
+        size = np.searchsorted(self.hash, seed, "right") - lo
+        out = []
+        for x, y in _blocks(row, size, CANDIDATES):
+            out += self._pairs(w, offs, row[x:y], lo[x:y], size[x:y], least)
+        return out
+
+    def _pairs(self, w: np.ndarray, offs: np.ndarray, row: np.ndarray, lo: np.ndarray, size: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pair, back = np.unique(np.repeat(row, size) * max(1, len(self.ids)) + self.item[at], return_inverse=True)
+        places = np.bincount(back, weights=self.times[at], minlength=len(pair))  # places in the item whose seed the text has
         out = []
-        for p, s in zip(pair.tolist(), seeds.tolist(), strict=True):
+        for p, s in zip(pair.tolist(), places.tolist(), strict=True):
             row, item = divmod(p, len(self.ids))
             x = self.items[item]
             if s * self.k < least * len(x):  # so few seeds can't cover enough
@@ -116,6 +188,18 @@ class Bench:
         return out
 
 
+def _blocks(row: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows whose sizes add up to ``most`` at the utmost, or of one row."""
+    begin = np.flatnonzero(np.r_[np.ones(min(1, len(row)), bool), np.diff(row) != 0])
+    total = np.r_[0, np.cumsum(size)][np.r_[begin, len(row)]]
+    ends = np.r_[begin, len(row)]
+    x = 0
+    while x < len(begin):
+        y = max(x + 1, int(np.searchsorted(total, total[x] + most, "right")) - 1)
+        yield int(ends[x]), int(ends[y])
+        x = y
+
+
 FOUND = "coverage double, n_tiles int, n_words int"
 
 
@@ -163,11 +247,13 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, k: int, least: float, kinds:
             for b in slices(batches):
                 w, n = tokens(b.column(1))
                 offs = np.r_[0, np.cumsum(n)]
+                found = []
                 for r in range(len(n)):
                     x = w[offs[r] : offs[r + 1]]
                     ks = ([min(k, len(x))] if len(x) else []) if own else [s for s in sizes if s <= len(x)]
-                    h = np.unique(np.concatenate([windows(x, s) for s in ks])) if ks else np.zeros(0, np.uint64)
-                    yield pa.record_batch({"key": pa.array(np.full(len(h), b.column(0)[r].as_py()), pa.int64()), "seed": pa.array(h.view(np.int64))})
+                    found.append(np.unique(np.concatenate([windows(x, s) for s in ks])) if ks else np.zeros(0, np.uint64))
+                keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(h) for h in found])
+                yield pa.record_batch({"key": pa.array(keys, pa.int64()), "seed": pa.array(np.concatenate(found).view(np.int64))})
 
         return table.select("key", "text").mapInArrow(run, "key long, seed long")
 

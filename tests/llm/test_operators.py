@@ -117,6 +117,48 @@ def brute_tiles(a, b, k):
     return sum(t[2] for t in out)
 
 
+def greedy_tiles(a, b, k):
+    """Tiles by trying every pair of places: the longest, then the leftmost in b, then in a."""
+    used_a, used_b, out = set(), set(), []
+    while True:
+        best = None
+        for j in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                if n >= k and (best is None or n > best[2]):
+                    best = (i, j, n)
+        if best is None:
+            return out
+        out.append(best)
+        used_a.update(range(best[0], best[0] + best[2]))
+        used_b.update(range(best[1], best[1] + best[2]))
+
+
+def test_tiles_are_the_longest_and_leftmost():
+    r = random.Random(3)
+    for _ in range(300):
+        letters = r.choice([1, 2, 3, 6])
+        a, b = ([r.randint(1, letters) for _ in range(r.randint(0, 40))] for _ in range(2))
+        k = r.choice([2, 3, 5])
+        assert decontam.tile(np.array(a, np.uint64), np.array(b, np.uint64), k) == greedy_tiles(a, b, min(k, len(b)) or 1), (a, b, k)
+
+
+def test_repeated_words_take_little_memory():
+    import tracemalloc
+
+    a, b = np.full(200_000, 7, np.uint64), np.full(3_000, 7, np.uint64)
+    tracemalloc.start()
+    assert decontam.tile(a, b) == [(0, 0, 3_000)]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    item = "spam " * 300
+    bench = decontam.Bench([0, 1], pa.array([item, "one two three four five six seven"]))
+    assert [f[:2] for f in bench.find(pa.array(["spam " * 60_000, "x", "one two three four five six"]), 0.5)] == [(0, 0), (2, 1)]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_tiling_matches_brute_force(spark):
     r = random.Random(3)
     for _ in range(200):
@@ -306,6 +348,10 @@ def test_toxicity(spark):
     assert not toxicity.learn(toxicity.training(docs, labels.filter("toxic = 0"))).weights
 
 
+def test_words_of_any_length_are_entries():
+    assert f" {'b' * 60} " in toxicity.features(toxicity.fold("a " + "b" * 60))
+
+
 def test_exceptions_do_not_count():
     lex = toxicity.Lexicon({" clown ": 3.0}, exceptions=("clown fish",))
     auto = lex.automaton()
