@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .text import materialize, slices
 
 TRAIN_ROWS = 200_000
-#: Most lexicon entries; they are broadcast.
-ENTRIES = 4096
+#: Size of the model: most lexicon entries, the strongest first. They are broadcast.
+ENTRIES = 1 << 16
 PREFIX = (4, 5, 6)
 LEAST_TEXTS, PURITY = 4, 0.75
 LIMIT = 0.3
@@ -59,7 +59,7 @@ _TOKEN = re.compile(r"\S*[0-9@$!]\S*")
 def _unleet(m: re.Match) -> str:
     """Digits stand for letters only inside a word that has letters; a trailing ! never does."""
     w = m[0].rstrip("!")
-    return w.translate(_LEET).replace("!", " ") if _LETTER.search(w) else " "
+    return w.translate(_LEET) if _LETTER.search(w) else " "
 
 
 def fold(text: str | None) -> str:
@@ -108,9 +108,8 @@ def features(folded: str) -> set[str]:
     """Candidate entries of a text: whole words, and beginnings of longer ones."""
     out = set()
     for w in set(folded.split()):
-        if len(w) <= 40:
-            out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in PREFIX if len(w) >= k)
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in PREFIX if len(w) >= k)
     return out
 
 
