@@ -5,7 +5,8 @@ and colons that end a line. Comment signs at line starts don't count. A sentence
 wrapped lines, and where it isn't known, line by line; for that it is normalised (lower case, runs of other characters than a-z and 0-9 become one blank) and looked
 up among the known licence sentences. The identifiers found, in text order, are matched against
 rules: a rule holds where its identifiers occur in its order, other known sentences between them
-allowed. All of it is row-wise Spark SQL, so nothing is shuffled and a hot licence costs nothing.
+allowed, unless the text fulfils a rule that holds all its identifiers and more (BSD's three clauses
+hold the two). All of it is row-wise Spark SQL, so nothing is shuffled and a hot licence costs nothing.
 
 null and empty texts: no result. Repeated rows: each gives its own. A rule that occurs more
 than once in a text is reported once. Other columns aren't read.
@@ -37,6 +38,13 @@ SENTENCES = {
     "cc-by-nc-name": "licensed under cc by nc 4 0",
     "cc-by-name": "licensed under cc by 4 0",
     "cc-by-sa-name": "licensed under cc by sa 4 0",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v",  # "v. 2.0" ends a sentence at its first dot
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "reserved": "all rights reserved",
 }
 _GRANT = ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
@@ -51,6 +59,8 @@ WHOLE = {
     SENTENCES["mit-as-is"] + " " + _PLAIN("including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"): ["mit-as-is"],
     **{SENTENCES["gpl-free"] + " " + _PLAIN(_GPL.format(v)): ["gpl-free"] for v in (2, 3)},
     SENTENCES["gpl-hope"] + " " + _PLAIN("without even the implied warranty of merchantability or fitness for a particular purpose"): ["gpl-hope"],
+    **{SENTENCES["lgpl-free"] + " " + _PLAIN(_GPL.format(v)): ["lgpl-free"] for v in ("2", "2.1", "3")},
+    SENTENCES["lgpl-hope"] + " " + _PLAIN("without even the implied warranty of merchantability or fitness for a particular purpose"): ["lgpl-hope"],
     **{f"this {x} is {y} under the mit license": ["mit-name"] for x in ("file", "code", "software", "project", "program", "library", "package", "work") for y in ("released", "licensed", "distributed")},
 }
 #: Rule name, licence, identifiers in order.
@@ -66,9 +76,14 @@ RULES = [
     ("cc-by-nc-name", "cc-by-nc-4.0", ["cc-by-nc-name"]),
     ("cc-by-name", "cc-by-4.0", ["cc-by-name"]),
     ("cc-by-sa-name", "cc-by-sa-4.0", ["cc-by-sa-name"]),
+    ("isc-text", "isc", ["isc-grant"]),
+    ("lgpl-notice", "lgpl", ["lgpl-free", "lgpl-hope"]),
+    ("mpl-2.0-header", "mpl-2.0", ["mpl-terms"]),
+    ("unlicense-text", "unlicense", ["unlicense-free"]),
+    ("zlib-text", "zlib", ["zlib-as-is", "zlib-grant"]),
     ("reserved", "proprietary", ["reserved"]),
 ]
-#: Where a sentence ends; longer ones than any known sentence aren't looked up.
+#: Where a sentence ends.
 CUT = "[.!?]+[ \\t\\r]+|[.!?]*\\n+"
 #: Stands for a line end within a sentence.
 WRAP = "\x01"
@@ -78,6 +93,16 @@ def pattern(ids: list[str]) -> str:
     return "%" + "%".join(f"|{i}|" for i in ids) + "%"
 
 
+def longer(ids: list[str], rules: list[tuple[str, str, list[str]]]) -> list[str]:
+    """Patterns of the rules that hold all of ``ids`` in this order and more."""
+
+    def holds(more: list[str]) -> bool:
+        rest = iter(more)
+        return len(more) > len(ids) and all(i in rest for i in ids)
+
+    return [pattern(more) for _, _, more in rules if holds(more)]
+
+
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
@@ -99,30 +124,30 @@ def unwrapped(text: Column) -> Column:
 def identifiers(text: Column, sentences: dict[str, str], whole: dict[str, list[str]]) -> Column:
     """The known identifiers of a text in order, each between bars."""
     table = {s: f"|{i}|" for i, s in sentences.items()} | {s: "".join(f"|{i}|" for i in ids) for s, ids in whole.items()}
-    low, high = min(map(len, table)), max(map(len, table)) * 2
+    low = min(map(len, table))
     known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    look = lambda s: F.when(F.length(s).between(low, high), F.try_element_at(known, normalised(s)))
+    look = lambda s: F.when(F.length(s) >= low, F.try_element_at(known, normalised(s)))
     parts = F.filter(F.split(unwrapped(F.coalesce(text, F.lit(""))), CUT), lambda s: F.length(s) >= low)
     return F.array_join(F.transform(parts, lambda s: F.coalesce(look(s), F.array_join(F.transform(F.split(s, WRAP), look), ""))), "")
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES, whole: dict[str, list[str]] = WHOLE) -> DataFrame:
     """(doc_id, rule, license, sentences) of every rule that a text fulfils."""
-    table = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit(pattern(ids)).alias("pattern")) for n, lic, ids in rules))
+    table = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit(pattern(ids)).alias("pattern"), F.array(*map(F.lit, longer(ids, rules))).cast("array<string>").alias("longer")) for n, lic, ids in rules))
     seq = docs.select("doc_id", identifiers(F.col("text"), sentences, whole).alias("sentences")).filter(F.col("sentences") != "")
     hit = seq.select("doc_id", "sentences", F.explode(table).alias("r"))
-    return hit.filter(F.expr("sentences like r.pattern")).select("doc_id", "r.rule", "r.license", "sentences")
+    return hit.filter(F.expr("sentences like r.pattern and not exists(r.longer, p -> sentences like p)")).select("doc_id", "r.rule", "r.license", "sentences")
 
 
 def scan_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> str:
     """The same in DuckDB's SQL for texts whose sentences have a line each or share one; not for wrapped or commented ones and ``WHOLE``."""
-    low, high = min(map(len, sentences.values())), max(map(len, sentences.values())) * 2
+    low = min(map(len, sentences.values()))
     known = ", ".join(f"('{s}', '|{i}|')" for i, s in sentences.items())
-    table = ", ".join(f"('{n}', '{lic}', '{pattern(ids)}')" for n, lic, ids in rules)
+    table = ", ".join(f"('{n}', '{lic}', '{pattern(ids)}', {longer(ids, rules)}::varchar[])" for n, lic, ids in rules)
     return rf"""
-    WITH known(s, id) AS (VALUES {known}), rules(rule, license, pattern) AS (VALUES {table}),
+    WITH known(s, id) AS (VALUES {known}), rules(rule, license, pattern, longer) AS (VALUES {table}),
     parts AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[.!?]+[ \t\r]+|[.!?]*\n+')) AS s, generate_subscripts(string_split_regex(coalesce(text, ''), '[.!?]+[ \t\r]+|[.!?]*\n+'), 1) AS k FROM documents),
-    norm AS (SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts WHERE length(s) BETWEEN {low} AND {high}),
+    norm AS (SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts WHERE length(s) >= {low}),
     seq AS (SELECT doc_id, string_agg(id, '' ORDER BY k) AS sentences FROM norm JOIN known USING (s) GROUP BY doc_id)
-    SELECT doc_id, rule, license, sentences FROM seq JOIN rules ON sentences LIKE pattern
+    SELECT doc_id, rule, license, sentences FROM seq JOIN rules ON sentences LIKE pattern AND len(list_filter(longer, p -> sentences LIKE p)) = 0
     """
