@@ -3,9 +3,10 @@
 ``store`` writes each text's UTF-8 bytes, padded with 255 to a positive multiple of 576, as the
 samples of a mono 8-bit WAV file in a binary column. ``features`` reads those bytes back:
 polyphase resampling by a windowed sinc, overlapped Hann frames, log-mel filterbank energies
-averaged into a tensor of fixed shape (16 time bins by 32 bands, float32), and segments by an
-energy gate with hysteresis, with their time spans. ``tensors`` gives the tensor column as
-Arrow's fixed-shape tensor type. Every row is computed by itself and in blocks of frames, so
+averaged into a tensor of fixed shape (16 time bins by 32 bands, half precision), and segments by an
+energy gate with hysteresis, with their time spans. ``keep`` writes tensors and spans as Arrow record
+batches, with Arrow's fixed-shape tensor type, one batch of rows in each row of a table; ``kept`` reads
+them back. Spans are in seconds of the stored sound. Every row is computed by itself and in blocks of frames, so
 equal bytes give equal values and a long row needs no more memory than a block beyond its own bytes.
 
 null and empty texts: one block of padding. Repeated rows: each is kept. Other columns aren't read.
@@ -22,16 +23,17 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .text import flat, scratch, slices
+from .text import flat, remove, scratch, slices
 
 UNIT, PAD = 576, 255
-RATE, TARGET = 16_000, 8_000
-FRAME, HOP, FFT, BANDS, BINS = 200, 80, 256, 32, 16
+RATE, TARGET = 16_000, 10_000  # 5 to 8: five phases of the filter
+FRAME, HOP, FFT, BANDS, BINS = 250, 100, 256, 32, 16
 BLOCK = 2048  # frames
-#: The gate opens at ON and closes at OFF standard deviations from the mean log energy.
-ON, OFF = 0.5, -0.5
+ZEROS = 8  # of the sinc on either side
+#: The gate opens above ON and closes below OFF standard deviations from the mean log energy; quiet frames are always below the mean, so it closes.
+ON, OFF = 0.5, 0.0
 
 
 def wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -58,7 +60,7 @@ def samples_of(raw: bytes) -> tuple[bytes, int]:
 
 
 @lru_cache(8)
-def kernel(up: int, down: int, zeros: int = 8) -> np.ndarray:
+def kernel(up: int, down: int, zeros: int = ZEROS) -> np.ndarray:
     """Phases of a Hann-windowed sinc low-pass: row p is applied to outputs whose position has phase p."""
     wide = max(up, down)
     n = np.arange(-zeros * wide, zeros * wide + 1)
@@ -75,13 +77,13 @@ def resample(x: np.ndarray, rate: int, target: int = TARGET) -> np.ndarray:
         return x.astype(np.float32)
     phases = kernel(up, down)
     taps = phases.shape[1]
-    lead = taps // 2
+    centre = ZEROS * max(up, down)  # the filter's middle, in steps of 1 / up
     n = -(-len(x) * up // down)
-    padded = np.r_[np.zeros(taps - 1 - lead, np.float32), x, np.zeros(lead + taps, np.float32)]
+    padded = np.r_[np.zeros(taps - 1, np.float32), x, np.zeros(centre // up + taps, np.float32)]
     view = np.lib.stride_tricks.sliding_window_view(padded, taps)
     out = np.empty(n, np.float32)
     for k in range(min(up, n)):  # outputs k, k + up, ... share a phase
-        first, phase = divmod(k * down, up)
+        first, phase = divmod(k * down + centre, up)
         rows = view[first :: down][: len(range(k, n, up))]
         for lo in range(0, len(rows), 1 << 16):
             out[k + lo * up : k + (lo + (1 << 16)) * up : up] = rows[lo : lo + (1 << 16)] @ phases[phase]
@@ -135,15 +137,15 @@ def analyse(raw: bytes) -> dict:
     lo = np.arange(BINS) * n // BINS
     hi = np.maximum(lo + 1, (np.arange(BINS) + 1) * n // BINS)
     total = np.r_[np.zeros((1, BANDS)), np.cumsum(bands, 0, dtype=np.float64)]
-    tensor = ((total[hi] - total[lo]) / (hi - lo)[:, None]).astype(np.float32)
+    tensor = ((total[hi] - total[lo]) / (hi - lo)[:, None]).astype(np.float16)
     spans = [(a * HOP / TARGET, min(b * HOP + FRAME - HOP, n * HOP + FRAME) / TARGET) for a, b in segments(energy)]
     return {"payload": payload, "tensor": tensor, "spans": spans, "frames": n}
 
 
-def digest(found: dict) -> str:
+def digest(frames: int, tensor: np.ndarray, spans: list[dict]) -> str:
     """A short text of the features: frames, segments, open seconds, and a hash of the tensor in tenths."""
-    cells = np.round(found["tensor"] * 10).astype("<i2").tobytes()
-    return f"{found['frames']}f {len(found['spans'])}s {sum(b - a for a, b in found['spans']):.2f}t {hashlib.sha256(cells).hexdigest()[:16]}"
+    cells = np.round(tensor.astype(np.float32) * 10).astype("<i2").tobytes()
+    return f"{frames}f {len(spans)}s {sum(x['end'] - x['begin'] for x in spans):.2f}t {hashlib.sha256(cells).hexdigest()[:16]}"
 
 
 STORED = "doc_id {}, n_bytes long, media binary"
@@ -162,40 +164,70 @@ def store(docs: DataFrame, path: str) -> None:
     docs.select("doc_id", "text").mapInArrow(run, STORED.format(kind)).write.option("compression", "zstd").parquet(path)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>, spans array<struct<begin:double,end:double>>"
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (BINS, BANDS))
+SPANS = pa.list_(pa.struct([("begin", pa.float64()), ("end", pa.float64())]))
+#: Of one stored file, besides its doc_id and n_bytes.
+FACTS = pa.schema({"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "frames": pa.int64(), "tensor": TENSOR, "spans": SPANS})
+COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def features(media: DataFrame) -> DataFrame:
-    """The stored rows' digests, tensors (flat, 16 x 32) and time spans, from the stored bytes alone."""
-    kind = media.schema["doc_id"].dataType.simpleString()
+def features(ids: pa.RecordBatch, media: pa.Array) -> pa.RecordBatch:
+    """The facts, tensors and time spans of stored files, from their bytes alone, beside the columns of ``ids``."""
+    out: dict[str, list] = {n: [] for n in FACTS.names}
+    for raw in media:
+        raw = raw.as_py()
+        found = analyse(raw)
+        p = found["payload"]
+        spans = [{"begin": s, "end": e} for s, e in found["spans"]]
+        row = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), found["frames"], found["tensor"].ravel(), spans)
+        for column, x in zip(out.values(), row, strict=True):
+            column.append(x)
+    cells = pa.array(np.concatenate(out.pop("tensor")))
+    tensor = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(cells, BINS * BANDS))
+    made = {n: tensor if n == "tensor" else pa.array(out[n], FACTS.field(n).type) for n in FACTS.names}
+    return pa.record_batch({n: ids.column(n) for n in ids.schema.names} | made)
+
+
+def keep(media: DataFrame, path: str) -> None:
+    """Write the features of a table of ``store`` to ``path`` as Arrow record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media"):
-            out: list[list] = [[] for _ in range(8)]
-            for raw in b.column(2):
-                raw = raw.as_py()
-                found = analyse(raw)
-                p = found["payload"]
-                row = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), digest(found), found["tensor"].ravel(), [{"begin": s, "end": e} for s, e in found["spans"]])
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float32()), pa.list_(pa.struct([("begin", pa.float64()), ("end", pa.float64())]))]
-            names = [c.split()[0] for c in FEATURES.replace("array<struct<begin:double,end:double>>", "x").split(", ")]
-            yield pa.record_batch({"doc_id": b.column(0), "n_bytes": b.column(1)} | {n: pa.array(c, k) for n, c, k in zip(names, out, kinds, strict=True)})
+            rows = features(b.select(["doc_id", "n_bytes"]), b.column("media"))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_batch(rows)
+            yield pa.record_batch({"arrow": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    media.select("doc_id", "n_bytes", "media").mapInArrow(run, "arrow binary").write.option("compression", "zstd").parquet(path)
+
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, {FEATURES}")
+def batches_of(column: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The record batches, with tensors and spans, in the rows of a table of ``keep``."""
+    for raw in column:
+        with pa.ipc.open_stream(raw.as_buffer()) as reader:
+            yield from reader
 
 
-def tensors(column: pa.Array) -> pa.Array:
-    """The tensor column of a collected batch as Arrow's fixed-shape tensor type."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    shape = pa.fixed_shape_tensor(pa.float32(), (BINS, BANDS))
-    return pa.ExtensionArray.from_storage(shape, pa.FixedSizeListArray.from_arrays(column.flatten().cast(pa.float32()), BINS * BANDS))
+def kept(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(doc_id, n_bytes, facts, feature) of a table of ``keep``; the feature comes from the tensor and spans read back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in batches_of(b.column(0)):
+                tensor = rows.column("tensor").to_numpy_ndarray()
+                told = zip(rows.column("frames").to_pylist(), tensor, rows.column("spans").to_pylist(), strict=True)
+                made = {n: rows.column(n) for n in ["doc_id", "n_bytes", *FACTS.names[:5]]}
+                yield pa.record_batch(made | {"feature": pa.array([digest(*t) for t in told], pa.string())})
+
+    return spark.read.schema("arrow binary").parquet(path).mapInArrow(run, f"doc_id {kind}, n_bytes long, {COLUMNS}")
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """Store every text, then read the files back and compute their features."""
-    path = scratch(docs.sparkSession)
+    """Store every text, read the files back, keep their features, and read these back."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    path, facts = scratch(spark), scratch(spark)
     store(docs, path)
-    return features(docs.sparkSession.read.schema(STORED.format(docs.schema["doc_id"].dataType.simpleString())).parquet(path))
+    keep(spark.read.schema(STORED.format(kind)).parquet(path), facts)
+    remove(spark, path)
+    return kept(spark, facts, kind)

@@ -32,7 +32,7 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored(table(spark, sf_dir, "documents")).drop("tensor", "spans")
+    return media.stored(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
