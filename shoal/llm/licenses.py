@@ -149,5 +149,5 @@ def scan_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str,
     parts AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[.!?]+[ \t\r]+|[.!?]*\n+')) AS s, generate_subscripts(string_split_regex(coalesce(text, ''), '[.!?]+[ \t\r]+|[.!?]*\n+'), 1) AS k FROM documents),
     norm AS (SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts WHERE length(s) >= {low}),
     seq AS (SELECT doc_id, string_agg(id, '' ORDER BY k) AS sentences FROM norm JOIN known USING (s) GROUP BY doc_id)
-    SELECT doc_id, rule, license, sentences FROM seq JOIN rules ON sentences LIKE pattern AND len(list_filter(longer, p -> sentences LIKE p)) = 0
+    SELECT doc_id, rule, license, sentences FROM seq JOIN rules ON sentences LIKE pattern AND len([p FOR p IN longer IF sentences LIKE p]) = 0
     """
