@@ -164,3 +164,42 @@ def test_guard_of_no_evaluations(spark):
 
     none = spark.createDataFrame([], "factor string, run_at int, net_ir double, stability double")
     assert selection.guard(none).first().asDict() == {"bad": 0, "warn": 0, "names": ""}
+
+
+def test_quality_over_time_and_unknown_reports(spark):
+    import datetime as d
+
+    from shoal.operators import quality
+
+    days = [d.date(2024, 1, 1) + d.timedelta(30 * i) for i in range(6)]
+    grid = spark.createDataFrame([(c, x) for c in "abc" for x in days], "code string, dt date")
+    bars = spark.createDataFrame([("a", days[0]), ("a", days[5]), ("b", days[0]), ("b", days[2])], "code string, dt date")
+    reports = spark.createDataFrame(
+        [("a", days[0], days[1], False, 4e9, None, None), ("a", days[2], days[3], False, 4e9, -1.0, None), ("a", days[1], days[3], False, 4e9, 1.0, None), ("b", days[0], None, False, 4e9, 1.0, 85.0), ("c", days[0], days[0], False, 4e9, 1.0, 1.0)],
+        "code string, period date, as_of date, st boolean, circ_mv double, roe double, debt double",
+    )
+    got = {(r.code, r.dt): r.ok for r in quality.quality_panel(grid, reports, bars, quality.sound()).collect()}
+    want = {"a": [False, True, True, False, False, False], "b": [False, True, True, False, False, False], "c": [False] * 6}
+    assert got == {(c, x): ok for c, oks in want.items() for x, ok in zip(days, oks, strict=True)}
+    empty = quality.quality_panel(grid, reports.limit(0), bars, quality.sound()).collect()
+    assert len(empty) == 18 and not any(r.ok for r in empty)
+
+
+def test_active_set_weights_and_promotion(spark):
+    from pyspark.sql import functions as F
+
+    from shoal.operators import evolution
+
+    log = spark.createDataFrame([("x", 1, "[9]"), ("x", 2, "[3, 1, 2, 7]"), ("y", 3, "[5]")], "source string, at int, factors_json string")
+    library = spark.createDataFrame([(1,), (2,), (3,)], "factor bigint")
+    evals = spark.createDataFrame([(1, 1, 5.0, 1.0), (1, 2, float("nan"), -2.0), (3, 1, 0.5, 9.0)], "factor bigint, run_at int, net_ir double, is_icir double")
+    active = evolution.active_set(log, "x")
+    got = sorted(tuple(r) for r in evolution.active_specs(active, library, evals).collect())
+    assert got == [(0, 3, 0.5), (1, 1, -2.0), (2, 2, 1.0)]
+    zero = spark.createDataFrame([(i, 1, 0.0, 1.0) for i in (1, 2, 3)], "factor bigint, run_at int, net_ir double, is_icir double")
+    assert {r.weight for r in evolution.active_specs(active, library, zero).collect()} == {1.0}
+    assert evolution.degraded(evolution.active_specs(active, library, evals), evals.limit(0)).first().degraded
+    pairs = [(None, None), (0.0, None), (0.1, None), (0.5, 0.49), (0.52, 0.49), (None, 0.1), (float("nan"), 0.1), (0.3, float("nan"))]
+    made = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, new double, old double")
+    said = [r.v for r in made.select("i", evolution.promotion(F.col("new"), F.col("old")).alias("v")).orderBy("i").collect()]
+    assert said == ["first: unknown", "first: not positive", "promote", "too little", "promote", "unknown", "unknown", "unknown"]
