@@ -45,13 +45,13 @@ def quality_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SW}, {_REPORTS}, f0 AS (SELECT code, dt, "close" / nullif({sroll('avg', '"close"', 6, 3)}, 0) AS x, {LEAD.format(h=3)} AS fwd FROM p),
  m AS (SELECT code, dt, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN fwd END AS fwd FROM f0 JOIN qp USING (code, dt)),
  pr AS (SELECT dt, {srank('x')} AS rx, {srank('fwd')} AS ry FROM m WHERE x IS NOT NULL AND fwd IS NOT NULL)
- SELECT dt, count(*) AS n, round({CORR}, 6) AS ic FROM pr GROUP BY dt HAVING count(*) >= 8 AND {CORR} IS NOT NULL""")
+ SELECT dt, count(*) AS n, round({CORR}, 6) + 0.0 AS ic FROM pr GROUP BY dt HAVING count(*) >= 8 AND {CORR} IS NOT NULL""")
 def quality_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank coefficients over the codes that were sound on each date."""
     b = B.week_bars(spark, sf_dir)
     p = B.densify(b)
     x = compile_factors(p, {"x": "div(close, sma(close, 6))"}).withColumn("fwd", stats.forward_return(3)).select("code", "dt", "x", "fwd")
-    return stats.rank_ic_pairwise(quality.masked(x, _quality(spark, sf_dir, p, b), ["x", "fwd"]), "x", "fwd", 8).select("dt", "n", r6("ic").alias("ic"))
+    return stats.rank_ic_pairwise(quality.masked(x, _quality(spark, sf_dir, p, b), ["x", "fwd"]), "x", "fwd", 8).select("dt", "n", (r6("ic") + 0.0).alias("ic"))
 
 
 _EVALS = """ev AS (SELECT l_suppkey AS factor, (l_shipdate, l_orderkey, l_linenumber) AS run_at, CASE WHEN l_orderkey % 3 > 0 THEN l_quantity - 25 END AS net_ir, CASE WHEN l_orderkey % 2 > 0 THEN l_tax * 100 - 4 END AS is_icir, l_discount * 100 AS oos_icir, l_linenumber - 2 AS stability FROM lineitem),
