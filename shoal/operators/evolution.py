@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tables
+from shoal.plans.dsl import Spec, compile_factors
+
+from . import research, selection, stats, tables
 
 
 def active_set(log: DataFrame, source: str) -> DataFrame:
@@ -51,3 +53,58 @@ def promotion(new: Column, old: Column, lift: float = 0.02) -> Column:
     first = F.when(new.isNull() | bad(new), "first: unknown").when(new <= 0, "first: not positive").otherwise("promote")
     later = F.when(new.isNull() | bad(new) | bad(old), "unknown").when(new > old + lift, "promote").otherwise("too little")
     return F.when(old.isNull(), first).otherwise(later)
+
+
+def search(library: DataFrame, text: str, columns: list[str], source: str | None = None, least: Column | None = None) -> DataFrame:
+    """Rows of which any of ``columns`` holds ``text`` in any case, of one source, that fulfil ``least``."""
+    found = F.exists(F.array(*columns), lambda c: F.contains(F.lower(c), F.lit(text.lower())))
+    x = library.filter(F.coalesce(found, F.lit(False)))
+    x = x if source is None else x.filter(F.col("source") == source)
+    return x if least is None else x.filter(least)
+
+
+def research_loop(panel: DataFrame, labels: DataFrame, specs: list[Spec], old_oos: float | None = None, *, gate: float = 0.5, least: int = 50, ceiling: float = 0.7, top: int = 20, folds: tuple[int, int, int] = (504, 126, 126), window: int = 252, rebalance: str = "W", batch: int = 64) -> DataFrame:
+    """(factor, is_icir, oos_icir, oos_is_ratio, stability, turnover, net_ir, reason, selected, new_oos, verdict), a row for each factor that was chosen.
+
+    All ``specs`` are tried over the dense panel, ``batch`` at a time; those that pass the gate are chosen greedily without
+    close relatives; each of those may still have a ``reason`` to go. new_oos is the mean ratio out of sample of the rest, and
+    ``verdict`` whether the set may follow one of ``old_oos``. labels: (h, dt, code, fwd) of one horizon. What comes to the
+    driver is one row a factor, or a pair of gated factors.
+    """
+    spark = panel.sparkSession
+    schema = "factor string, is_icir double, oos_icir double, oos_is_ratio double, stability double, turnover double, net_ir double, reason string, selected boolean, new_oos double, verdict string"
+    passed: dict[str, dict] = {}
+    exprs = {s.id: s.expr for s in specs}
+
+    def tall(ids: list[str]) -> DataFrame:
+        made = compile_factors(panel, {f: exprs[f] for f in ids})
+        return selection.tall(made, {f: F.col(f).cast("double") for f in ids})
+
+    def batches(ids: list[str]) -> list[list[str]]:
+        return [ids[i : i + batch] for i in range(0, len(ids), batch)]
+
+    for ids in batches(list(exprs)):
+        ic = selection.coefficients(tall(ids), labels, 2, masked=True)
+        passed |= {r["factor"]: {"id": r["factor"], "n": r["n"], "icir": r["icir"], "oos_icir": None} for r in selection.gated(ic, gate, least).collect()}
+    if not passed:
+        return spark.createDataFrame([], schema)
+    rows = None
+    for ids in batches(sorted(passed)):
+        rows = tall(ids) if rows is None else rows.unionByName(tall(ids))
+    ic = selection.coefficients(rows, labels, 2, masked=True)
+    for r in selection.fold_ratios(ic, *folds).collect():
+        passed[r["factor"]]["oos_icir"] = r["oos_icir"]
+    corr = {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in research.pair_correlations(rows).collect()} if len(passed) > 1 else {}
+    chosen = stats.greedy(list(passed.values()), corr, gate, ceiling, top, least)
+    base = spark.createDataFrame([(f, passed[f]["icir"], passed[f]["oos_icir"]) for f in chosen], "factor string, is_icir double, oos_icir double")
+    own, mine = tall(chosen), ic.filter(F.col("factor").isin(chosen))
+    x = base.join(research.stability(mine, "factor", "ic", window).select("factor", F.col("worst").alias("stability")), "factor", "left")
+    x = x.join(selection.turnovers(own).select("factor", "turnover"), "factor", "left").join(selection.long_shorts(own, labels, rebalance=rebalance).select("factor", "net_ir"), "factor", "left")
+    x = x.withColumn("oos_is_ratio", out_of_sample_ratio(F.col("oos_icir"), F.col("is_icir")))
+    x = x.withColumn("reason", stats.drop_reason(F.col("net_ir"), F.col("oos_is_ratio"), F.col("stability"))).withColumn("selected", F.col("reason").isNull())
+    all_ = Window.partitionBy()  # at most ``top`` rows
+    x = x.withColumn("new_oos", F.avg(F.when(F.col("selected"), F.col("oos_icir"))).over(all_))
+    none = F.count_if("selected").over(all_) == 0
+    x = x.withColumn("verdict", F.when(none, "none selected").otherwise(promotion(F.col("new_oos"), F.lit(old_oos).cast("double"))))
+    names = [c.split()[0] for c in schema.split(", ")]
+    return x.select(*names)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -55,7 +57,8 @@ def capped_top(scored: DataFrame, top: int, cap: int) -> DataFrame:
     best = [F.desc_nulls_last("score"), F.asc("code")]
     kept = scored
     if cap > 0:
-        kept = scored.withColumn("_k", F.row_number().over(Window.partitionBy("industry").orderBy(*best))).filter((F.col("_k") <= cap) | blank).drop("_k")
+        # blank rows need no rank: dealt over many tasks
+        kept = scored.withColumn("_k", F.row_number().over(Window.partitionBy("industry", F.when(blank, F.xxhash64("code") % 1024)).orderBy(*best))).filter((F.col("_k") <= cap) | blank).drop("_k")
     chosen = kept.orderBy(*best).limit(top)
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy(*best)))
 
@@ -95,6 +98,24 @@ def outcomes(picks: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> Da
     return both.withColumn("bar", seen).filter("kind = 0").select("code", F.col("dt").alias("run_date"), *(F.col(f"bar.ret_{n}") for n in horizons))
 
 
+def candidates(snapshot: DataFrame, listing: DataFrame, reports: DataFrame) -> DataFrame:
+    """Rows of ``snapshot`` (code, price) that trade in the two main markets, not under special treatment, with the newest
+    of their ``reports`` (code, period, metrics) where they have one; by code."""
+    fit = listing.filter(F.col("exchange").isin("sh", "sz") & ~F.coalesce("is_st", F.lit(False)))
+    return snapshot.filter("price > 0").join(fit, "code").join(tables.latest(reports, ["code"], "period"), "code", "left").orderBy("code")
+
+
+def missing_alert(rows: DataFrame, metrics: list[str], most: float = 0.3) -> DataFrame:
+    """One row (n, missing, alert): rows that lack any of ``metrics``, and whether they are more than a share ``most`` of all."""
+    lacks = F.greatest(*(F.col(m).isNull() for m in metrics), F.lit(False))
+    return rows.agg(F.count("*").alias("n"), F.count_if(lacks).alias("missing"), F.coalesce(F.try_divide(F.count_if(lacks), F.count("*")) > most, F.lit(False)).alias("alert"))
+
+
+def recommendation(picks: DataFrame, run_date: Column, metrics: list[str], factor_set: Column) -> DataFrame:
+    """Rows to keep of ranked picks (rank, code, score and metrics), one partition a run date, with the factor set they came from."""
+    return picks.select(run_date.alias("run_date"), "rank", "code", "score", F.to_json(F.struct(*metrics)).alias("metrics_json"), factor_set.alias("factor_set_id"))
+
+
 def funnel(codes: DataFrame, bars: DataFrame, days: int, rows: int, window: int, lim: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """(code flags, picks): hard, live and liquid of every code (code, industry, score, fundamentals), and the capped best of those that pass all."""
     x = codes.withColumn("hard", F.size(failures(lim)) == 0)

@@ -5,19 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.functions.panel import rank_pct
+from shoal.functions.panel import by_code, rank_pct, zscore_by_date
 
-from . import simulate, stats, tables
+from . import research, simulate, stats, tables
 
 
-def coefficients(tall: DataFrame, labels: DataFrame, least: int = 50) -> DataFrame:
-    """(factor, h, dt, n, ic) from (factor, dt, code, value) and (h, dt, code, fwd): all factors and horizons in one job."""
+def coefficients(tall: DataFrame, labels: DataFrame, least: int = 50, masked: bool = False) -> DataFrame:
+    """(factor, h, dt, n, ic) from (factor, dt, code, value) and (h, dt, code, fwd): all factors and horizons in one job.
+
+    Ranks count the pairs that are complete or, ``masked``, each side's own values.
+    """
     by = ["factor", "h", "dt"]
-    rows = tall.filter("value is not null").join(labels.filter("fwd is not null"), ["dt", "code"])
-    rows = rows.withColumns({"rx": rank_pct(F.col("value"), by), "ry": rank_pct(F.col("fwd"), by)})
+    x, y = tall.filter("value is not null"), labels.filter("fwd is not null")
+    if masked:
+        x, y = x.withColumn("rx", rank_pct(F.col("value"), ["factor", "dt"])), y.withColumn("ry", rank_pct(F.col("fwd"), ["h", "dt"]))
+    rows = x.join(y, ["dt", "code"])
+    if not masked:
+        rows = rows.withColumns({"rx": rank_pct(F.col("value"), by), "ry": rank_pct(F.col("fwd"), by)})
     return rows.groupBy(*by).agg(F.count("*").alias("n"), stats.pearson(F.col("rx"), F.col("ry")).alias("ic")).filter((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
+def gated(ic: DataFrame, gate: float = 0.5, least: int = 50) -> DataFrame:
+    """(factor, n, icir) of factors whose ratio over all dates is ``gate`` or more."""
+    return analyze(ic, least).filter(F.col("icir") >= gate).select("factor", "n", "icir")
+
+
+def fold_ratios(ic: DataFrame, train: int = 504, test: int = 126, step: int = 126) -> DataFrame:
+    """(factor, folds, is_icir, oos_icir): means over positional folds of a factor's dates.
+
+    A row goes to each fold that spans it, without a join; factors with fewer dates than a fold are left out.
+    """
+    w = Window.partitionBy("factor")
+    size = train + test
+    x = ic.withColumns({"i": F.row_number().over(w.orderBy("dt")) - 1, "all": F.count("*").over(w)}).filter(F.col("all") >= size)
+    first = F.greatest(F.ceil((F.col("i") - size + 1) / step), F.lit(0))
+    last = F.least(F.floor(F.col("i") / step), F.floor((F.col("all") - size) / step))
+    x = x.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("k", F.explode(F.sequence("first", "last")))
+    inside = F.col("i") < F.col("k") * step + train
+    ratio = lambda c: F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))) * 252.0**0.5
+    each = x.groupBy("factor", "k").agg(ratio(F.when(inside, F.col("ic"))).alias("a"), ratio(F.when(~inside, F.col("ic"))).alias("b"))
+    return each.groupBy("factor").agg(F.count("*").alias("folds"), F.avg("a").alias("is_icir"), F.avg("b").alias("oos_icir"))
+
+
+def turnovers(tall: DataFrame) -> DataFrame:
+    """(factor, turnover, rank_autocorr): mean change in rank by date, and the mean over codes of a rank's correlation with its last."""
+    r = tall.withColumn("r", rank_pct(F.col("value"), ["factor", "dt"])).withColumn("q", F.lag("r").over(Window.partitionBy("factor", "code").orderBy("dt")))
+    days = r.groupBy("factor", "dt").agg(F.avg(F.abs(F.col("r") - F.col("q"))).alias("d")).groupBy("factor").agg(F.avg("d").alias("turnover"))
+    codes = r.groupBy("factor", "code").agg(stats.pearson(F.col("r"), F.col("q")).alias("c")).groupBy("factor").agg(F.avg("c").alias("rank_autocorr"))
+    return days.join(codes, "factor")
+
+
+def long_shorts(tall: DataFrame, labels: DataFrame, share: float = 0.1, rebalance: str = "D", per_year: float = 252.0, least: int = 30) -> DataFrame:
+    """(factor, n, net_ir, net_ret) of the top share less the bottom share, after costs; only those shares meet the labels."""
+    ends = tall.withColumn("r", rank_pct(F.col("value"), ["factor", "dt"])).filter((F.col("r") >= 1 - share) | (F.col("r") <= share))
+    rows = ends.select("factor", "dt", "code", "r").join(labels.filter("fwd is not null").select("dt", "code", "fwd"), ["dt", "code"])
+    return stats.net_ratio(stats.spread(rows, "fwd", ["factor", "dt"], share), ["factor"], rebalance, per_year, least)
+
+
+def lagged_z(panel: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(dt, code, name...): scores of each date's cross-section as of the date before."""
+    z = panel.select("dt", "code", *(c.alias(f) for f, c in values.items()))
+    z = z.withColumns({f: zscore_by_date(F.col(f), population=True) for f in values})
+    return z.select("dt", "code", *(F.lag(f).over(by_code()).alias(f) for f in values))
+
+
 def analyze(ic: DataFrame, dates: int = 30, per_year: float = 252.0) -> DataFrame:
     """(factor, h, n, ic, icir, t_stat, win) of the pairs with ``dates`` dates or more."""
     ratio = F.try_divide(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0)))
@@ -26,12 +77,19 @@ def analyze(ic: DataFrame, dates: int = 30, per_year: float = 252.0) -> DataFram
     return out.filter(F.col("n") >= dates).withColumnRenamed("_ic", "ic")
 
 
-def weights_by_date(ic: DataFrame, train: int, least: int = 30, floor: float = 0.01, embargo: int = 0) -> DataFrame:
-    """(factor, dt, weight) from (factor, dt, ic): the mean coefficient of the train + 1 dates before the embargo, where it is strong enough."""
+def weights_by_date(ic: DataFrame, train: int, least: int = 30, floor: float = 0.01, embargo: int = 0, calendar: DataFrame | None = None) -> DataFrame:
+    """(factor, dt, weight) from (factor, dt, ic): the mean coefficient of the train + 1 dates up to the embargo, where it is strong enough.
+
+    weights are divided by their total size on the date. ``calendar`` (dt) gives the dates that count; without it those with a coefficient.
+    """
+    if calendar is not None:
+        grid = ic.select("factor").distinct().crossJoin(calendar.select("dt").distinct())
+        ic = grid.join(ic.select("factor", "dt", "ic"), ["factor", "dt"], "left")
     w = Window.partitionBy("factor").orderBy("dt").rowsBetween(-train - embargo, -embargo)
     mean = F.avg("ic").over(w)
     strong = (F.count("ic").over(w) >= least) & (F.abs(mean) >= floor) & (F.stddev_samp("ic").over(w) > 0)
-    return ic.select("factor", "dt", F.when(strong, mean).alias("weight")).filter("weight is not null")
+    x = ic.select("factor", "dt", F.when(strong, mean).alias("weight")).filter("weight is not null")
+    return x.withColumn("weight", F.col("weight") / F.sum(F.abs("weight")).over(Window.partitionBy("dt")))
 
 
 def guard(evals: DataFrame) -> DataFrame:
@@ -49,12 +107,15 @@ def leaderboard(library: DataFrame, evals: DataFrame) -> DataFrame:
     return library.select("factor").distinct().join(newest, "factor", "left").orderBy(F.desc_nulls_last("run_at"), F.desc_nulls_last("oos"), "factor")
 
 
-def picks(scored: DataFrame, top: int, by: list[str]) -> DataFrame:
-    """The best ``top`` codes of each group and date by score (ties by code), to be traded on the next date."""
+def picks(scored: DataFrame, top: int, by: list[str], unit: str | None = None) -> DataFrame:
+    """The best ``top`` codes of each group and date by score (ties by code), to be traded on the next date; with a ``unit``
+    (week or month) only where that date is the first of one."""
     w = Window.partitionBy(*by, "dt").orderBy(F.desc("score"), "code")
-    day = scored.select("dt").distinct().withColumn("next", F.lead("dt").over(Window.orderBy("dt")))
+    day = research.rebalance(scored, unit) if unit else scored.select("dt").distinct().withColumn("rebalance", F.lit(True))
+    ahead = Window.orderBy("dt")  # one row a date
+    day = day.select("dt", F.lead("dt").over(ahead).alias("next"), F.lead("rebalance").over(ahead).alias("enter"))
     x = scored.filter("score is not null").withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= top)
-    return x.join(F.broadcast(day), "dt").filter("next is not null").select(*by, F.col("next").alias("dt"), "code", "pick", F.lit(True).alias("enter"))
+    return x.join(day, "dt").filter("next is not null and enter").select(*by, F.col("next").alias("dt"), "code", "pick", "enter")
 
 
 def sharpe(equity: DataFrame, per_year: float = 252.0) -> DataFrame:
@@ -63,19 +124,20 @@ def sharpe(equity: DataFrame, per_year: float = 252.0) -> DataFrame:
     return equity.withColumn("r", r).groupBy("run_id").agg((F.try_divide(F.avg("r"), F.nullif(F.stddev_samp("r"), F.lit(0.0))) * per_year**0.5).alias("sharpe"))
 
 
-def forward_select(wide: DataFrame, factors: list[str], prices: DataFrame, most: int = 12, **run) -> list[tuple[str, float]]:
+def forward_select(z: DataFrame, weights: DataFrame, factors: list[str], prices: DataFrame, most: int = 12, unit: str | None = None, **run) -> list[tuple[str, float]]:
     """(factor, Sharpe ratio with it) in the order of choice, while the ratio rises.
 
-    wide: (dt, code, a column a factor). Each step simulates every factor that is left, added to those chosen, as
-    one job; one row a factor comes to the driver.
+    z: (factor, dt, code, value); weights: (factor, dt, weight), trained over all factors. Each step simulates every factor
+    that is left, added to those chosen, as one job; one row a factor comes to the driver.
     """
+    parts = z.join(weights, ["factor", "dt"]).select("factor", "dt", "code", (F.col("weight") * F.col("value")).alias("part")).filter("part is not null")
     chosen: list[tuple[str, float]] = []
     while len(chosen) < min(most, len(factors)):
         taken = [f for f, _ in chosen]
-        total = lambda f: sum((F.coalesce(F.col(c), F.lit(0.0)) for c in [*taken, f]), F.lit(0.0))
         left = [f for f in factors if f not in taken]
-        scored = wide.select("dt", "code", F.explode(F.array(*(F.struct(F.lit(f).alias("run_id"), total(f).alias("score")) for f in left))).alias("s")).select("dt", "code", "s.*")
-        equity = simulate.backtest(picks(scored, run["top"], ["run_id"]), prices, [{"run_id": f} | run for f in left])
+        runs = F.when(F.col("factor").isin(taken), F.array(*map(F.lit, left))).when(F.col("factor").isin(left), F.array("factor"))
+        scored = parts.withColumn("run_id", F.explode(runs)).groupBy("run_id", "dt", "code").agg(F.sum("part").alias("score"))
+        equity = simulate.backtest(picks(scored, run["top"], ["run_id"], unit), prices, [{"run_id": f} | run for f in left])
         found = sorted((-r["sharpe"], r["run_id"]) for r in sharpe(equity).filter("sharpe is not null").collect())
         if not found or (chosen and -found[0][0] <= chosen[-1][1]):
             break
@@ -85,7 +147,16 @@ def forward_select(wide: DataFrame, factors: list[str], prices: DataFrame, most:
 
 def weighted_score(z: DataFrame, weights: DataFrame) -> DataFrame:
     """(dt, code, score): the sum over factors of weight x value, from tall (factor, dt, code, value)."""
-    return z.join(F.broadcast(weights), ["factor", "dt"]).groupBy("dt", "code").agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
+    return z.join(weights, ["factor", "dt"]).groupBy("dt", "code").agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
+
+
+def recommend(z: DataFrame, weights: DataFrame, day: DataFrame, top: int = 10) -> DataFrame:
+    """(code, score, reasons) of the best codes on the one date of ``day``; reasons are the parts of each factor, by name."""
+    on = z.join(F.broadcast(day), "dt", "left_semi").join(weights, ["factor", "dt"]).withColumn("part", F.col("weight") * F.col("value")).filter("part is not null")
+    named = F.format_string("%s%+.2f", F.col("factor"), F.col("part"))
+    scored = on.groupBy("code").agg(F.sum("part").alias("score"), F.array_sort(F.collect_list(F.struct(F.col("factor"), named.alias("said")))).alias("p"))
+    best = scored.orderBy(F.desc("score"), "code").limit(top)
+    return best.select("code", "score", F.array_join(F.transform("p", lambda s: s["said"]), " ").alias("reasons"))
 
 
 def tall(wide: DataFrame, values: dict[str, Column]) -> DataFrame:

@@ -29,9 +29,10 @@ def rank_ic_pairwise(rows: DataFrame, x: str, y: str, least: int = 50) -> DataFr
     return pairs.groupBy("dt").agg(F.count("*").alias("n"), pearson(F.col("rx"), F.col("ry")).alias("ic")).filter((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
-def rank_ic_masked(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(dt, ic): each side ranked among its own values, then correlated over common rows."""
-    ranked = rows.withColumns({"rx": rank_pct(F.col(x)), "ry": rank_pct(F.col(y))})
+def rank_ic_masked(rows: DataFrame, x: str, y: str, ranked: bool = True) -> DataFrame:
+    """(dt, ic): each side ranked among its own values (or as it is), then correlated over common rows."""
+    own = rank_pct if ranked else lambda c: c
+    ranked = rows.withColumns({"rx": own(F.col(x)), "ry": own(F.col(y))})
     return ranked.groupBy("dt").agg(pearson(F.col("rx"), F.col("ry")).alias("ic")).filter(F.col("ic").isNotNull())
 
 
@@ -49,12 +50,28 @@ def turnover(rows: DataFrame, x: str) -> DataFrame:
     return d.agg(F.avg("d").alias("turnover"))
 
 
-def long_short(rows: DataFrame, x: str, y: str, share: float = 0.1, every: int = 1, per_year: float = 252.0) -> DataFrame:
-    """One row: net information ratio and return of the top share less the bottom share, after costs."""
-    r = rows.filter(F.col(y).isNotNull()).withColumn("r", rank_pct(F.col(x)))
-    d = r.groupBy("dt").agg((F.avg(F.when(F.col("r") >= 1 - share, F.col(y))) - F.avg(F.when(F.col("r") <= share, F.col(y)))).alias("ls")).filter("ls is not null")
-    net = F.col("ls") - 2 * (COST_BUY + COST_SELL) / every
-    return d.agg(F.count("*").alias("n"), (F.try_divide(F.avg(net), F.nullif(F.stddev_samp(net), F.lit(0.0))) * F.sqrt(F.lit(per_year))).alias("net_ir"), (F.avg(net) * per_year).alias("net_ret"))
+#: Dates between rebalances, over which the costs of one are spread.
+DATES_BETWEEN = {"D": 1, "W": 5, "M": 22}
+
+
+def long_short(rows: DataFrame, x: str, y: str, share: float = 0.1, rebalance: str = "D", per_year: float = 252.0, least: int = 30) -> DataFrame:
+    """One row (n, net_ir, net_ret) of ``selection.long_shorts`` for one factor: ranks count every value, means only known labels."""
+    r = rows.withColumn("r", rank_pct(F.col(x)))
+    return net_ratio(spread(r, y, ["dt"], share), [], rebalance, per_year, least)
+
+
+def spread(ranked: DataFrame, y: str, by: list[str], share: float) -> DataFrame:
+    """(by, ls): the mean of ``y`` in the top share of ``r`` less that in the bottom share; null where either is empty."""
+    side = lambda inside: F.avg(F.when(inside, F.col(y)))
+    return ranked.groupBy(*by).agg((side(F.col("r") >= 1 - share) - side(F.col("r") <= share)).alias("ls")).filter("ls is not null")
+
+
+def net_ratio(days: DataFrame, by: list[str], rebalance: str, per_year: float, least: int) -> DataFrame:
+    """(by, n, net_ir, net_ret) after the costs of both sides; null with fewer than ``least`` dates or without deviation."""
+    net = F.col("ls") - 2 * (COST_BUY + COST_SELL) / DATES_BETWEEN[rebalance]
+    known = (F.count("*") >= least) & (F.stddev_samp(net) > 0)
+    ratio = F.when(known, F.avg(net) / F.stddev_samp(net) * F.sqrt(F.lit(per_year)))
+    return days.groupBy(*by).agg(F.count("*").alias("n"), ratio.alias("net_ir"), F.when(known, F.avg(net) * per_year).alias("net_ret"))
 
 
 def train_weights(ic: DataFrame, train: int, least: int = 30, floor: float = 0.01, embargo: int = 0) -> DataFrame:
@@ -74,15 +91,19 @@ def folds(ic: DataFrame, train: int, test: int, step: int) -> DataFrame:
     return j.groupBy("begin").agg(ratio(F.when(~F.col("oos"), F.col("ic"))).alias("is_icir"), ratio(F.when(F.col("oos"), F.col("ic"))).alias("oos_icir"))
 
 
-def greedy(stats: list[dict], corr: dict[tuple[str, str], float], gate: float = 0.5, ceiling: float = 0.7, top: int = 20) -> list[str]:
-    """Factors by falling in-sample ratio, without any that correlates with one chosen before. A walk over collected rows, one a factor."""
+def greedy(stats: list[dict], corr: dict[tuple[str, str], float], gate: float = 0.5, ceiling: float = 0.7, top: int = 20, least: int = 50) -> list[str]:
+    """Factors by falling ratio, without those that correlate with one chosen before or have no ratio out of sample.
+
+    If that leaves none, the best that pass the gate. A walk over collected rows, one a factor.
+    """
+    passed = sorted((s for s in stats if s["n"] >= least and s["icir"] is not None and s["icir"] >= gate), key=lambda s: (-s["icir"], s["id"]))
     chosen: list[str] = []
-    for s in sorted((s for s in stats if s["n"] >= 50 and (s["icir"] or 0) >= gate and s["oos_icir"] is not None), key=lambda s: (-s["icir"], s["id"])):
-        if all(corr.get((s["id"], c), corr.get((c, s["id"]), 0.0)) < ceiling for c in chosen):
-            chosen.append(s["id"])
+    for s in passed:
         if len(chosen) == top:
             break
-    return chosen
+        if s["oos_icir"] is not None and all(corr.get((s["id"], c), corr.get((c, s["id"]), 0.0)) < ceiling for c in chosen):
+            chosen.append(s["id"])
+    return chosen or [s["id"] for s in passed[:top]]
 
 
 def drop_reason(net_ir: Column, ratio: Column, stability: Column) -> Column:

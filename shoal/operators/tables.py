@@ -61,6 +61,13 @@ def fresh_bars(new: DataFrame, held: DataFrame) -> DataFrame:
     return new.join(last, "code", "left").filter(F.col("_last").isNull() | (F.col("dt") > F.col("_last"))).drop("_last")
 
 
+def gaps(bars: DataFrame, days: int = 1) -> DataFrame:
+    """(code, last, lag) of codes whose last bar is more than ``days`` days behind the newest of all."""
+    newest = bars.agg(F.max("dt").alias("_now"))  # one row
+    last = bars.groupBy("code").agg(F.max("dt").alias("last")).crossJoin(F.broadcast(newest))
+    return last.select("code", "last", F.datediff("_now", "last").alias("lag")).filter(F.col("lag") > days)
+
+
 def period_date(period: Column) -> Column:
     """A quarter's end, written with or without hyphens; null for other forms."""
     return F.coalesce(F.try_to_date(period, "yyyyMMdd"), F.try_to_date(period, "yyyy-MM-dd"))

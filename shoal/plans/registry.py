@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import panel as P
-from shoal.operators import factors, screen, simulate, stats, tables
+from shoal.operators import factors, screen, selection, simulate, stats, tables
 from shoal.plans.dsl import compile_factors
 from shoal.sources import bars as B
 
@@ -254,8 +254,8 @@ def factor_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.turnover(labelled(spark, sf_dir), "x").select(r6("turnover").alias("turnover"))
 
 
-@query(f"""WITH {LAB}, rk AS (SELECT dt, fwd, {srank('x')} AS r FROM f WHERE fwd IS NOT NULL), d AS (SELECT dt, avg(CASE WHEN r >= 0.9 THEN fwd END) - avg(CASE WHEN r <= 0.1 THEN fwd END) AS ls FROM rk GROUP BY dt),
- m AS (SELECT ls - 0.006 AS net FROM d WHERE ls IS NOT NULL) SELECT count(*) AS n, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0), 6) AS net_ir, round(avg(net) * 252, 6) AS net_ret FROM m""")
+@query(f"""WITH {LAB}, rk AS (SELECT dt, fwd, {srank('x')} AS r FROM f), d AS (SELECT dt, avg(CASE WHEN r >= 0.9 THEN fwd END) - avg(CASE WHEN r <= 0.1 THEN fwd END) AS ls FROM rk GROUP BY dt),
+ m AS (SELECT ls - 0.006 AS net FROM d WHERE ls IS NOT NULL) SELECT count(*) AS n, CASE WHEN count(*) >= 30 THEN round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0), 6) END AS net_ir, CASE WHEN count(*) >= 30 THEN round(avg(net) * 252, 6) END AS net_ret FROM m""")
 def long_short_net_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.long_short(labelled(spark, sf_dir), "x", "fwd").select("n", r6("net_ir").alias("net_ir"), r6("net_ret").alias("net_ret"))
 
@@ -389,13 +389,27 @@ def daily_bars_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.fresh_bars(b, b.filter("dt < date'2024-01-20'")).select("code", "dt", r6("close").alias("close"))
 
 
-@query()
-def backtest_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over weekly bars: the ten best by fallen price, traded on the next date."""
     p = compile_factors(B.panel(spark, sf_dir, "sw"), {"x": "sub(0, returns(close, 4))"})
-    w = Window.partitionBy("dt").orderBy(F.desc_nulls_last("x"), "code")
-    day = p.select("dt").distinct().withColumn("next", F.lead("dt").over(Window.orderBy("dt")))
-    s = p.filter("x is not null").withColumn("pick", F.row_number().over(w)).filter("pick <= 10").join(F.broadcast(day), "dt").filter("next is not null")
-    signals = s.select(F.col("next").alias("dt"), "code", "pick", F.lit(True).alias("enter"))
+    signals = selection.picks(p.select("dt", "code", F.col("x").alias("score")), 10, [], "week")
     runs = [{"run_id": f"h{h}", "top": 10, "horizon": h, "stop": -8.0, "profit": 8.0, "trail": None} for h in (4, 8)]
-    return simulate.backtest(signals, p.select("dt", "code", "open", "high", "low", "close"), runs).select("run_id", "dt", F.round("eq", 2).alias("eq"), "positions", "trades")
+    return simulate.backtest(signals, p.select("dt", "code", "open", "high", "low", "close"), runs)
+
+
+@query()
+def backtest_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulated(spark, sf_dir).select("run_id", "dt", F.round("eq", 2).alias("eq"), "positions", "trades")
+
+
+@query()
+def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.trade_list(simulated(spark, sf_dir)).withColumn("ret", r6("ret"))
+
+
+@query()
+def backtest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a run, against the mean close of all codes."""
+    bench = B.week_bars(spark, sf_dir).groupBy("dt").agg(F.avg("close").alias("close"))
+    x = simulate.results(simulated(spark, sf_dir), bench=bench)
+    return x.select("run_id", "start", "end", *(r6(c).alias(c) for c in ("total_return", "cagr", "max_drawdown", "sharpe", "win_rate", "avg_trade_ret", "bench_return")), "n_trades", F.to_json("equity").alias("equity_json"))

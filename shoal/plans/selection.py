@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.functions import panel as P
 from shoal.operators import features, research, screen, selection, simulate, stats, tables
 from shoal.plans.dsl import compile_factors
 from shoal.plans.registry import CORR, DIM, LEAD, SM, SW, dim, query, r6, srank, sroll
@@ -143,20 +142,27 @@ def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUN = {"top": 5, "horizon": 6, "stop": -8.0, "profit": 8.0, "trail": None}
 
 
+def _weights(p: DataFrame) -> DataFrame:
+    """Weights from the dates before each, four weeks left out for the label."""
+    rows = selection.tall(p, {f: F.col(f) for f in _EXPRS})
+    return selection.weights_by_date(selection.coefficients(rows, _labels(p, 3), 5).select("factor", "dt", "ic"), 52, 26, embargo=4, calendar=p)
+
+
+def _lagged(p: DataFrame) -> DataFrame:
+    return selection.tall(selection.lagged_z(p, {f: F.col(f) for f in _EXPRS}), {f: F.col(f) for f in _EXPRS})
+
+
 @query()
 def mine_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS)
-    wide = p.select("dt", "code", *(P.zscore_by_date(F.col(f)).alias(f) for f in _EXPRS))
-    chosen = selection.forward_select(wide, list(_EXPRS), p.select("dt", "code", "open", "high", "low", "close"), **_RUN)
+    chosen = selection.forward_select(_lagged(p), _weights(p), list(_EXPRS), p.select("dt", "code", "open", "high", "low", "close"), unit="week", **_RUN)
     return spark.createDataFrame([(i + 1, f, s) for i, (f, s) in enumerate(chosen)], "place int, factor string, sharpe double")
 
 
 @query()
 def walk_forward_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights from the dates before each, four weeks left out for the label; traded on the next date."""
+    """Trained weights, entries on the first date of each month."""
     p = compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS)
-    rows = selection.tall(p.select("dt", "code", *(P.zscore_by_date(F.col(f)).alias(f) for f in _EXPRS)), {f: F.col(f) for f in _EXPRS})
-    weights = selection.weights_by_date(selection.coefficients(rows, _labels(p, 3), 5).select("factor", "dt", "ic"), 52, 26, embargo=4)
-    signals = selection.picks(selection.weighted_score(rows, weights), _RUN["top"], [])
-    eq = simulate.backtest(signals, p.select("dt", "code", "open", "high", "low", "close"), [{"run_id": "walk"} | _RUN])
+    signals = selection.picks(selection.weighted_score(_lagged(p), _weights(p)), _RUN["top"], [], "month")
+    eq = simulate.backtest(signals, p.select("dt", "code", "open", "high", "low", "close"), [{"run_id": "walk", "stuck": 0} | _RUN])
     return eq.select("run_id", "dt", F.round("eq", 2).alias("eq"), "positions", "trades")

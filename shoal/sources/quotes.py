@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the format: where each field stands, and its unit in shares or money.
@@ -20,3 +20,28 @@ def parse(texts: DataFrame, column: str = "text") -> DataFrame:
     known |= {n: F.nullif(known[n], F.lit(0.0)) for n in ("circ_mv", "total_mv")}
     known |= {n: F.coalesce(known[n], F.lit(0.0)) for n in ("volume", "amount")}
     return x.select("code", F.get("f", F.lit(1)).alias("name"), *(c.alias(n) for n, c in known.items()))
+
+
+def exchange(code: Column) -> Column:
+    """The market that a code's first digit stands for."""
+    first = F.substring(code, 1, 1)
+    return F.when(first == "6", "sh").when(first.isin("8", "4", "9"), "bj").otherwise("sz")
+
+
+def special(name: Column) -> Column:
+    """Whether a name marks special treatment or delisting."""
+    return F.coalesce(F.upper(name).contains("ST") | name.contains("\u9000"), F.lit(False))
+
+
+def todays_bars(spot: DataFrame, day: Column) -> DataFrame:
+    """Bars of the day from quotations that have all four prices."""
+    prices = ("open", "high", "low", "price")
+    known = F.least(*(F.coalesce(F.col(p) != 0, F.lit(False)) for p in prices))
+    return spot.filter(known).select("code", day.alias("dt"), "open", "high", "low", F.col("price").alias("close"), "volume", "amount")
+
+
+def universe(listed: DataFrame) -> DataFrame:
+    """(code, name, exchange) of listed shares in a list whose codes carry their market, as in sh.600000."""
+    x = listed.filter((F.col("type") == "1") & (F.col("status") == "1")).filter(F.col("code").rlike(r"^(sh\.6|sz\.[03])"))
+    part = F.split("code", r"\.")
+    return x.select(F.get(part, F.lit(1)).alias("code"), "name", F.get(part, F.lit(0)).alias("exchange"))

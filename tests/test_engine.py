@@ -88,8 +88,10 @@ def test_cap_edges(spark):
 
 def test_entry_and_rows_only_queries(spark):
     assert entry.entry(spark).count() > 0
-    for name in ("backtest_sim",):
+    for name in ("backtest_sim", "backtest_trades", "research_loop"):
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    made = entry.queries()["backtest_results"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.run_id for r in made} == {"h4", "h8"} and all(0 <= r.win_rate <= 1 and r.n_trades > 0 and r.max_drawdown <= 0 for r in made)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -203,3 +205,148 @@ def test_active_set_weights_and_promotion(spark):
     made = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, new double, old double")
     said = [r.v for r in made.select("i", evolution.promotion(F.col("new"), F.col("old")).alias("v")).orderBy("i").collect()]
     assert said == ["first: unknown", "first: not positive", "promote", "too little", "promote", "unknown", "unknown", "unknown"]
+
+
+def test_a_run_by_hand(spark):
+    """Two slots over six dates: a profit, a stop by a gap, a code without a close at the end, and one sold at the end."""
+    from shoal.operators.stats import COST_BUY, COST_SELL
+
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(7 * i) for i in range(6)]
+    bar = lambda i, c, o, h, lo, cl: (days[i], c, o, h, lo, cl)
+    prices = [bar(i, c, 10.0, 10.0, 10.0, 10.0) for i in range(6) for c in "abc"]
+    prices[1 * 3 + 0] = bar(1, "a", 10.0, 10.5, 9.9, 10.2)
+    prices[2 * 3 + 0] = bar(2, "a", 10.5, 11.0, 10.4, 10.9)  # over 8 %: leaves at 10.8
+    prices[3 * 3 + 1] = bar(3, "b", 9.0, 9.1, 8.9, 9.0)  # opens beyond the stop: leaves at 9
+    prices[5 * 3 + 2] = bar(5, "c", None, None, None, None)
+    signals = [(days[1], "a", 1, True), (days[1], "b", 2, True), (days[1], "c", 3, True), (days[4], "c", 1, True), (days[4], "a", 2, True)]
+    p = spark.createDataFrame(prices, "dt date, code string, open double, high double, low double, close double")
+    s = spark.createDataFrame(signals, "dt date, code string, pick int, enter boolean")
+    run = {"run_id": "r", "top": 2, "horizon": 9, "stop": -8.0, "profit": 8.0, "trail": None}
+    curves = simulate.backtest(s, p, [run], capital=100_000.0).cache()
+    got = [(r.code, days.index(r.bought), days.index(r.sold), r.reason) for r in simulate.trade_list(curves).orderBy("sold", "code").collect()]
+    assert got == [("a", 1, 2, "profit"), ("b", 1, 3, "stop"), ("a", 4, 5, "final")]
+    n = int(50_000 / (10 * (1 + COST_BUY)) // 100) * 100
+    cash = 100_000 - 2 * n * 10 * (1 + COST_BUY)
+    eq = {r.dt: r.eq for r in curves.collect()}
+    assert eq[days[0]] == eq[days[1]] == 100_000
+    assert eq[days[2]] == pytest.approx(cash + n * (10.9 + 10))
+    cash += n * 10.8 * (1 - COST_SELL)
+    assert eq[days[3]] == pytest.approx(cash + n * 9)
+    cash += n * 9 * (1 - COST_SELL)
+    assert eq[days[4]] == pytest.approx(cash)
+    done = simulate.results(curves, 100_000.0, p.filter("code = 'b'").select("dt", "close")).first()
+    assert done.n_trades == 3 and done.win_rate == pytest.approx(1 / 3) and done.total_return == pytest.approx(eq[days[5]] / 100_000 - 1)
+    assert done.bench_return == 0 and [e.dt for e in done.equity] == days
+    assert simulate.results(simulate.backtest(s.limit(0), p, [run]), 1.0).count() == 0
+
+
+def test_greedy_falls_back_and_drops_relatives():
+    from shoal.operators import stats
+
+    row = lambda i, icir, oos=1.0, n=60: {"id": i, "n": n, "icir": icir, "oos_icir": oos}
+    rows = [row("a", 3.0), row("b", 2.0), row("c", 1.0), row("d", 9.0, n=49), row("e", 0.4), row("f", 5.0, None), row("g", None)]
+    assert stats.greedy(rows, {("a", "b"): 0.7, ("a", "c"): -1.0}) == ["a", "c"]
+    assert stats.greedy(rows, {}, top=2) == ["a", "b"]
+    assert stats.greedy([row("x", 1.0, None), row("y", 2.0, None)], {}) == ["y", "x"] and stats.greedy([], {}) == []
+
+
+def test_forward_selection_trades_a_negative_factor_the_right_way(spark):
+    """A factor whose high values fall is bought where it is low, as its weight is negative."""
+    from pyspark.sql import functions as F
+
+    from shoal.operators import selection
+
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(i) for i in range(12)]
+    rows = [(d, c, float(k)) for d in days for k, c in enumerate("abcd")]
+    z = spark.createDataFrame([("f", d, c, v) for d, c, v in rows], "factor string, dt date, code string, value double")
+    weights = spark.createDataFrame([("f", d, -1.0) for d in days], "factor string, dt date, weight double")
+    steps = {"a": 1.05, "b": 1.03, "c": 0.99, "d": 0.95}
+    px = [(d, c, *(100 * steps[c] ** i * (1 + 0.001 * (i % 3)),) * 4) for i, d in enumerate(days) for c in "abcd"]
+    prices = spark.createDataFrame(px, "dt date, code string, open double, high double, low double, close double")
+    chosen = selection.forward_select(z, weights, ["f"], prices, top=1, horizon=3, stop=None, profit=None, trail=None)
+    assert chosen[0][0] == "f" and chosen[0][1] > 0
+    assert selection.recommend(z, weights, z.agg(F.max("dt").alias("dt")), 2).collect()[0].asDict() == {"code": "a", "score": 0.0, "reasons": "f-0.00"}
+
+
+def test_folds_hold_each_date_once_per_fold(spark):
+    from shoal.operators import selection
+
+    r = np.random.default_rng(3)
+    ic = r.normal(0.1, 1, 50)
+    rows = [("a", k, float(x)) for k, x in enumerate(ic)] + [("b", k, 1.0) for k in range(9)]
+    got = selection.fold_ratios(spark.createDataFrame(rows, "factor string, dt int, ic double"), 12, 6, 5).collect()
+    begins = range(0, 50 - 18 + 1, 5)
+    ratio = lambda x: x.mean() / x.std(ddof=1) * 252**0.5
+    assert [r.factor for r in got] == ["a"] and got[0].folds == len(begins)
+    assert got[0].is_icir == pytest.approx(np.mean([ratio(ic[b : b + 12]) for b in begins]))
+    assert got[0].oos_icir == pytest.approx(np.mean([ratio(ic[b + 12 : b + 18]) for b in begins]))
+
+
+def test_research_loop_finds_the_planted_factor(spark):
+    """Prices that follow last week's volume: the factor that reads it passes, its copy goes, noise fails; nothing passes an impossible gate."""
+    from shoal.operators import evolution, selection, stats
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    n, codes = 120, 30
+    volume = r.normal(size=(n, codes))
+    change = np.vstack([np.zeros((2, codes)), 0.02 * volume[:-2]]) + r.normal(0, 0.01, (n, codes))
+    price = 100 * np.exp(np.cumsum(change, axis=0))
+    rows = [(f"c{j:02}", datetime.date(2024, 1, 1) + datetime.timedelta(i), *(float(price[i, j]),) * 4, float(volume[i, j]), float(r.normal())) for i in range(n) for j in range(codes)]
+    p = bars.densify(spark.createDataFrame(rows, "code string, dt date, open double, high double, low double, close double, volume double, amount double"))
+    labels = p.select("dt", "code", F.lit(2).alias("h"), stats.forward_return(2).alias("fwd"))
+    specs = [dsl.Spec("good", "x", "add(volume, 0)"), dsl.Spec("copy", "x", "cs_rank(volume)"), dsl.Spec("noise", "x", "add(amount, 0)"), dsl.Spec("bad", "x", "sub(0, volume)")]
+    go = lambda **k: {x.factor: x for x in evolution.research_loop(p, labels, specs, folds=(60, 20, 20), window=60, batch=3, **k).collect()}
+    got = go(gate=5.0)
+    assert len(got) == 1 and set(got) <= {"good", "copy"}
+    x = next(iter(got.values()))
+    assert x.selected and x.reason is None and x.net_ir > 0 and x.verdict == "promote" and x.new_oos == pytest.approx(x.oos_icir)
+    assert next(iter(go(gate=5.0, old_oos=x.new_oos).values())).verdict == "too little"
+    assert go(gate=1e9) == {}
+
+
+def test_catalogue_compiles(spark, wide):
+    from shoal.plans import catalogue
+
+    specs = catalogue.catalogue([{"id": "own", "category": "c", "expr": "close"}, {"id": "level_close", "category": "c", "expr": "open"}])
+    ids = [s.id for s in specs]
+    assert len(ids) == len(set(ids)) > 200 and "own" in ids and {s.expr for s in specs if s.id == "level_close__w5"} == {"sub(div(close, sma(close, 5)), 1)"}
+    for s in specs:
+        dsl.parse(s.expr)
+    few = {s.id: s.expr for s in catalogue.catalogue(grid={"w": [4], "k": [2]})}
+    assert set(few) <= set(dsl.compile_factors(panel(spark, wide), few).columns)
+
+
+def test_partitions_are_replaced_and_runs_logged(spark, tmp_path):
+    from shoal.sources import store
+
+    path = str(tmp_path / "t")
+    t = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    store.replace_partitions(t([(1, "a"), (1, "b"), (2, "c")]), path, ["k"])
+    store.replace_partitions(t([(1, "z")]), path, ["k"])
+    store.replace_partitions(t([]), path, ["k"])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c")]
+    logs = str(tmp_path / "logs")
+    with store.Run(spark, logs, "r1", "screen") as run:
+        run.claim("pick", "ten codes", source="here")
+        run.calc("x", 1.5, "f", {"a": 1})
+        run.conflict("pe", ("one", 1), ("two", 2))
+        run.summary = {"n": 10}
+    with pytest.raises(ZeroDivisionError), store.Run(spark, logs, "r2", "screen"):
+        raise ZeroDivisionError("no")
+    assert {(r.run_id, r.status, r.summary_json, r.error) for r in store.manifest(spark, logs).collect()} == {("r1", "complete", '{"n": 10}', None), ("r2", "failed", None, "no")}
+    assert [spark.read.parquet(f"{logs}/{k}").count() for k in ("evidence", "calc", "conflicts")] == [1, 1, 1]
+
+
+def test_listing_edges(spark):
+    from pyspark.sql import functions as F
+
+    from shoal.operators import tables
+    from shoal.sources import quotes
+
+    x = spark.createDataFrame([("600001", "*st one"), ("300001", "two\u9000"), ("830001", None), ("", "x")], "code string, name string")
+    assert [tuple(r) for r in x.select(quotes.exchange(F.col("code")), quotes.special(F.col("name"))).collect()] == [("sh", True), ("sz", True), ("bj", False), ("sz", False)]
+    b = spark.createDataFrame([("a", datetime.date(2024, 1, 9)), ("b", datetime.date(2024, 1, 8)), ("c", datetime.date(2024, 1, 7))], "code string, dt date")
+    assert [(r.code, r.lag) for r in tables.gaps(b).collect()] == [("c", 2)] and tables.gaps(b.limit(0)).count() == 0
+    rows = spark.createDataFrame([], "pe double")
+    assert screen.missing_alert(rows, ["pe", "pe"]).first().asDict() == {"n": 0, "missing": 0, "alert": False}
