@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from shoal.plans.dsl import Spec, expand
 
-GRID = {"w": [5, 10, 20, 60], "k": [1, 5, 10, 20]}
+GRID = {"w": [5, 10, 20, 30, 60], "k": [1, 5, 10, 20]}
 
 #: name -> (category, expression over a field {x}, its parameters, the fields it makes sense for)
 _PRICES, _SIZES = ("open", "high", "low", "close"), ("volume", "amount")
