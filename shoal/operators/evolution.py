@@ -84,21 +84,20 @@ def research_loop(panel: DataFrame, labels: DataFrame, specs: list[Spec], old_oo
         return [ids[i : i + batch] for i in range(0, len(ids), batch)]
 
     for ids in batches(list(exprs)):
+        # one job a batch: the gate, the folds and the stability read the same coefficients
         ic = selection.coefficients(tall(ids), labels, 2, masked=True)
-        passed |= {r["factor"]: {"id": r["factor"], "n": r["n"], "icir": r["icir"], "oos_icir": None} for r in selection.gated(ic, gate, least).collect()}
+        found = selection.gated(ic, gate, least).join(selection.fold_ratios(ic, *folds).select("factor", "oos_icir"), "factor", "left")
+        found = found.join(research.stability(ic, "factor", "ic", window).select("factor", F.col("worst").alias("stability")), "factor", "left")
+        passed |= {r["factor"]: {"id": r["factor"]} | r.asDict() for r in found.collect()}
     if not passed:
         return spark.createDataFrame([], schema)
     rows = None
     for ids in batches(sorted(passed)):
         rows = tall(ids) if rows is None else rows.unionByName(tall(ids))
-    ic = selection.coefficients(rows, labels, 2, masked=True)
-    for r in selection.fold_ratios(ic, *folds).collect():
-        passed[r["factor"]]["oos_icir"] = r["oos_icir"]
     corr = {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in research.pair_correlations(rows).collect()} if len(passed) > 1 else {}
     chosen = stats.greedy(list(passed.values()), corr, gate, ceiling, top, least)
-    base = spark.createDataFrame([(f, passed[f]["icir"], passed[f]["oos_icir"]) for f in chosen], "factor string, is_icir double, oos_icir double")
-    own, mine = tall(chosen), ic.filter(F.col("factor").isin(chosen))
-    x = base.join(research.stability(mine, "factor", "ic", window).select("factor", F.col("worst").alias("stability")), "factor", "left")
+    x = spark.createDataFrame([(f, *(passed[f][c] for c in ("icir", "oos_icir", "stability"))) for f in chosen], "factor string, is_icir double, oos_icir double, stability double")
+    own = tall(chosen)
     x = x.join(selection.turnovers(own).select("factor", "turnover"), "factor", "left").join(selection.long_shorts(own, labels, rebalance=rebalance).select("factor", "net_ir"), "factor", "left")
     x = x.withColumn("oos_is_ratio", out_of_sample_ratio(F.col("oos_icir"), F.col("is_icir")))
     x = x.withColumn("reason", stats.drop_reason(F.col("net_ir"), F.col("oos_is_ratio"), F.col("stability"))).withColumn("selected", F.col("reason").isNull())
