@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, decontam, licenses, lm, media, neardup, quality, spm, tokenbin, toxicity
+from . import counts, decontam, licenses, lm, media, mixing, neardup, quality, resample, search, spm, tokenbin, toxicity
 from .text import table
 
 
@@ -58,5 +58,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bayes, op2_maxent_scores, op3_order_minhash, op4_token_codes, op5_audio_features, op6_token_counts, op7_string_tiling, op8_toxicity_lexicon, op9_licence_rules, op10_sentencepiece)}
-ORACLES = {"op9_licence_rules": licenses.scan_sql()}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_bayes, op2_maxent_scores, op3_order_minhash, op4_token_codes, op5_audio_features, op6_token_counts, op7_string_tiling, op8_toxicity_lexicon, op9_licence_rules, op10_sentencepiece, op11_importance_resampling, op12_source_mixing, op13_lexical_search)}
+ORACLES = {"op9_licence_rules": licenses.scan_sql(), "op12_source_mixing": mixing.mixed_sql(), "op13_lexical_search": search.ranked_sql()}
