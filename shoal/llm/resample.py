@@ -32,6 +32,7 @@ from .text import LOWER, NOT_WORD, flat, materialize, slices, spans
 BUCKETS, LONGEST, LEAST_WORDS = 10_000, 3, 20
 HOT = 4096
 STRETCH, STRETCHES = 2000, 4096
+SLICE = 1 << 20
 FULL = np.uint32(0xFFFFFFFF)
 _SHORT = 64
 
@@ -99,7 +100,7 @@ def bucket_sums(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             buckets, row, _ = features(b.column(0))
             copies = b.column(1).to_numpy()
             if copies.max() == 1:
@@ -126,7 +127,7 @@ def weights(texts: DataFrame, gain: np.ndarray) -> DataFrame:
     """(digest, copies, words, n_features, weight) of (text, digest, copies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             buckets, row, words = features(b.column(0))
             total = np.zeros(len(words), np.int64)
             np.add.at(total, row, gain[buckets])
