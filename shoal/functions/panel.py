@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def rolling(agg, x: Column, n: int, least: int | None = None) -> Column:
     return F.when(F.count(x).over(w) >= (n if least is None else least), agg(x).over(w))
 
 
-def returns(x: str, n: int, pad: bool = True) -> Column:
-    """Relative change over n dates, gaps filled forward first. ``x`` names a column that holds the filled series if ``pad``."""
+def returns(x: str, n: int) -> Column:
+    """Relative change over n dates of a series whose gaps are filled already."""
     return F.try_divide(F.col(x), F.lag(x, n).over(by_code())) - 1
 
 
@@ -68,22 +70,44 @@ def zscore_by_date(x: Column, population: bool = False) -> Column:
     return F.try_divide(x - F.avg(x).over(by_date()), F.nullif(dev(x).over(by_date()), F.lit(0.0)))
 
 
-def ewm(panel: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
-    """Columns name -> (source, alpha, least): exponential means by code, recursive (not adjusted), whose old
-    weight decays over gaps too; null until ``least`` values have been seen."""
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType(panel.schema.fields + [StructField(n, DoubleType()) for n in specs])
+#: Decay, in powers of e, that one block of a recurrence spans; what lies two blocks back weighs e^-SPAN or less.
+SPAN = 100.0
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("dt")
-        for name, (x, alpha, least) in specs.items():
-            g[name] = g[x].astype(float).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return g
 
-    out = panel.groupBy("code").applyInPandas(run, schema)
-    return out.withColumns({n: F.nanvl(F.col(n), F.lit(None).cast("double")) for n in specs})
+def ewm(panel: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """Columns name -> (source, alpha, least): exponential means by code, recursive (not adjusted), whose old
+    weight decays over gaps too; null until ``least`` values have been seen.
+
+    A mean takes the last one by an affine step, y = a y + b, so it is a sum of all b, each decayed by the a after it. The logarithms
+    of the a add up along the series; sums run in blocks of ``SPAN`` of that total, where no factor leaves the range of doubles, and a
+    block takes over the sum of the block before it. All of it is windows over the code.
+    """
+    w = by_code()
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    flat = {n for n, (_, alpha, _) in specs.items() if alpha >= 1}
+    steps: list[dict[str, Column]] = [{"_i": F.row_number().over(w)}, {}, {}, {}, {}, {}]
+    for n, (x, alpha, _) in specs.items():
+        if n in flat:
+            continue
+        c = F.col(x).cast("double")
+        steps[1][f"_g{n}"] = F.when(c.isNotNull(), F.col("_i") - F.last(F.when(c.isNotNull(), F.col("_i")), ignorenulls=True).over(past))
+        old = F.pow(F.lit(1 - alpha), F.col(f"_g{n}"))
+        steps[2][f"_l{n}"] = F.when(c.isNotNull(), F.coalesce(F.col(f"_g{n}") * math.log(1 - alpha) - F.ln(old + alpha), F.lit(0.0)))
+        steps[2][f"_b{n}"] = F.when(F.col(f"_g{n}").isNull(), c).otherwise(alpha * c / (old + alpha))
+        steps[3][f"_s{n}"] = -F.sum(f"_l{n}").over(w)
+        block = F.floor(F.col(f"_s{n}") / SPAN)
+        steps[4][f"_k{n}"] = block
+        steps[4][f"_e{n}"] = F.exp(F.col(f"_s{n}") - SPAN * block)
+        inside = Window.partitionBy("code", f"_k{n}").orderBy("dt")
+        before = Window.partitionBy("code").orderBy(f"_k{n}").rangeBetween(-1, -1)
+        part = F.col(f"_b{n}") * F.col(f"_e{n}")
+        steps[5][f"_t{n}"] = F.sum(part).over(inside) + math.exp(-SPAN) * F.coalesce(F.sum(part).over(before), F.lit(0.0))
+    out = panel
+    for columns in steps:
+        out = out.withColumns(columns)
+    seen = {n: F.count(x).over(w) >= least for n, (x, _, least) in specs.items()}
+    found = {n: F.last(F.col(specs[n][0]).cast("double"), ignorenulls=True).over(w) if n in flat else F.col(f"_t{n}") / F.col(f"_e{n}") for n in specs}
+    return out.withColumns({n: F.when(seen[n], found[n]) for n in specs}).select(*panel.columns, *specs)
 
 
 def rsi(up: Column, down: Column, full_at_zero: bool = True) -> Column:

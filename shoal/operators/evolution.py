@@ -10,6 +10,11 @@ from shoal.plans.dsl import Spec, compile_factors
 from . import research, selection, stats, tables
 
 
+def known(c: Column) -> Column:
+    """A number, or null where there is none or it isn't one."""
+    return F.when(~F.isnan(c.cast("double")), c.cast("double"))
+
+
 def active_set(log: DataFrame, source: str) -> DataFrame:
     """(place, factor) of the newest entry of ``source`` in a log of (source, at, factors_json)."""
     newest = tables.latest(log.filter(F.col("source") == source), ["source"], "at")
@@ -19,13 +24,13 @@ def active_set(log: DataFrame, source: str) -> DataFrame:
 def active_specs(active: DataFrame, library: DataFrame, evals: DataFrame) -> DataFrame:
     """(place, factor, weight) of active factors that the library has.
 
-    weight: net_ir of the newest evaluation, else is_icir, else 1, signs kept; all the same if they are all zero.
+    weight: net_ir of the newest evaluation, else is_icir, else 1, signs kept; all the same if their signed sum is zero.
     """
     newest = tables.latest(evals, ["factor"], "run_at").select("factor", "net_ir", "is_icir")
-    real = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    real = lambda c: known(F.col(c))
     x = active.join(library.select("factor").distinct(), "factor").join(newest, "factor", "left").withColumn("w", F.coalesce(real("net_ir"), real("is_icir"), F.lit(1.0)))
-    size = F.sum(F.abs("w")).over(Window.partitionBy())  # one row a factor
-    return x.select("place", "factor", F.when(size == 0, 1.0).otherwise(F.col("w")).alias("weight"))
+    total = F.sum("w").over(Window.partitionBy())  # one row a factor
+    return x.select("place", "factor", F.when(total == 0, 1.0).otherwise(F.col("w")).alias("weight"))
 
 
 def degraded(specs: DataFrame, evals: DataFrame) -> DataFrame:
@@ -39,11 +44,12 @@ def out_of_sample_ratio(oos: Column, within: Column) -> Column:
     return F.try_divide(oos, F.nullif(within, F.lit(0.0)))
 
 
-def factor_health(evals: DataFrame, most: float = 5.0) -> DataFrame:
-    """(factor, warning) of the newest evaluations: a ratio out of sample beyond belief, a negative stability."""
+def factor_health(evals: DataFrame, most: float = 5.0, least: float = 0.3) -> DataFrame:
+    """(factor, warning) of the newest evaluations: a ratio out of sample beyond belief, or one that fails there (below ``least``,
+    so every negative one), and a negative stability. A ratio that can't be taken gives no warning."""
     newest = tables.latest(evals, ["factor"], "run_at")
-    ratio = F.abs(out_of_sample_ratio(F.col("oos_icir"), F.col("is_icir")))
-    found = F.array_compact(F.array(F.when(ratio > most, "oos_is_ratio"), F.when(F.col("stability") < 0, "stability")))
+    ratio = known(out_of_sample_ratio(F.col("oos_icir"), F.col("is_icir")))
+    found = F.array_compact(F.array(F.when(ratio > most, "ratio_high").when(ratio < least, "ratio_low"), F.when(known(F.col("stability")) < 0, "stability")))
     return newest.select("factor", F.explode(found).alias("warning"))
 
 

@@ -24,7 +24,7 @@ def windowed(panel: DataFrame) -> DataFrame:
     found |= {"log_amt20": F.when(mean("amount", 20).isNotNull(), F.ln(F.greatest(mean("amount", 20), F.lit(1.0))))}
     found |= {f"hi{n}_dist": ratio(c("close"), P.rolling(F.max, c("high"), n)) for n in (20, 60, 120)}
     found |= {"chg": c("ret") * 100, "gap_up": ratio(c("open"), F.lag("close", 1).over(P.by_code()))}
-    found |= {"amihud": F.when(c("amount").isNotNull(), F.abs("ret") / F.greatest("amount", F.lit(1.0)) * 1e6)}
+    found |= {"amihud": F.when(c("amount").isNotNull(), F.abs("ret") / F.greatest("amount", F.lit(1.0)))}
     return q.withColumns(found)
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tables
+from shoal.plans.dsl import compile_factors
+from shoal.sources.bars import at_or_before, densify
+from shoal.sources.commits import Change, Store, kept
+
+from . import features, state, tables
 
 
 @dataclass(frozen=True)
@@ -57,34 +64,31 @@ def capped_top(scored: DataFrame, top: int, cap: int) -> DataFrame:
     best = [F.desc_nulls_last("score"), F.asc("code")]
     kept = scored
     if cap > 0:
-        # blank rows need no rank: dealt over many tasks
-        kept = scored.withColumn("_k", F.row_number().over(Window.partitionBy("industry", F.when(blank, F.xxhash64("code") % 1024)).orderBy(*best))).filter((F.col("_k") <= cap) | blank).drop("_k")
+        # a large industry is ranked in parts first, each of which gives ``cap`` rows at most
+        part = Window.partitionBy("industry", "_part").orderBy(*best)
+        own = Window.partitionBy("industry").orderBy(*best)
+        few = scored.filter(~blank).withColumn("_part", F.xxhash64("code") % 256).withColumn("_k", F.row_number().over(part)).filter(F.col("_k") <= cap)
+        few = few.withColumn("_k", F.row_number().over(own)).filter(F.col("_k") <= cap).drop("_k", "_part")
+        kept = few.unionByName(scored.filter(blank))
     chosen = kept.orderBy(*best).limit(top)
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy(*best)))
 
 
-def composite(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(code, score, reasons): weighted z-scores of the cross-section, and the three largest contributions."""
+def composite(rows: DataFrame, weights: dict[str, float], names: dict[str, str] | None = None) -> DataFrame:
+    """(code, score, reasons): weighted z-scores of the cross-section, and the three largest contributions, equal ones in the weights' order.
+
+    If any factor has no spread, or one row is left, values stand for themselves. Unknown ones add 0.
+    """
     stats = rows.agg(*(g(f).alias(f"_{k}_{f}") for f in weights for k, g in (("m", F.avg), ("s", F.stddev_samp))))
     rows = rows.crossJoin(F.broadcast(stats))  # one row
-    z = {f: F.coalesce(F.try_divide(F.col(f) - F.col(f"_m_{f}"), F.nullif(F.col(f"_s_{f}"), F.lit(0.0))), F.lit(0.0)) * w for f, w in weights.items()}
-    parts = F.array(*(F.struct((-F.abs(c)).alias("k"), F.lit(f).alias("f"), c.alias("c")) for f, c in z.items()))
+    flat = F.least(*(F.coalesce(F.col(f"_s_{f}"), F.lit(0.0)) for f in weights), F.lit(math.inf)) == 0
+    z = {f: F.coalesce(F.when(flat, F.col(f)).otherwise(F.try_divide(F.col(f) - F.col(f"_m_{f}"), F.nullif(F.col(f"_s_{f}"), F.lit(0.0)))), F.lit(0.0)) * w for f, w in weights.items()}
+    parts = F.array(*(F.struct((-F.abs(c)).alias("k"), F.lit(i).alias("i"), F.lit((names or {}).get(f, f)).alias("f"), c.alias("c")) for i, (f, c) in enumerate(z.items())))
     x = rows.select("code", parts.alias("p"))
     reasons = F.transform(F.slice(F.array_sort("p"), 1, 3), lambda s: F.format_string("%s(%+.1f)", s["f"], s["c"]))
     return x.select("code", F.aggregate("p", F.lit(0.0), lambda a, s: a + s["c"]).alias("score"), F.array_join(reasons, " ").alias("reasons"))
 
 
-def reversal_score() -> Column:
-    """Points of the fallback score over ret_20d, ret_60d, rsi, close, ma5, ma120, chg, dif, dea, held within 0 to 100."""
-    c = F.col
-    points = [
-        (c("ret_20d").between(-35, -12), 30), (c("rsi") < 38, 20), ((c("close") > c("ma5")) & (c("chg") > 0), 20),
-        (c("close") > c("ma120"), 15), ((c("dif") > c("dea")) & (c("dif") < 0), 10), (c("ret_60d").between(-50, -20), 5),
-    ]
-    total = sum((F.when(k, n).otherwise(0) for k, n in points[1:]), F.when(points[0][0], points[0][1]).otherwise(0))
-    return F.least(F.greatest(total, F.lit(0)), F.lit(100))
-
-
 def outcomes(picks: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """picks (run_date, code) with ret_n: open of the first bar after run_date to the close of the n-th bar after that, in percent.
 
@@ -98,6 +102,35 @@ def outcomes(picks: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> Da
     return both.withColumn("bar", seen).filter("kind = 0").select("code", F.col("dt").alias("run_date"), *(F.col(f"bar.ret_{n}") for n in horizons))
 
 
+def fill_outcomes(store: Store, horizons: tuple[int, ...] = (5, 10, 20, 60), ahead: int = 120) -> int:
+    """Fill the outcomes of stored recommendations that are null, from stored bars; the number of run dates written.
+
+    Only unfinished picks are read. Bars come from the months between a pick's and ``ahead`` days on, which the picks name while the query runs, and of
+    the picks' codes. A value that is there stays, and only run dates whose rows changed are written.
+    """
+    base = store.head()
+    names = [f"ret_{n}" for n in horizons]
+    open_ = store.read("recommendations", snapshot=base).filter(F.least(*(F.col(n).isNotNull() for n in names), F.lit(True)) == F.lit(False)).select("run_date", "code")
+    open_ = kept(open_)
+    span = F.sequence(F.trunc("run_date", "month"), F.trunc(F.date_add("run_date", ahead), "month"), F.expr("interval 1 month"))
+    months = [r[0] for r in open_.select(F.explode(span).alias("m")).select(F.date_format("m", "yyyy-MM")).distinct().collect()]
+    bars = store.read("daily", months, base).join(open_.select("code").distinct(), "code", "left_semi")
+    found = outcomes(open_, bars.select("code", "dt", "open", "close"), horizons)
+    found = kept(found.filter(F.greatest(*(F.col(n).isNotNull() for n in names), F.lit(False))))
+    days = [str(r[0]) for r in found.select("run_date").distinct().collect()]
+    if not days:
+        return 0
+    held = store.read("recommendations", days, base)
+    new = found.select("run_date", "code", F.struct(*names).alias("_new"))
+    rows = held.join(new, ["run_date", "code"], "left").select(*(F.coalesce(F.col(c), F.col(f"_new.{c}")).alias(c) if c in names else F.col(c) for c in held.columns))
+    before = held.groupBy("run_date").agg(*(F.count(n).alias(f"_{n}") for n in names))
+    after = rows.groupBy("run_date").agg(*(F.count(n).alias(n) for n in names)).join(before, "run_date").filter(F.greatest(*(F.col(n) > F.col(f"_{n}") for n in names), F.lit(False)))
+    days = [r[0] for r in after.select("run_date").collect()]
+    if days:
+        store.commit(f"outcomes:{uuid.uuid4().hex}", [Change("recommendations", rows.filter(F.col("run_date").isin(days)), "swap")], base=base.version)
+    return len(days)
+
+
 def candidates(snapshot: DataFrame, listing: DataFrame, reports: DataFrame) -> DataFrame:
     """Rows of ``snapshot`` (code, price) that trade in the two main markets, not under special treatment, with the newest
     of their ``reports`` (code, period, metrics) where they have one; by code."""
@@ -116,6 +149,51 @@ def recommendation(picks: DataFrame, run_date: Column, metrics: list[str], facto
     return picks.select(run_date.alias("run_date"), "rank", "code", "score", F.to_json(F.struct(*metrics)).alias("metrics_json"), factor_set.alias("factor_set_id"))
 
 
+def by_set(panel: DataFrame, members: DataFrame, dates: list[date], as_of: date | None = None) -> DataFrame:
+    """(code, score, reasons) of a panel's codes by a set of factors (place, factor, expr, weight), on the last date at or before ``as_of`` or, without
+    one, the newest. Expressions come from the rows and are compiled together; one row a factor comes to the driver. Empty for an empty set.
+    """
+    found = members.orderBy("place").collect()
+    day = at_or_before(dates, as_of)
+    if not found or day is None:
+        return panel.sparkSession.createDataFrame([], "code string, score double, reasons string")
+    own = {f"f{k}": r for k, r in enumerate(found)}
+    made = compile_factors(panel.filter(F.col("dt") <= F.lit(day)), {f: r["expr"] for f, r in own.items()})
+    cross = kept(made.filter(F.col("dt") == F.lit(day)).select("code", *own))
+    return composite(cross, {f: r["weight"] for f, r in own.items()}, {f: r["factor"] for f, r in own.items()})
+
+
+def by_reversal(bars: DataFrame) -> DataFrame:
+    """(code, score, reasons) from the newest indicators of every code that has enough bars: what stands in for a set that is empty."""
+    x = features.newest(features.oscillators(features.indicators(bars)))
+    return x.select("code", features.reversal_score().cast("double").alias("score"), features.reversal_reasons().alias("reasons"))
+
+
+def run(store: Store, run_date: date, codes: DataFrame, bars: DataFrame, dates: list[date], days: int, rows: int, window: int, lim: Limits = Limits(), persist: bool = True) -> DataFrame:
+    """The day's picks (rank, code, industry, score, price, reasons, factor_set_id) of codes (code, industry, price, fundamentals).
+
+    Hard filters, liveness and liquidity first, then the scores of the active set over the codes that are left, or of the fallback where the set is empty.
+    ``persist`` puts them in the place of the day's recommendations, with whether the fallback was taken and whether too many
+    fundamentals are missing, in one commit.
+    """
+    flags, _ = funnel(codes.withColumn("score", F.lit(0.0)), bars, days, rows, window, lim)
+    left = kept(flags.filter("hard and live and liquid").select("code", "industry", "price"))
+    mine = bars.join(left.select("code"), "code", "left_semi")
+    members = state.active_weights(store).cache()
+    degraded = members.isEmpty()
+    scored = by_reversal(mine) if degraded else by_set(densify(mine, dates), members, dates)
+    found = state.active(store, state.AUTO).select(F.max("run_at").alias("factor_set_id"))
+    picks = capped_top(left.join(scored, "code"), lim.top, lim.cap).crossJoin(F.broadcast(found)).withColumn("run_date", F.lit(run_date))  # one row
+    members.unpersist()
+    if not persist:
+        return picks.drop("run_date")
+    alert = missing_alert(codes, ["pe", "roe", "debt"]).first()
+    said = {"last_recommend_run": str(run_date), "factor_system_degraded": str(int(degraded)), "universe_fund_missing_alert": f"{alert['missing']}/{alert['n']}" if alert["alert"] else "0"}
+    run_id = f"screen:{run_date}:{uuid.uuid4().hex}"
+    store.commit(run_id, [Change("recommendations", picks, "swap"), state.settings(store, **said)])
+    return store.read("recommendations", [str(run_date)]).select("rank", "code", "industry", "score", "price", "reasons", "factor_set_id")
+
+
 def funnel(codes: DataFrame, bars: DataFrame, days: int, rows: int, window: int, lim: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """(code flags, picks): hard, live and liquid of every code (code, industry, score, fundamentals), and the capped best of those that pass all."""
     x = codes.withColumn("hard", F.size(failures(lim)) == 0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.panel import by_code, rank_pct, zscore_by_date
+from shoal.sources.bars import densify
 
 from . import research, simulate, stats, tables
 
@@ -77,14 +80,13 @@ def analyze(ic: DataFrame, dates: int = 30, per_year: float = 252.0) -> DataFram
     return out.filter(F.col("n") >= dates).withColumnRenamed("_ic", "ic")
 
 
-def weights_by_date(ic: DataFrame, train: int, least: int = 30, floor: float = 0.01, embargo: int = 0, calendar: DataFrame | None = None) -> DataFrame:
+def weights_by_date(ic: DataFrame, train: int, least: int = 30, floor: float = 0.01, embargo: int = 0, calendar: list[date] | None = None) -> DataFrame:
     """(factor, dt, weight) from (factor, dt, ic): the mean coefficient of the train + 1 dates up to the embargo, where it is strong enough.
 
-    weights are divided by their total size on the date. ``calendar`` (dt) gives the dates that count; without it those with a coefficient.
+    weights are divided by their total size on the date. ``calendar`` gives the dates that count; without it those with a coefficient.
     """
     if calendar is not None:
-        grid = ic.select("factor").distinct().crossJoin(calendar.select("dt").distinct())
-        ic = grid.join(ic.select("factor", "dt", "ic"), ["factor", "dt"], "left")
+        ic = densify(ic.select("factor", "dt", "ic"), calendar, "factor")
     w = Window.partitionBy("factor").orderBy("dt").rowsBetween(-train - embargo, -embargo)
     mean = F.avg("ic").over(w)
     strong = (F.count("ic").over(w) >= least) & (F.abs(mean) >= floor) & (F.stddev_samp("ic").over(w) > 0)

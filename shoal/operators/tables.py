@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace") -> DataFrame:
-    """``new`` wins by key. replace: whole rows, unlisted columns become null; coalesce: only new values that aren't null."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace", order: str | None = None) -> DataFrame:
+    """``new`` wins by key. replace: whole rows, unlisted columns become null; coalesce: only new values that aren't null; insert: only keys that aren't held.
+
+    Of several new rows with one key the one with the greatest ``order`` counts, by default the greatest row. null keys are keys like others.
+    """
     rest = [c for c in old.columns if c not in keys]
+    new = newest_row(new, keys, order)
     wide = new.select(*keys, *(F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in rest))
-    if policy == "replace":
-        return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(wide)
-    if policy != "coalesce":
+    if policy not in ("replace", "coalesce", "insert"):
         raise ValueError(f"unknown policy {policy!r}")
-    a, b = old.alias("a"), wide.select(*keys, F.struct(*rest).alias("_new"))
-    return a.join(b, keys, "full_outer").select(*keys, *(F.coalesce(F.col(f"_new.{c}"), F.col(f"a.{c}")).alias(c) for c in rest))
+    a, b = old.select(*keys, F.struct(*rest, F.lit(1).alias("_")).alias("_old")), wide.select(*keys, F.struct(*rest, F.lit(1).alias("_")).alias("_new"))
+    b = b.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    x = a.join(b, same, "full_outer").select(*(F.when(F.col("_old").isNull(), F.col(f"_k{i}")).otherwise(F.col(k)).alias(k) for i, k in enumerate(keys)), "_old", "_new")
+    if policy == "coalesce":
+        return x.select(*keys, *(F.coalesce(F.col(f"_new.{c}"), F.col(f"_old.{c}")).alias(c) for c in rest))
+    first, second = ("_new", "_old") if policy == "replace" else ("_old", "_new")
+    return x.withColumn("_r", F.coalesce(first, second)).select(*keys, *(F.col(f"_r.{c}") for c in rest))
+
+
+def newest_row(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row a key: the one with the greatest ``order``, equal ones by the greatest row."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    by = F.struct(*([F.col(order)] if order else []), *rest)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(*keys, *(F.col(f"_r.{c}") for c in rest))
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

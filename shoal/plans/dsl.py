@@ -1,70 +1,131 @@
 """Factor expressions compiled to Spark columns.
 
-Text becomes a tree of tuples; equal subtrees are one node, over all factors of a compilation. A node that needs a
+Text becomes a tree; equal subtrees are one node, over all factors of a compilation. A node that needs a
 window can't nest in another, so nodes are dealt to stages by window depth; each stage adds
-its columns with one projection, windows by code before windows by date. Only frames that end
-at the current date exist, so no factor looks ahead.
+its columns with one projection, windows by code before windows by date. No factor looks ahead: the built-in operators have only frames
+that end at the current date, and operators that are added are refused if what they build reads later dates.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.functions import panel as P
+from shoal.plans import causal
 from shoal.sources.bars import FIELDS
 
-_PART = re.compile(r"\s*(?:(?P<num>\d+\.?\d*)|(?P<id>[A-Za-z_]\w*)|(?P<sign>[(),]))")
+#: How a word goes on after its first character.
+_GOES_ON = {"digits": "0123456789.", "name": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"}
 
 
-def tokens(text: str) -> list[tuple[str, str]]:
-    out, at, text = [], 0, text.rstrip()
-    while at < len(text):
-        m = _PART.match(text, at)
-        if not m:
-            raise ValueError(f"unknown character at {at}: {text[at:at + 5]!r}")
-        out.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
-    return out
+@dataclass(frozen=True)
+class Number:
+    value: float
 
 
-def parse(text: str) -> tuple:
-    """("num", value), ("var", field) or ("call", operator, *arguments)."""
-    left = tokens(text)[::-1]
-
-    def one() -> tuple:
-        if not left:
-            raise ValueError(f"expression ends early: {text!r}")
-        kind, value = left.pop()
-        if kind == "num":
-            return ("num", float(value))
-        if kind != "id":
-            raise ValueError(f"unexpected {value!r} in {text!r}")
-        if not left or left[-1][1] != "(":
-            if value not in FIELDS:
-                raise ValueError(f"unknown field {value!r}")
-            return ("var", value)
-        if value not in OPERATORS:
-            raise ValueError(f"unknown operator {value!r}")
-        left.pop()
-        args = []
-        while not left or left[-1][1] != ")":
-            args.append(one())
-            if left and left[-1][1] == ",":
-                left.pop()
-            elif not left or left[-1][1] != ")":
-                raise ValueError(f"missing ')' in {text!r}")
-        left.pop()
-        return ("call", value, *args)
-
-    out = one()
-    if left:
-        raise ValueError(f"extra {left[-1][1]!r} in {text!r}")
-    return out
+@dataclass(frozen=True)
+class Field:
+    name: str
+
+
+@dataclass(frozen=True)
+class Filled:
+    """The last known value of an expression; made by operators that fill gaps, never written."""
+
+    of: Node
+
+
+@dataclass(frozen=True)
+class Call:
+    operator: str
+    arguments: tuple[Node, ...]
+
+    @property
+    def form(self) -> Operator:
+        return OPERATORS[self.operator]
+
+
+Node = Number | Field | Filled | Call
+
+
+def words(text: str) -> Iterator[str]:
+    """Numbers, names and single signs, in order; an empty one at the end."""
+    at = 0
+    while at < len(text):
+        c = text[at]
+        if c in "(),":
+            end = at + 1
+        elif c.isspace():
+            at += 1
+            continue
+        elif c in _GOES_ON["name"]:
+            kind = "digits" if c.isdigit() else "name"
+            end = at + 1
+            while end < len(text) and text[end] in _GOES_ON[kind]:
+                end += 1
+        else:
+            raise ValueError(f"{c!r} at {at} of {text!r} means nothing")
+        yield text[at:end]
+        at = end
+    yield ""
+
+
+class Reader:
+    """One expression's words, one ahead."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.words = text, words(text)
+        self.next = next(self.words)
+
+    def take(self) -> str:
+        word = self.next
+        self.next = next(self.words, "")
+        return word
+
+    def fail(self, why: str) -> ValueError:
+        return ValueError(f"{why} in {self.text!r}")
+
+    def node(self) -> Node:
+        word = self.take()
+        if word[:1].isdigit():
+            try:
+                return Number(float(word))
+            except ValueError:
+                raise self.fail(f"bad number {word!r}") from None
+        if not word or word in "(),":
+            raise self.fail(f"unexpected {word or 'end'!r}")
+        if self.next == "(":
+            return self.call(word)
+        if word not in FIELDS:
+            raise self.fail(f"unknown field {word!r}")
+        return Field(word)
+
+    def call(self, name: str) -> Call:
+        if name not in OPERATORS:
+            raise self.fail(f"unknown operator {name!r}")
+        self.take()
+        arguments = []
+        while self.next != ")":
+            arguments.append(self.node())
+            if self.next == ",":
+                self.take()
+            elif self.next != ")":
+                raise self.fail("a bracket isn't closed")
+        self.take()
+        return Call(name, tuple(arguments))
+
+
+def parse(text: str) -> Node:
+    reader = Reader(text)
+    found = reader.node()
+    if reader.next:
+        raise reader.fail(f"extra {reader.next!r}")
+    return found
 
 
 @dataclass(frozen=True)
@@ -111,58 +172,64 @@ OPERATORS: dict[str, Operator] = {
 
 
 def register_operator(name: str, build, kind: str = "row") -> None:
-    """Add an operator: ``build`` takes columns (numbers stay numbers) and returns a column."""
+    """Add an operator: ``build`` takes columns, and plain numbers for parameters whose name begins with n, and returns a column.
+
+    kind: row (no window), code (windows over a code's dates) or date (windows over one date). Refused with ``causal.LooksAhead`` if what it builds
+    from sample columns reads later dates: ``lead``, a negative lag, a frame that ends after the current row or runs against time.
+    """
     if kind not in ("row", "code", "date"):
         raise ValueError(f"unknown kind {kind!r}")
+    causal.check(SparkSession.builder.getOrCreate(), build, kind)
     OPERATORS[name] = Operator(kind, build)
 
 
 def compile_factors(panel: DataFrame, factors: dict[str, str]) -> DataFrame:
     """The dense panel with a column for each factor id. Many factors go in batches of some 64, to bound the plan."""
-    names: dict[tuple, str] = {}
-    stages: dict[int, dict[str, list[tuple[str, tuple]]]] = {}
+    names: dict[Node, str] = {}
+    stages: dict[int, dict[str, list[tuple[str, Node]]]] = {}
     trees = {f: parse(e) for f, e in factors.items()}
 
-    def depth(node: tuple) -> int:
+    def windowed_at(stage: int, kind: str, node: Node) -> None:
+        if node not in names:
+            names[node] = f"_w{len(names)}"
+            stages.setdefault(stage, {}).setdefault(kind, []).append((names[node], node))
+
+    def depth(node: Node) -> int:
         """Stages that must be there before the node; windowed nodes get a column in theirs."""
-        if node[0] != "call":
+        if not isinstance(node, Call):
             return 0
-        op, own = OPERATORS[node[1]], max((depth(a) for a in node[2:]), default=0)
-        if op.kind == "row":
+        own = max(map(depth, node.arguments), default=0)
+        if node.form.kind == "row":
             return own
-        if op.pads:
-            fill = ("fill", node[2])
-            if fill not in names:
-                names[fill] = f"_w{len(names)}"
-                stages.setdefault(own, {}).setdefault("code", []).append((names[fill], fill))
+        if node.form.pads:
+            windowed_at(own, "code", Filled(node.arguments[0]))
             own += 1
-        if node not in names:
-            names[node] = f"_w{len(names)}"
-            stages.setdefault(own, {}).setdefault(op.kind, []).append((names[node], node))
+        windowed_at(own, node.form.kind, node)
         return own + 1
 
-    def column(node: tuple):
-        if node[0] == "num":
-            return F.lit(node[1])
-        if node[0] == "var":
-            return F.col(node[1])
-        return F.col(names[node]) if node in names else OPERATORS[node[1]].build(*map(column, node[2:]))
-
-    def windowed(node: tuple) -> Column:
-        if node[0] == "fill":
-            return P.filled(column(node[1]))
-        op, args = OPERATORS[node[1]], list(node[2:])
-        if op.pads:
-            return op.build(F.col(names[("fill", args[0])]), *(a[1] for a in args[1:]))
-        return op.build(*(a[1] if a[0] == "num" and k else column(a) for k, a in enumerate(args)))
+    def column(node: Node) -> Column:
+        match node:
+            case Number(value):
+                return F.lit(value)
+            case Field(name):
+                return F.col(name)
+        return F.col(names[node]) if node in names else node.form.build(*map(column, node.arguments))
+
+    def windowed(node: Filled | Call) -> Column:
+        if isinstance(node, Filled):
+            return P.filled(column(node.of))
+        first, *rest = node.arguments
+        first = F.col(names[Filled(first)]) if node.form.pads else column(first)
+        return node.form.build(first, *(x.value if isinstance(x, Number) else column(x) for x in rest))
 
     for t in trees.values():
         depth(t)
     out = panel
     for k in sorted(stages):
         if ewm := stages[k].get("ewm"):
-            out = out.withColumns({f"{n}x": column(node[2]) for n, node in ewm})
-            out = P.ewm(out, {n: (f"{n}x", 2 / (node[3][1] + 1), P.half(int(node[3][1]))) for n, node in ewm})
+            spans = {n: int(node.arguments[1].value) for n, node in ewm}
+            out = out.withColumns({f"{n}x": column(node.arguments[0]) for n, node in ewm})
+            out = P.ewm(out, {n: (f"{n}x", 2 / (span + 1), P.half(span)) for n, span in spans.items()})
         for kind in ("code", "date"):
             if own := stages[k].get(kind):
                 out = out.withColumns({n: windowed(node) for n, node in own})
@@ -172,12 +239,11 @@ def compile_factors(panel: DataFrame, factors: dict[str, str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Spec:
+    """A factor to try: its name, the family it belongs to, and its expression."""
+
     id: str
-    category: str
+    family: str
     expr: str
-    params: dict = field(default_factory=dict)
-    desc: str = ""
-    source: str = "base"
 
 
 def expand(recipes: list[dict], grid: dict[str, list[int]]) -> list[Spec]:
@@ -189,7 +255,7 @@ def expand(recipes: list[dict], grid: dict[str, list[int]]) -> list[Spec]:
             raise ValueError(f"recipe without {', '.join(missing)}")
         own = r.get("params", [])
         for values in product(*(grid[p] for p in own)):
-            params = dict(zip(own, values, strict=True))
-            tail = "_".join(f"{k}{v}" for k, v in params.items())
-            out.append(Spec(f"{r['id']}__{tail}" if tail else r["id"], r["category"], r["expr"].format(**params), params, r.get("desc", ""), r.get("source", "base")))
+            chosen = dict(zip(own, values, strict=True))
+            tail = "_".join(f"{k}{v}" for k, v in chosen.items())
+            out.append(Spec(f"{r['id']}__{tail}" if tail else r["id"], r["category"], r["expr"].format(**chosen)))
     return out

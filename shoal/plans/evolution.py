@@ -76,7 +76,7 @@ def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolution.active_specs(evolution.active_set(log, "1-URGENT"), library, _evals(spark, sf_dir))
 
 
-@query(f"WITH {_EVALS}, {_ACTIVE} SELECT place, factor, round(CASE WHEN sum(abs(w)) OVER () = 0 THEN 1 ELSE w END, 6) AS weight FROM w")
+@query(f"WITH {_EVALS}, {_ACTIVE} SELECT place, factor, round(CASE WHEN sum(w) OVER () = 0 THEN 1 ELSE w END, 6) AS weight FROM w")
 def active_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _specs(spark, sf_dir).select("place", "factor", r6("weight").alias("weight"))
 
@@ -86,7 +86,7 @@ def active_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolution.degraded(_specs(spark, sf_dir), _evals(spark, sf_dir))
 
 
-@query(f"WITH {_EVALS} SELECT factor, 'oos_is_ratio' AS warning FROM e WHERE abs(oos_icir / nullif(is_icir, 0)) > 5 UNION ALL SELECT factor, 'stability' FROM e WHERE stability < 0")
+@query(f"WITH {_EVALS} SELECT factor, CASE WHEN oos_icir / is_icir > 5 THEN 'ratio_high' ELSE 'ratio_low' END AS warning FROM e WHERE is_icir <> 0 AND (oos_icir / is_icir > 5 OR oos_icir / is_icir < 0.3) UNION ALL SELECT factor, 'stability' FROM e WHERE stability < 0")
 def factor_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolution.factor_health(_evals(spark, sf_dir))
 

@@ -68,14 +68,14 @@ def factor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recipe_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.id, s.category, s.expr) for s in catalogue.catalogue()], "factor string, category string, expr string")
+    return spark.createDataFrame([(s.id, s.family, s.expr) for s in catalogue.catalogue()], "factor string, category string, expr string")
 
 
 @query()
 def research_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loop over a part of the catalogue's windows, with folds and windows as long as the tables allow."""
     p = B.panel(spark, sf_dir, "sm")
-    specs = [s for s in catalogue.catalogue(grid={"w": [6], "k": [3]}) if s.category in ("trend", "reversion", "momentum")]
+    specs = [s for s in catalogue.catalogue(grid={"w": [6], "k": [3]}) if s.family in ("trend", "reversion", "momentum")]
     x = evolution.research_loop(p, _labels(p, 3), specs, gate=0.0, least=30, folds=(24, 12, 12), window=24)
     return x.select("factor", *(r6(c).alias(c) for c in ("is_icir", "oos_icir", "oos_is_ratio", "stability", "turnover", "net_ir", "new_oos")), "reason", "selected", "verdict")
 
@@ -89,7 +89,7 @@ def research_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = B.panel(spark, sf_dir, "sw")
     values = {"price": F.col("close"), "volume": F.col("volume"), "spread": F.col("high") - F.col("low")}
-    weights = selection.weights_by_date(selection.coefficients(_tall(p), _labels(p, 3), 5).select("factor", "dt", "ic"), 52, 26, calendar=p)
+    weights = selection.weights_by_date(selection.coefficients(_tall(p), _labels(p, 3), 5).select("factor", "dt", "ic"), 52, 26, calendar=B.calendar(spark, sf_dir, "sw"))
     z = selection.tall(selection.lagged_z(p, values), {f: F.col(f) for f in values})
     return selection.recommend(z, weights, p.agg(F.max("dt").alias("dt"))).withColumn("score", r6("score"))
 

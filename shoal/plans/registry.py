@@ -87,7 +87,8 @@ def dsl_query(name: str, kind: str, factors: dict[str, str], sql: str | None) ->
 def slice_csrank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slice: returns, ranks by date, newest date, best ten with at most three of a bucket."""
     x = compile_factors(B.panel(spark, sf_dir, "ev"), {"score": "cs_rank(returns(close, 5))"}).filter("score is not null")
-    x = x.join(F.broadcast(x.agg(F.max("dt").alias("dt"))), "dt", "left_semi").select("code", (F.col("code").cast("int") % 4).cast("string").alias("industry"), "score")
+    x = x.groupBy("code").agg(F.max("dt").alias("dt"), F.max_by("score", "dt").alias("score")).withColumn("_now", F.max("dt").over(Window.partitionBy()))  # one row a code
+    x = x.filter("dt = _now").select("code", (F.col("code").cast("int") % 4).cast("string").alias("industry"), "score")
     return screen.capped_top(x, 10, 3).select("code", "industry", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -118,7 +119,7 @@ dsl_query("dsl_nested_stage", "sw", {"a": "cs_rank(zscore(close, 20))", "b": "su
  abs(sign("close" - lag("close", 1) OVER (PARTITION BY code ORDER BY dt)))::DOUBLE AS d FROM y) {sround('a', 'b', 'c', 'd')}""")
 
 
-def _ewm_sql(kind: str, cols: dict[str, tuple[str, float, int]], pre: str = "*") -> str:
+def ewm_sql(kind: str, cols: dict[str, tuple[str, float, int]], pre: str = "*") -> str:
     """CTE ``w`` with recursive means that carry over gaps; cols: name -> (source, alpha, least)."""
     first = ", ".join(f"{x}::DOUBLE AS {n}_y, 1.0::DOUBLE AS {n}_w, ({x} IS NOT NULL)::INT AS {n}_k" for n, (x, _, _) in cols.items())
     step = ", ".join(
@@ -131,11 +132,11 @@ def _ewm_sql(kind: str, cols: dict[str, tuple[str, float, int]], pre: str = "*")
  e AS (SELECT code, dt, i, {first} FROM q WHERE i = 1 UNION ALL SELECT q.code, q.dt, q.i, {step} FROM e JOIN q ON q.code = e.code AND q.i = e.i + 1), w AS (SELECT code, dt, {shown} FROM e)"""
 
 
-dsl_query("ts_ema", "sw", {"e": "ema(close, 10)"}, f"WITH RECURSIVE {SW}, p0 AS (SELECT * FROM p), {_ewm_sql('sw', {'e': ('close', 2 / 11, 5)})} {sround('e', table='w')}".replace("close::DOUBLE", '"close"::DOUBLE').replace("(close IS", '("close" IS').replace("q.close", 'q."close"'))
+dsl_query("ts_ema", "sw", {"e": "ema(close, 10)"}, f"WITH RECURSIVE {SW}, p0 AS (SELECT * FROM p), {ewm_sql('sw', {'e': ('close', 2 / 11, 5)})} {sround('e', table='w')}".replace("close::DOUBLE", '"close"::DOUBLE').replace("(close IS", '("close" IS').replace("q.close", 'q."close"'))
 
 
 @query(f"""WITH RECURSIVE {EV}, p0 AS (SELECT code, dt, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS up, CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END AS down
- FROM (SELECT code, dt, "close" - lag("close", 1) OVER (PARTITION BY code ORDER BY dt) AS d FROM p)), {_ewm_sql('ev', {'u': ('up', 1 / 14, 14), 'v': ('down', 1 / 14, 14)})},
+ FROM (SELECT code, dt, "close" - lag("close", 1) OVER (PARTITION BY code ORDER BY dt) AS d FROM p)), {ewm_sql('ev', {'u': ('up', 1 / 14, 14), 'v': ('down', 1 / 14, 14)})},
  z AS (SELECT code, dt, CASE WHEN v = 0 AND u > 0 THEN 100 ELSE 100 - 100 / (1 + u / nullif(v, 0)) END AS rsi FROM w) {sround('rsi')}""")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = B.panel(spark, sf_dir, "ev").withColumn("d", F.col("close") - F.lag("close", 1).over(P.by_code()))
@@ -146,7 +147,7 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two passes: the signal line is a mean of a difference of means."""
-    return out(factors.macd(B.panel(spark, sf_dir, "ev"), least=9), "dif", "dea", "hist")
+    return out(factors.macd(B.panel(spark, sf_dir, "sw"), least=9), "dif", "dea", "hist")
 
 
 def _mean(x: str, n: int) -> str:
@@ -170,31 +171,34 @@ _BUILTIN_SQL = {
 
 @query(f"WITH {SW}, q AS (SELECT *, {FILL} AS y FROM p), r AS (SELECT *, {sret(1)} AS ret FROM q), z AS (SELECT code, dt, {', '.join(f'{x} AS {n}' for n, x in _BUILTIN_SQL.items())} FROM r) {sround(*_BUILTIN_SQL)}")
 def builtin_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(factors.windowed(B.panel(spark, sf_dir, "sw")), *_BUILTIN_SQL)
+    """``amihud`` is shown in millionths, so that six places tell something."""
+    x = factors.windowed(B.panel(spark, sf_dir, "sw"))
+    return out(x.withColumn("amihud", F.col("amihud") * 1e6), *_BUILTIN_SQL)
 
 
-def _again(sql: str) -> str:
-    """A second recursion in one statement: q, e, w and p0 by other names."""
-    return re.sub(r"\b(q|e|w|p0)\b", lambda m: {"q": "q2", "e": "e2", "w": "w2", "p0": "p1"}[m[1]], sql)
+def again(sql: str, k: int = 2) -> str:
+    """A k-th recursion in one statement: q, e, w and p0 by other names."""
+    return re.sub(r"\b(q|e|w|p0)\b", lambda m: {"q": f"q{k}", "e": f"e{k}", "w": f"w{k}", "p0": f"p{k - 1}"}[m[1]], sql)
 
 
-def _macd_sql(kind: str, panel: str, least: int) -> str:
-    fast = _ewm_sql(kind, {"fast": ("close", 2 / 13, 12), "slow": ("close", 2 / 27, 26)})
+def macd_sql(kind: str, panel: str, least: int, source: str = "p") -> str:
+    """WITH of CTE ``m`` (code, dt, dif, dea, hist) over ``source``."""
+    fast = ewm_sql(kind, {"fast": ("close", 2 / 13, 12), "slow": ("close", 2 / 27, 26)})
     for a, b in (("close::DOUBLE", '"close"::DOUBLE'), ("(close IS", '("close" IS'), ("q.close", 'q."close"')):
         fast = fast.replace(a, b)
-    return f"WITH RECURSIVE {panel}, p0 AS (SELECT * FROM p), {fast}, p1 AS (SELECT code, dt, fast - slow AS dif FROM w), {_again(_ewm_sql(kind, {'dea': ('dif', 2 / 10, least)}))}, m AS (SELECT p1.code, p1.dt, dif, dea, 2 * (dif - dea) AS hist FROM p1 JOIN w2 ON w2.code = p1.code AND w2.dt = p1.dt)"
+    return f"WITH RECURSIVE {panel}, p0 AS (SELECT * FROM {source}), {fast}, p1 AS (SELECT code, dt, fast - slow AS dif FROM w), {again(ewm_sql(kind, {'dea': ('dif', 2 / 10, least)}))}, m AS (SELECT p1.code, p1.dt, dif, dea, 2 * (dif - dea) AS hist FROM p1 JOIN w2 ON w2.code = p1.code AND w2.dt = p1.dt)"
 
 
-ORACLES["macd"] = f"{_macd_sql('ev', EV, 9)} {sround('dif', 'dea', 'hist', table='m')}"
+ORACLES["macd"] = f"{macd_sql('sw', SW, 9)} {sround('dif', 'dea', 'hist', table='m')}"
 
 
-@query(f"{_macd_sql('sw', SW, 1)} SELECT code, dt, round(hist, 6) AS macd_hist, round(dif, 6) AS macd_dif FROM m")
+@query(f"{macd_sql('sw', SW, 1)} SELECT code, dt, round(hist, 6) AS macd_hist, round(dif, 6) AS macd_dif FROM m")
 def builtin_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(factors.macd(B.panel(spark, sf_dir, "sw"), least=1).withColumnsRenamed({"hist": "macd_hist", "dif": "macd_dif"}), "macd_hist", "macd_dif")
 
 
 @query(f"""WITH RECURSIVE {SW}, p0 AS (SELECT code, dt, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS up, CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END AS down
- FROM (SELECT code, dt, y - lag(y, 1) OVER (PARTITION BY code ORDER BY dt) AS d FROM (SELECT code, dt, "close" AS y FROM p))), {_ewm_sql('sw', {'u': ('up', 1 / 14, 1), 'v': ('down', 1 / 14, 1)})},
+ FROM (SELECT code, dt, y - lag(y, 1) OVER (PARTITION BY code ORDER BY dt) AS d FROM (SELECT code, dt, "close" AS y FROM p))), {ewm_sql('sw', {'u': ('up', 1 / 14, 1), 'v': ('down', 1 / 14, 1)})},
  z AS (SELECT code, dt, 100 - 100 / (1 + u / nullif(v, 0)) AS rsi_14 FROM w) {sround('rsi_14')}""")
 def builtin_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(factors.panel_rsi(B.panel(spark, sf_dir, "sw")), "rsi_14")
@@ -340,10 +344,11 @@ def liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.liquid(B.week_bars(spark, sf_dir), 130, 20, 1000.0).select("code", "n", F.round("amount", 2).alias("amount"))
 
 
-@query(f"WITH {SM} SELECT code FROM (SELECT DISTINCT code FROM bars) WHERE code NOT IN (SELECT code FROM bars GROUP BY code HAVING count(*) >= 82)")
+@query(f"WITH {SM}, a AS (SELECT * FROM bars WHERE code::INT % 5 < 3 OR volume % 3 > 0) SELECT code FROM (SELECT DISTINCT code FROM bars) WHERE code NOT IN (SELECT code FROM a GROUP BY code HAVING count(*) >= 70)")
 def missing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes whose adjusted bars are too few: two codes in five lack a third of theirs."""
     b = B.month_bars(spark, sf_dir)
-    return tables.missing_history(b, b, 82)
+    return tables.missing_history(b, b.filter((F.col("code").cast("int") % 5 < 3) | (F.col("volume") % 3 > 0)), 70)
 
 
 HORIZONS = (5, 10, 20, 60)
@@ -360,26 +365,37 @@ def track_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.outcomes(picks, b, HORIZONS).select("code", "run_date", *(f"ret_{h}" for h in HORIZONS))
 
 
-@query("""WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1), o AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer)
- SELECT k, round(v, 2) AS v, name FROM o WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT k, round(v, 2), NULL FROM n""")
-def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+_UPSERT = """WITH n AS (SELECT k, arg_max_null(v, seq) AS v FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN -o_custkey ELSE o_custkey END AS k, CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice END AS v, o_orderkey AS seq FROM orders WHERE o_custkey % 3 > 0)
+ GROUP BY k), o AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer)"""
+
+
+def _upsert(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    """Orders of two customers in three, several each, the newest of which counts; one order in fifty has a key that isn't held, one in nine no price."""
+    key = F.when(F.col("o_orderkey") % 50 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    new = B.table(spark, sf_dir, "orders").filter("o_custkey % 3 > 0").select(key.alias("k"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_totalprice")).alias("v"), F.col("o_orderkey").alias("at"))
     old = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("name"))
-    return tables.upsert(old, new, ["k"]).select("k", F.round("v", 2).alias("v"), "name")
+    return tables.upsert(old, new, ["k"], policy, order="at").select("k", F.round("v", 2).alias("v"), "name")
 
 
-@query("""WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1), o AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer)
- SELECT k, round(coalesce(n.v, o.v), 2) AS v, name FROM o FULL JOIN n USING (k)""")
+@query(_UPSERT + " SELECT k, round(v, 2) AS v, name FROM o WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT k, round(v, 2), NULL FROM n")
+def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upsert(spark, sf_dir, "replace")
+
+
+@query(_UPSERT + " SELECT k, round(coalesce(n.v, o.v), 2) AS v, name FROM o FULL JOIN n USING (k)")
 def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
-    old = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("name"))
-    return tables.upsert(old, new, ["k"], "coalesce").select("k", F.round("v", 2).alias("v"), "name")
+    return _upsert(spark, sf_dir, "coalesce")
+
+
+@query(_UPSERT + " SELECT k, round(CASE WHEN name IS NULL THEN n.v ELSE o.v END, 2) AS v, name FROM o FULL JOIN n USING (k)")
+def upsert_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upsert(spark, sf_dir, "insert")
 
 
-@query(f"""WITH {EV}, l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn FROM bars), k AS (SELECT code, dt, "close" FROM l WHERE rn <= 250),
+@query(f"""WITH {SW}, l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn FROM bars), k AS (SELECT code, dt, "close" FROM l WHERE rn <= 250),
  z AS (SELECT code, dt, "close" AS c, {sroll('avg', '"close"', 5)} AS ma5, {sroll('avg', '"close"', 20)} AS ma20, {sroll('avg', '"close"', 60)} AS ma60 FROM k) {sround('c', 'ma5', 'ma20', 'ma60')}""")
 def kline_ma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.event_bars(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("dt")))).filter("rn <= 250")
+    b = B.week_bars(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("dt")))).filter("rn <= 250")
     return out(b.withColumns({"c": F.col("close"), "ma5": P.rolling(F.avg, F.col("close"), 5), "ma20": P.rolling(F.avg, F.col("close"), 20), "ma60": P.rolling(F.avg, F.col("close"), 60)}), "c", "ma5", "ma20", "ma60")
 
 

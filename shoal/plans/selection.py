@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators import features, research, screen, selection, simulate, stats, tables
 from shoal.plans.dsl import compile_factors
-from shoal.plans.registry import CORR, DIM, LEAD, SM, SW, dim, query, r6, srank, sroll
+from shoal.plans.registry import CORR, DIM, LEAD, SM, SW, again, dim, ewm_sql, macd_sql, query, r6, srank, sroll
 from shoal.sources import bars as B
 from shoal.sources import quotes
 
@@ -15,21 +15,35 @@ _MEANS = {f"ma{n}": ('"close"', n) for n in (5, 10, 20, 60, 120)} | {"vol_ma5":
 _CHG = '("close" / nullif(lag("close", {n}) OVER (PARTITION BY code ORDER BY dt), 0) - 1) * 100'
 
 
-@query(f"""WITH {SW}, x AS (SELECT code, dt, "close", {', '.join(f'{sroll("avg", c, n)} AS {k}' for k, (c, n) in _MEANS.items())}, {sroll('max', 'high', 20)} AS high20, {sroll('max', 'high', 250, 60)} AS high250,
+_OSC = f"""{macd_sql('sw', SW, 9, 'bars')}, p2 AS (SELECT code, dt, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS up, CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END AS down
+ FROM (SELECT code, dt, "close" - lag("close", 1) OVER (PARTITION BY code ORDER BY dt) AS d FROM bars)), {again(ewm_sql('sw', {'u': ('up', 1 / 14, 14), 'v': ('down', 1 / 14, 14)}), 3)},
+ o AS (SELECT m.code, m.dt, dif, dea, CASE WHEN v = 0 AND u > 0 THEN 100 ELSE 100 - 100 / (1 + u / nullif(v, 0)) END AS rsi FROM m JOIN w3 ON w3.code = m.code AND w3.dt = m.dt)"""
+_FEATURES = f"""x AS (SELECT code, dt, "close", volume, {', '.join(f'{sroll("avg", c, n)} AS {k}' for k, (c, n) in _MEANS.items())}, {sroll('max', 'high', 20)} AS high20, {sroll('max', 'high', 250, 60)} AS high250,
  {_CHG.format(n=20)} AS ret_20d, {_CHG.format(n=60)} AS ret_60d, {_CHG.format(n=1)} AS chg, lag(volume) OVER (PARTITION BY code ORDER BY dt) AS vol_prev,
- row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn, count(*) OVER (PARTITION BY code) AS n FROM bars)
- SELECT code, dt, {', '.join(f'round("{c}", 6) AS "{c}"' for c in ['close', *_MEANS, 'high20', 'high250', 'ret_20d', 'ret_60d', 'chg', 'vol_prev'])} FROM x WHERE rn = 1 AND n >= 70""")
+ row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn, row_number() OVER (PARTITION BY code ORDER BY dt) AS i, count(*) OVER (PARTITION BY code) AS n FROM bars)"""
+_SHOWN = ["close", *_MEANS, "high20", "high250", "ret_20d", "ret_60d", "chg", "vol_prev", "dif", "dea", "rsi"]
+
+
+@query(f"""{_OSC}, {_FEATURES} SELECT code, dt, {', '.join(f'round("{c}", 6) AS "{c}"' for c in _SHOWN)} FROM x JOIN o USING (code, dt) WHERE rn = 1 AND n >= 70""")
 def features_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = features.newest(features.indicators(B.week_bars(spark, sf_dir)))
-    return x.select("code", "dt", *(r6(c).alias(c) for c in ["close", *_MEANS, "high20", "high250", "ret_20d", "ret_60d", "chg", "vol_prev"]))
+    x = features.newest(features.oscillators(features.indicators(B.week_bars(spark, sf_dir))))
+    return x.select("code", "dt", *(r6(c).alias(c) for c in _SHOWN))
 
 
-@query()
+_CASES = {
+    "momentum": """CASE WHEN ma5 > ma20 AND ma20 > ma60 AND "close" > ma20 THEN 25 WHEN "close" > ma60 THEN 10 ELSE 0 END + CASE WHEN dif > dea THEN 15 ELSE 0 END + CASE WHEN dif > dea AND dif > 0 THEN 5 ELSE 0 END
+ + CASE WHEN chg > 1 AND volume > 1.2 * vol_ma5 THEN 15 ELSE 0 END + CASE WHEN "close" >= 0.98 * high20 THEN 15 ELSE 0 END + CASE WHEN rsi BETWEEN 50 AND 70 THEN 10 ELSE 0 END - CASE WHEN rsi > 80 THEN 10 ELSE 0 END""",
+    "reversal": """CASE WHEN ret_20d BETWEEN -35 AND -12 THEN 30 ELSE 0 END + CASE WHEN rsi < 38 THEN 20 ELSE 0 END + CASE WHEN "close" > ma5 AND chg > 0 THEN 20 ELSE 0 END
+ + CASE WHEN "close" > ma120 THEN 15 ELSE 0 END + CASE WHEN dif > dea AND dif < 0 THEN 10 ELSE 0 END + CASE WHEN ret_60d BETWEEN -50 AND -20 THEN 5 ELSE 0 END""",
+}
+_SCORED = " UNION ALL ".join(f"""SELECT code, dt, '{k}' AS strategy, greatest(0, least(100, {c}))::BIGINT AS score FROM x JOIN o USING (code, dt) WHERE "close" IS NOT NULL AND amount_ma20 >= 1000 AND i >= 130""" for k, c in _CASES.items())
+
+
+@query(f"{_OSC}, {_FEATURES} SELECT * FROM ({_SCORED}) WHERE score > CASE strategy WHEN 'momentum' THEN 25 ELSE 40 END")
 def technical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of both strategies on every date (the floor on liquidity is lowered to what the tables hold)."""
     x = features.oscillators(features.indicators(B.week_bars(spark, sf_dir)))
-    both = [features.scores(x, s, 1000.0).select("code", "dt", F.lit(s).alias("strategy"), F.col("score").cast("long").alias("score")) for s in features.FLOORS]
-    return both[0].unionByName(both[1])
+    return features.signals(x, 1000.0).select("code", "dt", "strategy", F.col("score").cast("long").alias("score"))
 
 
 _TALL = """t AS (SELECT dt, code, 'price' AS factor, "close" AS value FROM p UNION ALL SELECT dt, code, 'volume', volume FROM p UNION ALL SELECT dt, code, 'spread', high - low FROM p)"""
@@ -77,10 +91,25 @@ def _zsql(f: str, w: float) -> str:
     return f"coalesce(({f} - avg({f}) OVER ()) / nullif(stddev_samp({f}) OVER (), 0), 0) * {w}"
 
 
-@query(f"WITH {DIM} SELECT code, round({_zsql('pe', -0.5)} + {_zsql('roe', 1.25)} + {_zsql('debt', -0.25)} + {_zsql('score', 0.75)}, 6) AS score FROM d")
+_POINTS = {"pe": -0.5, "roe": 1.25, "debt": -0.25, "score": 0.75}
+
+
+@query(f"""WITH {DIM}, z AS (SELECT code, {', '.join(f'{_zsql(f, w)} AS z_{f}' for f, w in _POINTS.items())} FROM d),
+ k AS (SELECT *, list_sort([{', '.join(f"{{'k': -abs(z_{f}), 'i': {i}, 's': printf('{f}(%+.1f)', z_{f})}}" for i, f in enumerate(_POINTS))}])[:3] AS l FROM z)
+ SELECT code, round({' + '.join(f'z_{f}' for f in _POINTS)}, 6) AS score, array_to_string(list_transform(l, lambda e: e.s), ' ') AS reasons FROM k""")
 def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = screen.composite(dim(spark, sf_dir), {"pe": -0.5, "roe": 1.25, "debt": -0.25, "score": 0.75})
-    return x.select("code", r6("score").alias("score"))
+    x = screen.composite(dim(spark, sf_dir), _POINTS)
+    return x.select("code", r6("score").alias("score"), "reasons")
+
+
+@query(f"""WITH {DIM}, {SM}, g AS (SELECT code, max(dt) AS last, count(*) AS n FROM bars GROUP BY code),
+ a AS (SELECT code, sum(amount) / 6 AS amount FROM (SELECT code, amount, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn FROM bars) WHERE rn <= 6 GROUP BY code),
+ x AS (SELECT d.code, industry, score FROM d JOIN g USING (code) JOIN a USING (code) WHERE total_mv >= 5e9 AND pe > 0 AND pe <= 40 AND roe >= 8 AND NOT coalesce(debt > 65, false)
+ AND last >= (SELECT max(dt) FROM bars) - 120 AND n >= 12 AND amount >= 1000), k AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY score DESC, code) AS rn FROM x)
+ SELECT code, industry, score, (row_number() OVER (ORDER BY score DESC, code))::INT AS rank FROM k WHERE rn <= 3 ORDER BY score DESC, code LIMIT 10""")
+def screen_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the whole funnel lets through."""
+    return screen.funnel(dim(spark, sf_dir), B.month_bars(spark, sf_dir), 60, 12, 6, _LIM)[1]
 
 
 _EVALS = """e AS (SELECT l_suppkey AS factor, max(l_shipdate)::DATE AS run_at, arg_max(l_quantity - 25, (l_shipdate, l_orderkey, l_linenumber)) AS net_ir,
@@ -142,10 +171,10 @@ def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUN = {"top": 5, "horizon": 6, "stop": -8.0, "profit": 8.0, "trail": None}
 
 
-def _weights(p: DataFrame) -> DataFrame:
+def _weights(p: DataFrame, dates: list) -> DataFrame:
     """Weights from the dates before each, four weeks left out for the label."""
     rows = selection.tall(p, {f: F.col(f) for f in _EXPRS})
-    return selection.weights_by_date(selection.coefficients(rows, _labels(p, 3), 5).select("factor", "dt", "ic"), 52, 26, embargo=4, calendar=p)
+    return selection.weights_by_date(selection.coefficients(rows, _labels(p, 3), 5).select("factor", "dt", "ic"), 52, 26, embargo=4, calendar=dates)
 
 
 def _lagged(p: DataFrame) -> DataFrame:
@@ -155,7 +184,7 @@ def _lagged(p: DataFrame) -> DataFrame:
 @query()
 def mine_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS)
-    chosen = selection.forward_select(_lagged(p), _weights(p), list(_EXPRS), p.select("dt", "code", "open", "high", "low", "close"), unit="week", **_RUN)
+    chosen = selection.forward_select(_lagged(p), _weights(p, B.calendar(spark, sf_dir, "sw")), list(_EXPRS), p.select("dt", "code", "open", "high", "low", "close"), unit="week", **_RUN)
     return spark.createDataFrame([(i + 1, f, s) for i, (f, s) in enumerate(chosen)], "place int, factor string, sharpe double")
 
 
@@ -163,6 +192,6 @@ def mine_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk_forward_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained weights, entries on the first date of each month."""
     p = compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS)
-    signals = selection.picks(selection.weighted_score(_lagged(p), _weights(p)), _RUN["top"], [], "month")
+    signals = selection.picks(selection.weighted_score(_lagged(p), _weights(p, B.calendar(spark, sf_dir, "sw"))), _RUN["top"], [], "month")
     eq = simulate.backtest(signals, p.select("dt", "code", "open", "high", "low", "close"), [{"run_id": "walk", "stuck": 0} | _RUN])
     return eq.select("run_id", "dt", F.round("eq", 2).alias("eq"), "positions", "trades")

@@ -6,7 +6,10 @@ frames count market dates and not a code's own bars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from bisect import bisect_right
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIELDS = ["open", "high", "low", "close", "volume", "amount"]
@@ -38,19 +41,58 @@ def month_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_bars(spark, sf_dir, F.col("l_suppkey"), "month")
 
 
-def densify(bars: DataFrame) -> DataFrame:
-    """Every code on every date of the calendar; ``is_bar`` tells bars from filler. The calendar is small: one row a date."""
-    grid = bars.select("code").distinct().crossJoin(F.broadcast(bars.select("dt").distinct()))
-    return grid.join(bars.withColumn("is_bar", F.lit(True)), ["code", "dt"], "left").withColumn("is_bar", F.coalesce("is_bar", F.lit(False)))
+def dates_of(rows: DataFrame, dt: str = "dt") -> list[date]:
+    """The market dates of ``rows``, ascending: one row a date comes to the driver, for a trading calendar some 250 a year."""
+    return sorted(r[0] for r in rows.select(dt).filter(F.col(dt).isNotNull()).distinct().collect())
+
+
+def at_or_before(dates: list[date], day: date | None) -> date | None:
+    """The last of ascending ``dates`` at or before ``day``; the last of all if there is no such date, or no day."""
+    k = bisect_right(dates, day) if day else 0
+    return dates[k - 1] if k else dates[-1] if dates else None
+
+
+def densify(bars: DataFrame, dates: list[date] | None = None, key: str = "code") -> DataFrame:
+    """Every code on every date of the calendar; ``is_bar`` tells bars from filler.
+
+    No grid is joined: each bar writes the filler up to its code's next bar, and the first one what comes before it. Rows are
+    dealt by ``key`` once, which the windows over the panel use again. (key, dt) is unique; ``dates``: the calendar, by default the dates of ``bars``.
+    """
+    spark = bars.sparkSession
+    dates = dates_of(bars) if dates is None else dates
+    if not dates:
+        return bars.withColumn("is_bar", F.lit(True)).limit(0)
+    places = spark.createDataFrame([(d, k) for k, d in enumerate(dates)], "dt date, _at int")
+    w = Window.partitionBy(key).orderBy("_at")
+    x = bars.join(F.broadcast(places), "dt")  # one row a date
+    first = F.when(F.lag("_at").over(w).isNull(), 0).otherwise(F.col("_at"))
+    x = x.withColumns({"_first": first, "_last": F.coalesce(F.lead("_at").over(w) - 1, F.lit(len(dates) - 1))})
+    x = x.withColumn("_to", F.explode(F.sequence("_first", "_last")))
+    own = F.col("_to") == F.col("_at")
+    rest = [c for c in bars.columns if c not in (key, "dt")]
+    day = F.date_add(F.lit(date(1970, 1, 1)), F.element_at(F.array(*(F.lit((d - date(1970, 1, 1)).days) for d in dates)), F.col("_to") + 1))
+    return x.select(key, day.alias("dt"), *(F.when(own, F.col(c)).alias(c) for c in rest), own.alias("is_bar"))
 
 
-def prefer(adjusted: DataFrame, raw: DataFrame) -> DataFrame:
-    """Adjusted bars; raw ones only where there are no adjusted ones at all."""
-    return raw if adjusted.isEmpty() else adjusted
+def adjusted(bars: DataFrame, raw: DataFrame) -> DataFrame:
+    """Adjusted bars, or all raw ones if there are no adjusted bars at all: never some of each.
 
+    Whether there are any is one row, read with the rows themselves, so that no job runs before the query's own.
+    """
+    some = bars.limit(1).agg((F.count("*") > 0).alias("_any"))
+    return bars.unionByName(raw.join(F.broadcast(some), ~F.col("_any")).drop("_any"))
 
-def for_codes(bars: DataFrame, codes: DataFrame) -> DataFrame:
-    return bars.join(codes.select("code").distinct(), "code", "left_semi")
+
+def for_codes(bars: DataFrame, codes: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """The bars of some codes; with ``raw``, its bars of them if there are no adjusted bars of any of them."""
+    own = codes.select("code").distinct()
+    mine = bars.join(own, "code", "left_semi")
+    return mine if raw is None else adjusted(mine, raw.join(own, "code", "left_semi"))
+
+
+def of_code(bars: DataFrame, code: str) -> DataFrame:
+    """One code's bars by date."""
+    return bars.filter(F.col("code") == code).orderBy("dt")
 
 
 _LINE = """SELECT {code}::VARCHAR AS code, date_trunc('{unit}', l_shipdate)::DATE AS dt,
@@ -66,8 +108,14 @@ SQL = {
 BARS = {"ev": event_bars, "sw": week_bars, "sm": month_bars}
 
 
+def calendar(spark: SparkSession, sf_dir: str, kind: str) -> list[date]:
+    """The dates of a panel, from the one column of the source that has them."""
+    name, day = {"ev": ("events", F.to_date("ts")), "sw": ("lineitem", F.to_date(F.date_trunc("week", "l_shipdate"))), "sm": ("lineitem", F.to_date(F.date_trunc("month", "l_shipdate")))}[kind]
+    return dates_of(table(spark, sf_dir, name).select(day.alias("dt")))
+
+
 def panel(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return densify(BARS[kind](spark, sf_dir))
+    return densify(BARS[kind](spark, sf_dir), calendar(spark, sf_dir, kind))
 
 
 def panel_sql(kind: str) -> str:

@@ -30,7 +30,7 @@ def exchange(code: Column) -> Column:
 
 def special(name: Column) -> Column:
     """Whether a name marks special treatment or delisting."""
-    return F.coalesce(F.upper(name).contains("ST") | name.contains("\u9000"), F.lit(False))
+    return F.coalesce(F.upper(name).contains("ST") | name.contains("退"), F.lit(False))
 
 
 def todays_bars(spot: DataFrame, day: Column) -> DataFrame:

@@ -52,7 +52,7 @@ class Run:
         self.rows["evidence"].append(self._row(stage, claim, source, as_of, quote))
 
     def calc(self, output: str, value: object, func: str, inputs: dict) -> None:
-        self.rows["calc"].append(self._row(output, str(value)[:500], func, json.dumps(inputs, default=str)))
+        self.rows["calc"].append(self._row(output, str(value), func, json.dumps(inputs, default=str)))
 
     def conflict(self, field: str, a: tuple[str, object], b: tuple[str, object], resolution: str = "manual") -> None:
         self.rows["conflicts"].append(self._row(field, a[0], str(a[1]), b[0], str(b[1]), resolution))
