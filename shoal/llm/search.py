@@ -37,7 +37,7 @@ from .text import NOT_WORD, flat, materialize, mix, ragged, slices, words
 
 SAMPLE, FEATURES, LEVELS = 2048, 1 << 15, 5
 BLOCK_BYTES, CLUSTER, STEPS = 8 << 20, 96, 6
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 16 << 20
 QUERY_BYTES, BEST, TRIES = 4 << 20, 10, 8
 NULL = np.iinfo(np.int64).max
 INDEX = "cluster long, docs array<long>, terms binary, ends binary, at binary, tf binary, n binary, most binary, least binary, held long, words long"
