@@ -165,7 +165,7 @@ def drawn(scored: DataFrame, eligible: Column, percent: int) -> DataFrame:
     if not many:
         return scored.select("*", none)
     parts = int(min(max(many // STRETCH, 8), STRETCHES))
-    shares = [1 - 1.1 * percent / 100 * k / parts for k in range(1, parts)]
+    shares = [1 - 1.1 * percent / 100 * k / parts for k in range(1, parts + 1)]
     cuts = np.unique(scored.filter(eligible).agg(F.percentile_approx("score", F.array(*map(F.lit, shares)), F.lit(100_000)).alias("cuts")).first()["cuts"])
 
     @F.pandas_udf("int")
