@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from .text import BLANK, encode_parts, flat, slices, span_hash
 
 #: Characters: texts of more are long; what a chunk of them holds; what it shares with the next.
-LONG = 65_536
-CHUNK = 16_384
+LONG = 16_384
+CHUNK = 8192
 OVERLAP = 256
 #: White space that isn't ASCII.
 WIDE = "[\u0085   -     　]"

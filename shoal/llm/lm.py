@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 
 from .text import BLANK, LOWER, flat, materialize, ragged, slices, span_hash, spans
 
-TOP, FORMS, CELLS, ROUNDS = 16, 16, 32, 2
+TOP, FORMS, CELL_BITS, ROUNDS = 16, 48, 6, 2
+CELLS = 1 << CELL_BITS
 CLASSES = TOP + FORMS
-WIDTH = 32  # of a row of weights: as many classes, as many cells
+WIDTH = 64  # of a row of weights: as many classes, as many cells
 WORD_ROWS, CELL_ROWS = 1 << 14, 1 << 15
 PAIR_ROWS = CLASSES * CLASSES
 FIRST_CELL = 2 * WORD_ROWS + 2 * PAIR_ROWS
 ROWS = FIRST_CELL + 2 * CELL_ROWS
-BATCH, RATE = 8192, 0.5
+BATCH, RATE = 4096, 0.5
 LANE_BYTES = 24 << 20
 MERGE = 256  # rows of weights that are averaged together
 #: The end of a text as a word.
@@ -102,8 +103,8 @@ def rows_of(h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
 
 
 def cells(h: np.ndarray) -> np.ndarray:
-    """The cell of each word: the first five bits of its hash."""
-    return (h >> np.uint64(59)).astype(np.int32)
+    """The cell of each word: the first bits of its hash."""
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int32)
 
 
 def logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:

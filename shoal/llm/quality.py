@@ -80,8 +80,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tu
 
 
 def seen() -> Column:
-    """A hash of all that a row's posterior comes from."""
-    return F.xxhash64("text", F.col("source").cast("string"), F.col("lang").cast("string"))
+    """A hash of all that a row's posterior comes from; nulls are told from other values, and by where they stand."""
+    parts = F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string")
+    return F.xxhash64(*(x for c in parts for x in (c.isNull(), c)))
 
 
 def measured(docs: DataFrame) -> DataFrame:

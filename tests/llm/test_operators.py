@@ -353,7 +353,7 @@ def test_word_probabilities_add_up():
         at = r.integers(0, len(h), 3000)
         t.learn(h[at], k[at], np.full(30, 100), bias, cell_bias)
     cells = [(a, b) for a in range(lm.TOP, lm.CLASSES) for b in range(lm.CELLS)]
-    words = np.r_[h, np.array([(b << 59) | 12345 for _, b in cells], np.uint64)]
+    words = np.r_[h, np.array([(b << (64 - lm.CELL_BITS)) | 12345 for _, b in cells], np.uint64)]
     kinds, count = np.r_[k, np.array([a for a, _ in cells], np.int32)], np.r_[c, np.zeros(len(cells), int)]
     for context in ([5, 9], [350, 17], [44, 44]):
         n = len(words)
