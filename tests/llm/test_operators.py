@@ -460,7 +460,7 @@ def test_real_licences_wrapped_and_commented(spark):
     gpl += ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."]
     apache = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0"]
     apache += ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."]
-    want = [{"mit-text"}, {"bsd-3-text"}, {"gpl-notice"}, {"apache-2.0-header"}]
+    want = [{"mit-text"}, {"bsd-3-text"}, {"gpl-3.0-notice-or-later"}, {"apache-2.0-header"}]
     for width in (72, 10_000):
         for sign in ("", "# ", "// ", " * ", "-- "):
             texts = []
@@ -483,7 +483,7 @@ def test_more_licences_boxes_and_longer_rules(spark):
     boxed = "=" * 3000 + " All rights reserved " + "=" * 3000 + "\n"
     two = ". ".join(licenses.SENTENCES[k] for k in ("bsd-source", "bsd-binary")) + "."
     got = sorted((r.doc_id, r.rule) for r in licenses.scan(docs_of(spark, [isc, mpl, lgpl, zlib_text, boxed, two])).collect())
-    assert got == [(0, "isc-text"), (1, "mpl-2.0-header"), (2, "lgpl-notice"), (3, "zlib-text"), (4, "reserved"), (5, "bsd-2-text")]
+    assert got == [(0, "isc-text"), (1, "mpl-2.0-header"), (2, "lgpl-2.1-notice"), (3, "zlib-text"), (4, "reserved"), (5, "bsd-2-text")]
 
 
 def test_words_are_bytes_between_white_space():
