@@ -8,7 +8,7 @@ to the end of the text. Shorter texts are cut at all such boundaries and each di
 is encoded once. Texts with white space beyond ASCII are short of those proofs and are encoded whole
 or, where long, by chunks.
 
-null and empty texts: 0 tokens. Repeated rows: each gives its own row.
+null and empty texts: 0 tokens. Repeated rows: each gives its own row. Other columns aren't read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

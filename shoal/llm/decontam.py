@@ -10,7 +10,8 @@ is contaminated, in whatever order the passages stand.
 The benchmark's seeds are broadcast if there are at most ``BROADCAST_SEEDS`` (their number is
 counted first); beyond that they are joined by a shuffle. null and empty texts and items match
 nothing. Repeated rows and items: each gives its own result. An item that covers several tied
-ways takes the leftmost. Only doc_id and text, item_id and text are read.
+ways takes the leftmost. Only doc_id and text, item_id and text are read. An
+empty table of documents or of items gives an empty result.
 """
 
 from __future__ import annotations

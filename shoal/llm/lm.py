@@ -16,7 +16,7 @@ over tasks, weighted by how often a row was used. Scoring deals rows evenly into
 words are joined with the counts, and both meet in a cogroup, so no table of words goes to one place.
 
 null and empty texts hold the end token alone. Repeated rows: each counts and gives its own row.
-Without training texts every word is unknown. Only doc_id and text are read.
+Without training texts every word is unknown. Only doc_id and text are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,24 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import BLANK, LOWER, flat, materialize, ragged, slices, span_hash, spans
 
-TOP, FORMS, CELL_BITS, ROUNDS = 16, 48, 6, 2
+TOP, FORMS, CELL_BITS, ROUNDS = 16, 48, 5, 2
 CELLS = 1 << CELL_BITS
 CLASSES = TOP + FORMS
-WIDTH = 64  # of a row of weights: as many classes, as many cells
 WORD_ROWS, CELL_ROWS = 1 << 14, 1 << 15
 PAIR_ROWS = CLASSES * CLASSES
-FIRST_CELL = 2 * WORD_ROWS + 2 * PAIR_ROWS
-ROWS = FIRST_CELL + 2 * CELL_ROWS
+#: Rows and width of the two tables of weights: of classes, and of cells.
+SHAPES = ((2 * WORD_ROWS + 2 * PAIR_ROWS, CLASSES), (2 * CELL_ROWS, CELLS))
+TABLE = 1 << 20  # numbers of blocks of rows that one table may have
 BATCH, RATE = 4096, 0.5
-LANE_BYTES = 24 << 20
+LANE_BYTES, TASK_BYTES = 24 << 20, 16 << 20
 MERGE = 256  # rows of weights that are averaged together
 #: The end of a text as a word.
 END = np.uint64(0x5EED0FE2D0000001)
+Weights = tuple[np.ndarray, np.ndarray]
 _EDGE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
@@ -98,7 +99,7 @@ def rows_of(h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     out[:, 3] = back(k, 3) * CLASSES + back(k, 4) + 2 * WORD_ROWS + PAIR_ROWS
     own = (k.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     for j, x in enumerate((one, two)):
-        cell[:, j] = ((x ^ own) * spread >> np.uint64(64 - 15)).astype(np.int32) + FIRST_CELL + j * CELL_ROWS
+        cell[:, j] = ((x ^ own) * spread >> np.uint64(64 - 15)).astype(np.int32) + j * CELL_ROWS
     return out, cell
 
 
@@ -107,6 +108,15 @@ def cells(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int32)
 
 
+def cell_of(h: Column) -> Column:
+    """``cells`` of a column."""
+    return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
+
+
+def zeros() -> Weights:
+    return tuple(np.zeros(s, np.float32) for s in SHAPES)
+
+
 def logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """bias: a row, or one for each token."""
     z = w.take(rows[:, 0], axis=0)
@@ -126,14 +136,15 @@ def log_share(z: np.ndarray, k: np.ndarray) -> np.ndarray:
 class Trainer:
     """Minibatch gradient steps with a rate that falls for each row as its gradients add up."""
 
-    def __init__(self, w: np.ndarray) -> None:
-        self.w, self.first = w.copy(), w
-        self.sum = np.full(ROWS, 1e-3, np.float32)
-        self.used = np.zeros(ROWS, np.float32)
+    def __init__(self, w: Weights) -> None:
+        self.w, self.first = tuple(x.copy() for x in w), w
+        self.sum = tuple(np.full(len(x), 1e-3, np.float32) for x in w)
+        self.used = tuple(np.zeros(len(x), np.float32) for x in w)
 
-    def step(self, rows: np.ndarray, k: np.ndarray, bias: np.ndarray) -> None:
+    def step(self, t: int, rows: np.ndarray, k: np.ndarray, bias: np.ndarray) -> None:
+        """In the table of classes (0) or of cells (1)."""
         n = len(k)
-        z = logits(self.w, bias, rows)
+        z = logits(self.w[t], bias, rows)
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
@@ -154,30 +165,31 @@ class Trainer:
             left, step = left - many, 2 * step
         g = g.take(begin, axis=0)
         own = s[begin]
-        self.used[own] += size
-        self.sum[own] += np.einsum("ij,ij->i", g, g)
-        g *= (RATE / np.sqrt(self.sum[own]))[:, None]
-        self.w[own] -= g
+        self.used[t][own] += size
+        self.sum[t][own] += np.einsum("ij,ij->i", g, g)
+        g *= (RATE / np.sqrt(self.sum[t][own]))[:, None]
+        self.w[t][own] -= g
 
     def learn(self, h: np.ndarray, k: np.ndarray, counts: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray) -> None:
         """Steps over the tokens of some texts: all of them for the class, those of classes of many words for the cell."""
         rows, cell_rows = rows_of(h, k, counts)
         for lo in range(0, len(k), BATCH):
-            self.step(rows[lo : lo + BATCH], k[lo : lo + BATCH], bias)
+            self.step(0, rows[lo : lo + BATCH], k[lo : lo + BATCH], bias)
         rest = np.flatnonzero(k >= TOP)
         cell = cells(h)
         for lo in range(0, len(rest), BATCH):
             at = rest[lo : lo + BATCH]
-            self.step(cell_rows[at], cell[at], cell_bias.take(k[at], axis=0))
+            self.step(1, cell_rows[at], cell[at], cell_bias.take(k[at], axis=0))
 
     def changed(self) -> Iterator[pa.RecordBatch]:
         """(block, used, delta): the change of each block of rows, as half floats, with how often they were used."""
-        for block in range(ROWS // MERGE):
+        for t, block in ((t, b) for t, (rows, _) in enumerate(SHAPES) for b in range(-(-rows // MERGE))):
             at = slice(block * MERGE, (block + 1) * MERGE)
-            used = self.used[at]
+            used = self.used[t][at]
             own = np.flatnonzero(used)
             if len(own):
-                delta = (self.w[at] - self.first[at])[own].astype(np.float16)
+                delta = (self.w[t][at] - self.first[t][at])[own].astype(np.float16)
+                block += t * TABLE
                 yield pa.record_batch({"block": pa.array([block], pa.int32()), "part": pa.array([0], pa.int32()), "own": pa.array([own.astype(np.uint8).tobytes()], pa.binary()), "used": pa.array([used[own].tobytes()], pa.binary()), "delta": pa.array([delta.tobytes()], pa.binary())})
 
 
@@ -186,10 +198,11 @@ CHANGE = "block int, part int, own binary, used binary, delta binary"
 
 def merged(key: tuple, table: pa.Table) -> pa.Table:
     """The used-weighted mean of a block's changes; one row again."""
-    total, used = np.zeros((MERGE, WIDTH), np.float32), np.zeros(MERGE, np.float32)
+    width = SHAPES[key[0].as_py() // TABLE][1]
+    total, used = np.zeros((MERGE, width), np.float32), np.zeros(MERGE, np.float32)
     for own, n, delta in zip(*(table.column(c).to_pylist() for c in ("own", "used", "delta")), strict=True):
         at, n = np.frombuffer(own, np.uint8), np.frombuffer(n, np.float32)
-        total[at] += np.frombuffer(delta, np.float16).reshape(-1, WIDTH).astype(np.float32) * n[:, None]
+        total[at] += np.frombuffer(delta, np.float16).reshape(-1, width).astype(np.float32) * n[:, None]
         used[at] += n
     at = np.flatnonzero(used)
     mean = (total[at] / used[at][:, None]).astype(np.float16)
@@ -229,10 +242,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("h").agg(F.min("form").alias("form"), F.sum("c").alias("c")))
 
 
-def fit(docs: DataFrame, top: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray) -> np.ndarray:
-    """The weights after every text has been taken once."""
+def fit(docs: DataFrame, top: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray, size: int) -> Weights:
+    """The weights after every text has been taken once. ``size``: bytes of text, some; a task takes ``TASK_BYTES`` of them or more, as each gives out its changes."""
     spark = docs.sparkSession
-    w = np.zeros((ROWS, WIDTH), np.float32)
+    w = zeros()
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((w, bias, cell_bias, top))
 
@@ -245,29 +258,32 @@ def fit(docs: DataFrame, top: np.ndarray, bias: np.ndarray, cell_bias: np.ndarra
             yield from own.changed()
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ROUNDS)) == turn).select("text")
+        few = max(spark.sparkContext.defaultParallelism, size // ROUNDS // TASK_BYTES)
+        part = part.coalesce(few) if part.rdd.getNumPartitions() > few else part
         tasks = max(1, part.rdd.getNumPartitions())
         salts = int(np.ceil(np.sqrt(tasks)))
         change = part.mapInArrow(run, CHANGE).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(salts)))
         half = change.groupBy("block", "part").applyInArrow(merged, CHANGE)
         done = half.groupBy("block").applyInArrow(lambda key, t: merged(key, t), CHANGE).select("block", "own", "delta").toArrow()
-        w = w.copy()
+        w = tuple(x.copy() for x in w)
         for block, own, delta in zip(*(done.column(c).to_pylist() for c in ("block", "own", "delta")), strict=True):
-            w[block * MERGE + np.frombuffer(own, np.uint8).astype(np.int64)] += np.frombuffer(delta, np.float16).reshape(-1, WIDTH)
+            t, k = divmod(block, TABLE)
+            w[t][k * MERGE + np.frombuffer(own, np.uint8).astype(np.int64)] += np.frombuffer(delta, np.float16).reshape(-1, SHAPES[t][1])
         shared.unpersist()
     return w
 
 
-def log_word(w: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray, h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def log_word(w: Weights, bias: np.ndarray, cell_bias: np.ndarray, h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The natural logarithm of P(class | context) P(cell | class, context) of each token; a frequent word's class has no cells."""
     rows, cell_rows = rows_of(h, k, counts)
     out = np.empty(len(h))
     for lo in range(0, len(k), BATCH):
         at = slice(lo, lo + BATCH)
-        out[at] = log_share(logits(w, bias, rows[at]), k[at])
+        out[at] = log_share(logits(w[0], bias, rows[at]), k[at])
     rest, cell = np.flatnonzero(k >= TOP), cells(h)
     for lo in range(0, len(rest), BATCH):
         at = rest[lo : lo + BATCH]
-        out[at] += log_share(logits(w, cell_bias.take(k[at], axis=0), cell_rows[at]), cell[at])
+        out[at] += log_share(logits(w[1], cell_bias.take(k[at], axis=0), cell_rows[at]), cell[at])
     return out
 
 
@@ -297,12 +313,12 @@ def scores(docs: DataFrame) -> DataFrame:
     if best:
         kind = F.coalesce(F.expr(f"try_element_at(map({', '.join(f'{r.h}L, {k}' for k, r in enumerate(best))}), h)"), F.col("form").cast("int") + TOP)
     size, types = np.zeros((CLASSES, CELLS)), np.zeros((CLASSES, CELLS))
-    for r in counts.groupBy(kind.alias("k"), F.shiftrightunsigned("h", 59).cast("int").alias("cell")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    for r in counts.groupBy(kind.alias("k"), cell_of(F.col("h")).alias("cell")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         size[r.k, r.cell], types[r.k, r.cell] = r.c, r.v
     discount = once / (once + 2 * twice) if once else 0.5
     bias = np.log((size.sum(1) + 0.5) / (total + 0.5 * CLASSES)).astype(np.float32)
     cell_bias = np.log((size + 0.5) / (size.sum(1, keepdims=True) + 0.5 * CELLS)).astype(np.float32)
-    w = fit(train, top, bias, cell_bias)
+    w = fit(train, top, bias, cell_bias, total * 6)
     model = spark.sparkContext.broadcast((w, bias, cell_bias, top, size, types, discount, total, distinct))
 
     # as many lanes as Spark would make partitions, at least, so that the cogroup keeps them as they are

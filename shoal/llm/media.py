@@ -9,7 +9,8 @@ batches, with Arrow's fixed-shape tensor type, one batch of rows in each row of
 them back. Spans are in seconds of the stored sound. Every row is computed by itself and in blocks of frames, so
 equal bytes give equal values and a long row needs no more memory than a block beyond its own bytes.
 
-null and empty texts: one block of padding. Repeated rows: each is kept. Other columns aren't read.
+null and empty texts: one block of padding. Repeated rows: each is kept. Other columns aren't read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ Classes are the connected components of links and copies, found by label propaga
 
 Texts of fewer than ``K`` words, null and empty texts have only exact copies (null and empty count as
 equal). Repeated rows: each gives its own row of the same class. Only doc_id and text are
-read. Class ids are the least doc_id of the class.
+read. Class ids are the least doc_id of the class. An empty table gives an empty result.
 """
 
 from __future__ import annotations

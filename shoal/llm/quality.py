@@ -11,6 +11,7 @@ language, as one site writes each language in a section of its own. null sources
 are a site of their own. The classifier is fitted to at most ``TRAIN_ROWS`` labelled rows (least
 hash of doc_id); rates cover all rows. null and empty texts have zero features. Repeated
 rows: each gives its own. Without labels of both kinds every posterior is the prior, 1/2, and all are kept.
+Other columns don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ once and compacts the array, until no pair is left. Segments of more than ``LONG
 go through a heap instead, as rounds would take a time that grows with the square.
 
 null and empty texts: no ids, decoded text empty. Repeated rows: each gives its own row. Only
-doc_id and text are read, so other columns may have any name.
+doc_id and text are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ ascending doc_id order (null first; ties by text hash) as rows of an uncompresse
 in a folder that every executor reads; ``read_blocks`` and ``Block`` read them back. Documents are dealt by
 ranges of (doc_id, text hash), so a doc_id that many rows have, or null, is split too.
 
-null and empty texts: the end id alone. Repeated rows: each is stored. Other columns aren't read.
+null and empty texts: the end id alone. Repeated rows: each is stored. doc_id is an integer, or null. Other columns aren't read, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

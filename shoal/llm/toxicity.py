@@ -7,9 +7,11 @@ toxic and other texts; entries must beat chance at one in as many as were tried.
 exception phrases don't count. Distinct matched weights are summed, divided by a power of the
 length, and a logistic curve, fitted on the same labelled rows, gives the score.
 
-Training reads at most ``TRAIN_ROWS`` labelled rows (a share by hash of doc_id; exact copies once);
-everything else covers all rows. null and empty texts score like texts without a match.
-Repeated rows: each gives its own. Without labels of both kinds the lexicon is empty and every score is 0.
+Training reads at most ``TRAIN_ROWS`` labelled rows (a share by hash of doc_id; exact copies once), so the lexicon, which is
+broadcast, doesn't grow with the corpus; it has every entry that passes, each of which at least ``LEAST_TEXTS`` of those rows hold. Everything else
+covers all rows. Evidence over 10 counts as 10, where the curve is flat. null and empty texts score like texts without a match.
+Repeated rows: each gives its own. Without labels of both kinds the lexicon is empty and every score is 0. Other columns
+don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from pyspark.sql import functions as F
 from .text import materialize, slices
 
 TRAIN_ROWS = 200_000
-#: Size of the model: most lexicon entries, the strongest first. They are broadcast.
-ENTRIES = 1 << 16
 PREFIX = (4, 5, 6)
 LEAST_TEXTS, PURITY = 4, 0.75
 LIMIT = 0.3
@@ -128,7 +128,7 @@ def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Data
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(once), "doc_id")
 
 
-def learn(rows: DataFrame, *, entries: int = ENTRIES) -> Lexicon:
+def learn(rows: DataFrame) -> Lexicon:
     """A lexicon from ``training``'s rows. Every count is a Spark aggregation."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def learn(rows: DataFrame, *, entries: int = ENTRIES) -> Lexicon:
     gain = F.col("t") * F.log(p / base) + F.col("o") * F.log(F.greatest(1 - p, F.lit(1e-9)) / (1 - base))
     tried = max(10, counts.count())
     weight = F.log((F.col("t") + 0.5) / (total.t + 1)) - F.log((F.col("o") + 0.5) / (total.o + 1))
-    best = counts.filter("entry <> ''").select("entry", weight.alias("w"), gain.alias("gain")).filter(F.col("gain") >= math.log(tried) + 2).orderBy(F.desc("gain"), "entry").limit(entries).collect()
+    best = counts.filter("entry <> ''").select("entry", weight.alias("w"), gain.alias("gain")).filter(F.col("gain") >= math.log(tried) + 2).orderBy(F.desc("gain"), "entry").collect()
     lex = Lexicon({r.entry: float(r.w) for r in best})
     if not lex.weights:
         return lex

@@ -336,6 +336,12 @@ def test_language_model(spark):
     assert lm.scores(docs_of(spark, [])).count() == 0
 
 
+def test_cells_of_words_are_those_of_columns(spark):
+    h = text.mix(np.arange(1, 300, dtype=np.uint64))
+    got = spark.createDataFrame([(x,) for x in h.view(np.int64).tolist()], "h long").select(lm.cell_of(lm.F.col("h"))).collect()
+    assert [r[0] for r in got] == lm.cells(h).tolist() and len(set(lm.cells(h).tolist())) == lm.CELLS
+
+
 def test_word_probabilities_add_up():
     """Over all known words and the unknown ones of each cell, in trained weights, whatever the context."""
     r = np.random.default_rng(1)
@@ -348,7 +354,7 @@ def test_word_probabilities_add_up():
     np.add.at(types, (k, cell), 1)
     bias = np.log((size.sum(1) + 0.5) / (size.sum() + 0.5 * lm.CLASSES)).astype(np.float32)
     cell_bias = np.log((size + 0.5) / (size.sum(1, keepdims=True) + 0.5 * lm.CELLS)).astype(np.float32)
-    t = lm.Trainer(np.zeros((lm.ROWS, lm.WIDTH), np.float32))
+    t = lm.Trainer(lm.zeros())
     for _ in range(3):
         at = r.integers(0, len(h), 3000)
         t.learn(h[at], k[at], np.full(30, 100), bias, cell_bias)
@@ -362,16 +368,16 @@ def test_word_probabilities_add_up():
         p = np.exp(lm.log_word(t.w, bias, cell_bias, seq, ks, np.full(n, 3))[2::3]) * lm.word_share(count, kinds, lm.cells(words), size, types, 0.4)
         assert p.sum() == pytest.approx(1, abs=1e-4)
     # the sums of gradients in pairs are those of adding them one by one
-    a, b = (lm.Trainer(np.zeros((lm.ROWS, lm.WIDTH), np.float32)) for _ in range(2))
+    a, b = (lm.Trainer(lm.zeros()) for _ in range(2))
     rows, _ = lm.rows_of(h[at], k[at], np.full(30, 100))
-    a.step(rows, k[at], bias)
+    a.step(0, rows, k[at], bias)
     z = np.exp(np.tile(bias, (len(at), 1)))
     z /= z.sum(1, keepdims=True)
     z[np.arange(len(at)), k[at]] -= 1
-    g = np.zeros_like(b.w)
+    g = np.zeros_like(b.w[0])
     np.add.at(g, rows.ravel(), np.repeat(z, 4, axis=0))
     want = -lm.RATE * g / np.sqrt(1e-3 + (g * g).sum(1))[:, None]
-    assert np.abs(a.w - want).max() < 1e-3
+    assert np.abs(a.w[0] - want).max() < 1e-3
 
 
 def test_toxicity(spark):
