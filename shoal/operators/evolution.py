@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.plans.dsl import Spec, compile_factors
+from shoal.sources.commits import kept
 
 from . import research, selection, stats, tables
 
@@ -78,32 +81,35 @@ def research_loop(panel: DataFrame, labels: DataFrame, specs: list[Spec], old_oo
     driver is one row a factor, or a pair of gated factors.
     """
     spark = panel.sparkSession
+    made: dict[str, DataFrame] = {}  # by factor, the table that has it
     schema = "factor string, is_icir double, oos_icir double, oos_is_ratio double, stability double, turnover double, net_ir double, reason string, selected boolean, new_oos double, verdict string"
     passed: dict[str, dict] = {}
     exprs = {s.id: s.expr for s in specs}
 
-    def tall(ids: list[str]) -> DataFrame:
-        made = compile_factors(panel, {f: exprs[f] for f in ids})
-        return selection.tall(made, {f: F.col(f).cast("double") for f in ids})
-
-    def batches(ids: list[str]) -> list[list[str]]:
-        return [ids[i : i + batch] for i in range(0, len(ids), batch)]
-
-    for ids in batches(list(exprs)):
-        # one job a batch: the gate, the folds and the stability read the same coefficients
-        ic = selection.coefficients(tall(ids), labels, 2, masked=True)
+    own = kept(panel.join(labels.select("dt", "code", "fwd"), ["dt", "code"], "left"))
+    for ids in (list(exprs)[i : i + batch] for i in range(0, len(exprs), batch)):
+        # one table a batch, written once; the gate, the folds and the stability read the same coefficients
+        wide = kept(compile_factors(own, {f: exprs[f] for f in ids}).select("dt", "code", "fwd", *(F.col(f).cast("double").alias(f) for f in ids)))
+        made |= dict.fromkeys(ids, wide)
+        ic = kept(research.coefficients(wide, ids, "fwd", 2, masked=True).withColumn("h", F.lit(0)))
         found = selection.gated(ic, gate, least).join(selection.fold_ratios(ic, *folds).select("factor", "oos_icir"), "factor", "left")
         found = found.join(research.stability(ic, "factor", "ic", window).select("factor", F.col("worst").alias("stability")), "factor", "left")
         passed |= {r["factor"]: {"id": r["factor"]} | r.asDict() for r in found.collect()}
     if not passed:
         return spark.createDataFrame([], schema)
-    rows = None
-    for ids in batches(sorted(passed)):
-        rows = tall(ids) if rows is None else rows.unionByName(tall(ids))
-    corr = {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in research.pair_correlations(rows).collect()} if len(passed) > 1 else {}
+
+    def groups(ids: list[str]) -> list[tuple[DataFrame, list[str]]]:
+        """The tables that have some of ``ids``, each with those."""
+        parts = {id(made[f]): (made[f], []) for f in ids}
+        for f in ids:
+            parts[id(made[f])][1].append(f)
+        return list(parts.values())
+
+    pairs = research.wide_correlations([t.select("dt", "code", *fs) for t, fs in groups(sorted(passed))])
+    corr = {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in pairs.collect()} if len(passed) > 1 else {}
     chosen = stats.greedy(list(passed.values()), corr, gate, ceiling, top, least)
     x = spark.createDataFrame([(f, *(passed[f][c] for c in ("icir", "oos_icir", "stability"))) for f in chosen], "factor string, is_icir double, oos_icir double, stability double")
-    own = tall(chosen)
+    own = reduce(DataFrame.unionByName, (selection.tall(t.select("dt", "code", *fs), {f: F.col(f) for f in fs}) for t, fs in groups(chosen)))
     x = x.join(selection.turnovers(own).select("factor", "turnover"), "factor", "left").join(selection.long_shorts(own, labels, rebalance=rebalance).select("factor", "net_ir"), "factor", "left")
     x = x.withColumn("oos_is_ratio", out_of_sample_ratio(F.col("oos_icir"), F.col("is_icir")))
     x = x.withColumn("reason", stats.drop_reason(F.col("net_ir"), F.col("oos_is_ratio"), F.col("stability"))).withColumn("selected", F.col("reason").isNull())

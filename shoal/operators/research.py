@@ -2,31 +2,89 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.functions import panel as P
+from shoal.functions import blocks
 from shoal.operators import tables
 
 
-def pair_correlations(tall: DataFrame, least: int = 100) -> DataFrame:
-    """(f1, f2, cells, corr) of a tall table (factor, dt, code, value).
+#: Factors of one block; two blocks of a date meet in a task.
+BLOCK = 64
+_PAIRS = "f1 string, f2 string, n long, r double"
+
+
+def _matrix(table: pa.Table, skip: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
+    """The value columns of a date's rows by code: their names, and the matrix."""
+    names = [c for c in table.column_names if c not in skip]
+    if not names:
+        return names, np.zeros((table.num_rows, 0))
+    return names, np.column_stack([table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names])
+
+
+def _pairs(left: list[str], right: list[str], n: np.ndarray, r: np.ndarray) -> pa.Table:
+    i, j = np.nonzero(n)
+    keep = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if left[x] < right[y] or left is not right and left[x] > right[y]]
+    i, j = i[keep], j[keep]
+    names = [(min(left[x], right[y]), max(left[x], right[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+    return pa.table({"f1": pa.array([a for a, _ in names], pa.string()), "f2": pa.array([b for _, b in names], pa.string()), "n": pa.array(n[i, j]), "r": pa.array(r[i, j], mask=np.isnan(r[i, j]))})
 
-    Ranks by date over the cells that both factors have, a correlation by date, its mean over dates;
-    zero for pairs with fewer than ``least`` cells. One join on (dt, code): rows grow with the square of the
-    number of factors, not of codes or dates, so large sets go in batches.
+
+def wide_correlations(tables: list[DataFrame], least: int = 100) -> DataFrame:
+    """(f1, f2, cells, corr) of all pairs of the factors of wide tables (dt, code, factor...), one row a date and code in each, blocks of the factors.
+
+    Ranks by date over the cells that both factors have, a correlation by date, its mean over dates; zero for pairs with fewer than ``least`` cells. Each pair
+    of tables meets by date, one date's matrices in a task, and gives out pairs and not cells.
     """
-    rows = tall.filter("value is not null")
-    a = rows.select("dt", "code", F.col("factor").alias("f1"), F.col("value").alias("a"))
-    b = rows.select("dt", "code", F.col("factor").alias("f2"), F.col("value").alias("b"))
-    by = ["f1", "f2", "dt"]
-    both = a.join(b, ["dt", "code"]).filter("f1 < f2")
-    both = both.withColumns({"ra": P.rank_pct(F.col("a"), by), "rb": P.rank_pct(F.col("b"), by)})
-    days = both.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")).alias("r"))
+
+    def meet(a: DataFrame, b: DataFrame | None) -> DataFrame:
+        def inside(table: pa.Table) -> pa.Table:
+            names, x = _matrix(table, ("dt", "code"))
+            return _pairs(names, names, *blocks.correlate(x, x))
+
+        def across(one: pa.Table, two: pa.Table) -> pa.Table:
+            (left, x), (right, y) = _matrix(one, ("dt", "code")), _matrix(two, ("dt", "code"))
+            place = {c: k for k, c in enumerate(one.column("code").to_pylist())}
+            at = [(place[c], k) for k, c in enumerate(two.column("code").to_pylist()) if c in place]
+            i, j = np.array(at, np.int64).reshape(-1, 2).T
+            return _pairs(left, right, *blocks.correlate(x[i], y[j]))
+
+        if b is None:
+            return a.groupBy("dt").applyInArrow(inside, _PAIRS)
+        return a.groupBy("dt").cogroup(b.groupBy("dt")).applyInArrow(across, _PAIRS)
+
+    parts = [meet(a, None if i == j else b) for i, a in enumerate(tables) for j, b in enumerate(tables) if i <= j]
+    days = reduce(DataFrame.unionByName, parts)
     out = days.groupBy("f1", "f2").agg(F.sum("n").alias("cells"), F.avg("r").alias("r"))
     return out.select("f1", "f2", "cells", F.when(F.col("cells") < least, 0.0).otherwise(F.col("r")).alias("corr"))
 
 
+def pair_correlations(tall: DataFrame, least: int = 100) -> DataFrame:
+    """``wide_correlations`` of a tall table (factor, dt, code, value). The factors' names come to the driver."""
+    names = sorted(r[0] for r in tall.filter("value is not null").select("factor").distinct().collect())
+    wide = [tall.filter(F.col("factor").isin(part)).groupBy("dt", "code").agg(*(F.max(F.when(F.col("factor") == f, F.col("value"))).alias(f) for f in part)) for part in (names[k : k + BLOCK] for k in range(0, len(names), BLOCK))]
+    return wide_correlations(wide, least) if wide else tall.sparkSession.createDataFrame([], "f1 string, f2 string, cells long, corr double")
+
+
+def coefficients(wide: DataFrame, factors: list[str], label: str = "fwd", least: int = 50, masked: bool = False) -> DataFrame:
+    """(factor, dt, n, ic) of the factors of a wide table (dt, code, label, factor...): all of a date's ranks in one matrix.
+
+    Ranks count the pairs that are complete or, ``masked``, each side's own values. Dates with fewer than ``least`` pairs or without spread are left out.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        names, x = _matrix(table, ("dt", "code", label))
+        n, ic = blocks.rank_ic(x, table.column(label).cast(pa.float64()).to_numpy(zero_copy_only=False), masked)
+        keep = np.flatnonzero((n >= least) & ~np.isnan(ic))
+        return pa.table({"factor": pa.array([names[k] for k in keep], pa.string()), "dt": pa.array([table.column("dt")[0].as_py()] * len(keep), pa.date32()), "n": pa.array(n[keep]), "ic": pa.array(ic[keep])})
+
+    return wide.select("dt", "code", label, *factors).groupBy("dt").applyInArrow(run, "factor string, dt date, n long, ic double")
+
+
 def stability(series: DataFrame, key: str, value: str, window: int = 252, floor: float = 0.0, per_year: float = 252.0) -> DataFrame:
     """(key, last, worst, unstable): a rolling information ratio over the non-null values; keys with fewer than ``window`` are left out."""
     w = Window.partitionBy(key).orderBy("dt").rowsBetween(1 - window, 0)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.plans.dsl import Spec
-from shoal.sources.commits import Change, Store
+from shoal.sources.commits import Change, Store, kept
 
 from . import evolution, research, tables
 
@@ -66,6 +66,18 @@ def selected(evals: DataFrame, members: DataFrame) -> DataFrame:
     return evals.join(newest.withColumn("selected", F.lit(1)), ["code", "run_at"], "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
 
 
+def last_oos(store: Store) -> float | None:
+    """The out-of-sample ratio that the last promotion had."""
+    return store.read("evolution_log").agg(F.max_by("new_oos", "run_at").alias("oos")).first()["oos"]
+
+
+def evolve(store: Store, run_at: str, panel: DataFrame, labels: DataFrame, specs: Sequence[Spec], dry_run: bool = False, **how) -> DataFrame:
+    """Run the research loop against the last promotion's ratio, keep what it found if that may follow, and return its rows with ``promoted``."""
+    outcome = kept(evolution.research_loop(panel, labels, list(specs), last_oos(store), **how))
+    done = promote(store, run_at, outcome, specs, dry_run)
+    return outcome.withColumn("promoted", F.lit(done))
+
+
 def promote(store: Store, run_at: str, outcome: DataFrame, specs: Sequence[Spec], dry_run: bool = False) -> bool:
     """Keep what a run of ``evolution.research_loop`` found, if its verdict is to promote: library, evaluations, log and active set in one commit.
 
@@ -77,8 +89,7 @@ def promote(store: Store, run_at: str, outcome: DataFrame, specs: Sequence[Spec]
         return False
     ids = [r["factor"] for r in chosen]
     known = {s.id: s for s in specs}
-    new = chosen[0]["new_oos"]
-    old = store.read("evolution_log").agg(F.max_by("new_oos", "run_at").alias("oos")).first()["oos"]
+    new, old = chosen[0]["new_oos"], last_oos(store)
     library = [(s.id, s.family, s.expr, "{}", s.id, AUTO, run_at) for s in map(known.__getitem__, ids)]
     evals = [(r["factor"], run_at, *(r[c] for c in ("is_icir", "oos_icir", "oos_is_ratio", "stability", "turnover", "net_ir"))) for r in chosen]
     store.commit(f"promote:{run_at}", [

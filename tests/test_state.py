@@ -276,3 +276,27 @@ def test_health_warns_of_both_ends(spark):
     rows = [("high", 1.0, 6.0), ("low", 1.0, 0.2), ("fine", 1.0, 2.0), ("edge", 1.0, 5.0), ("edge2", 10.0, 3.0), ("turned", -1.0, 2.0), ("zero", 0.0, 2.0), ("none", None, 2.0), ("nan", float("nan"), 1.0)]
     evals = spark.createDataFrame([(f, 1, i, o, 1.0) for f, i, o in rows] + [("shaky", 1, 1.0, 1.0, -0.1), ("unknown", 1, 1.0, 1.0, float("nan"))], "factor string, run_at int, is_icir double, oos_icir double, stability double")
     assert {tuple(r) for r in evolution.factor_health(evals).collect()} == {("high", "ratio_high"), ("low", "ratio_low"), ("turned", "ratio_low"), ("shaky", "stability")}
+
+
+def test_a_run_of_the_loop_promotes_once(spark, store):
+    """Prices follow last week's volume: the factor that reads it becomes the active set; the same again isn't better; a dry run writes nothing."""
+    import numpy as np
+
+    from shoal.operators import stats
+
+    r = np.random.default_rng(5)
+    n, codes = 120, 20
+    volume = r.normal(size=(n, codes))
+    change = np.vstack([np.zeros((2, codes)), 0.02 * volume[:-2]]) + r.normal(0, 0.01, (n, codes))
+    price = 100 * np.exp(np.cumsum(change, axis=0))
+    rows = [(f"c{j:02}", datetime.date(2024, 1, 1) + datetime.timedelta(i), *(float(price[i, j]),) * 4, float(volume[i, j]), float(r.normal())) for i in range(n) for j in range(codes)]
+    p = bars.densify(spark.createDataFrame(rows, "code string, dt date, open double, high double, low double, close double, volume double, amount double"))
+    labels = p.select("dt", "code", F.lit(2).alias("h"), stats.forward_return(2).alias("fwd"))
+    specs = [Spec("good", "x", "add(volume, 0)"), Spec("noise", "x", "add(amount, 0)"), Spec("bad", "x", "sub(0, volume)")]
+    go = lambda at, **k: state.evolve(store, at, p, labels, specs, folds=(60, 20, 20), window=60, gate=5.0, **k).first()
+    assert not go("2026-01", dry_run=True)["promoted"] and store.head().version == 0
+    first = go("2026-01")
+    assert first["promoted"] and members(store) == ["good"] and store.read("evolution_log").count() == store.read("factor_library").count() == 1
+    head = store.head()
+    again = go("2026-02")
+    assert not again["promoted"] and again["verdict"] == "too little" and store.head() == head
