@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import LOWER, NOT_WORD, flat, materialize, slices, spans
+from .text import LOWER, NOT_WORD, discard, flat, materialize, slices, spans
 
 BUCKETS, LONGEST, LEAST_WORDS = 10_000, 3, 20
 HOT = 4096
@@ -190,4 +190,5 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     weighed = materialize(weights(texts, gain))
     x = joined(docs, weighed)
     scored = materialize(x.withColumn("score", F.col("weight") + noise(F.col("doc_id"))))
+    discard(texts, weighed)
     return drawn(scored, F.col("words") >= least_words, percent).select("doc_id", "n_features", "weight", "score", "rank")

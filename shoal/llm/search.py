@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import NOT_WORD, flat, materialize, mix, ragged, slices, words
+from .text import NOT_WORD, discard, flat, materialize, mix, ragged, slices, words
 
 SAMPLE, FEATURES, LEVELS = 2048, 1 << 15, 5
 BLOCK_BYTES, CLUSTER, STEPS = 8 << 20, 96, 6
@@ -425,6 +425,8 @@ def ranked(docs: DataFrame, items: DataFrame, many: int = BEST) -> DataFrame:
         part = top(table, Queries([r["text"] or "" for r in held]), many).join(F.broadcast(names), "pos").select("item_id", "rank", "doc_id", "score")  # a block's items
         part = materialize(part)
         out = part if out is None else out.unionByName(part)
+    if table is not None:
+        discard(table)
     return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long") if out is None else out
 
 
