@@ -64,12 +64,11 @@ def capped_top(scored: DataFrame, top: int, cap: int) -> DataFrame:
     best = [F.desc_nulls_last("score"), F.asc("code")]
     kept = scored
     if cap > 0:
-        # a large industry is ranked in parts first, each of which gives ``cap`` rows at most
-        part = Window.partitionBy("industry", "_part").orderBy(*best)
-        own = Window.partitionBy("industry").orderBy(*best)
-        few = scored.filter(~blank).withColumn("_part", F.xxhash64("code") % 256).withColumn("_k", F.row_number().over(part)).filter(F.col("_k") <= cap)
-        few = few.withColumn("_k", F.row_number().over(own)).filter(F.col("_k") <= cap).drop("_k", "_part")
-        kept = few.unionByName(scored.filter(blank))
+        # a blank industry's code is one of its own; a large industry is ranked in parts first, each of which gives ``cap`` rows at most
+        kept = scored.withColumn("_own", F.when(blank, F.col("code")))
+        for part in ([F.xxhash64("code") % 256], []):
+            kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy("industry", "_own", *part).orderBy(*best))).filter(F.col("_k") <= cap)
+        kept = kept.drop("_own", "_k")
     chosen = kept.orderBy(*best).limit(top)
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy(*best)))
 
@@ -196,7 +195,11 @@ def run(store: Store, run_date: date, codes: DataFrame, bars: DataFrame, dates:
 
 def funnel(codes: DataFrame, bars: DataFrame, days: int, rows: int, window: int, lim: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """(code flags, picks): hard, live and liquid of every code (code, industry, score, fundamentals), and the capped best of those that pass all."""
-    x = codes.withColumn("hard", F.size(failures(lim)) == 0)
-    for name, ok in (("live", live(bars, days)), ("liquid", liquid(bars, rows, window, lim.min_amount))):
-        x = x.join(ok.select("code", F.lit(True).alias(name)), "code", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    newest = Window.partitionBy("code").orderBy(F.desc("dt"))
+    known = bars.select("code", "dt", "amount", F.when(F.col("amount").isNotNull(), F.count("amount").over(newest)).alias("_rn"))  # the bars are read once
+    mine = known.groupBy("code").agg(F.max("dt").alias("_last"), F.count("amount").alias("_n"), (F.sum(F.when(F.col("_rn") <= window, F.col("amount"))) / window).alias("_mean"))
+    mine = mine.withColumn("_now", F.max("_last").over(Window.partitionBy()))  # one row a code
+    ok = {"live": F.col("_last") >= F.date_sub("_now", 2 * days), "liquid": (F.col("_n") >= rows) & (F.col("_mean") >= lim.min_amount)}
+    x = codes.join(mine, "code", "left").withColumn("hard", F.size(failures(lim)) == 0)
+    x = x.select(*codes.columns, "hard", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in ok.items()))
     return x, capped_top(x.filter("hard and live and liquid").select("code", "industry", "score"), lim.top, lim.cap)

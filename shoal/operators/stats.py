@@ -83,10 +83,12 @@ def train_weights(ic: DataFrame, train: int, least: int = 30, floor: float = 0.0
 
 def folds(ic: DataFrame, train: int, test: int, step: int) -> DataFrame:
     """(fold, is_icir, oos_icir) over positional folds of the dates; coefficients are computed once for all folds."""
-    x = ic.withColumn("i", F.row_number().over(Window.orderBy("dt")) - 1)
-    last = x.agg(F.max("i").alias("last"))
-    f = last.select(F.explode(F.when(F.col("last") + 1 >= train + test, F.sequence(F.lit(0), F.col("last") + 1 - train - test, F.lit(step))).otherwise(F.array().cast("array<int>"))).alias("begin"))
-    j = f.join(x, (x["i"] >= f["begin"]) & (x["i"] < f["begin"] + train + test)).withColumn("oos", F.col("i") >= F.col("begin") + train)
+    size = train + test
+    x = ic.withColumns({"i": F.row_number().over(Window.orderBy("dt")) - 1, "all": F.count("*").over(Window.partitionBy())}).filter(F.col("all") >= size)  # one row a date
+    first = F.greatest(F.ceil((F.col("i") - size + 1) / step), F.lit(0))
+    last = F.least(F.floor(F.col("i") / step), F.floor((F.col("all") - size) / step))
+    j = x.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("k", F.explode(F.sequence("first", "last"))).withColumn("begin", (F.col("k") * step).cast("int"))
+    j = j.withColumn("oos", F.col("i") >= F.col("begin") + train)
     ratio = lambda c: F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))) * F.sqrt(F.lit(252.0))
     return j.groupBy("begin").agg(ratio(F.when(~F.col("oos"), F.col("ic"))).alias("is_icir"), ratio(F.when(F.col("oos"), F.col("ic"))).alias("oos_icir"))
 

@@ -185,6 +185,8 @@ def register_operator(name: str, build, kind: str = "row") -> None:
 
 def compile_factors(panel: DataFrame, factors: dict[str, str]) -> DataFrame:
     """The dense panel with a column for each factor id. Many factors go in batches of some 64, to bound the plan."""
+    if both := set(factors) & set(panel.columns):
+        raise ValueError(f"factors named as columns: {', '.join(sorted(both))}")
     names: dict[Node, str] = {}
     stages: dict[int, dict[str, list[tuple[str, Node]]]] = {}
     trees = {f: parse(e) for f, e in factors.items()}

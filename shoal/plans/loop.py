@@ -11,6 +11,7 @@ from shoal.plans.registry import CORR, LAB, LEAD, SM, SW, labelled, query, r6, s
 from shoal.plans.selection import _TALL, _labels, _tall
 from shoal.sources import bars as B
 from shoal.sources import quotes
+from shoal.sources.commits import kept
 
 _BY_FACTOR = srank("value").replace("PARTITION BY dt", "PARTITION BY factor, dt")
 _L3 = f"l AS (SELECT dt, code, {LEAD.format(h=3)} AS fwd FROM p)"
@@ -87,7 +88,7 @@ def research_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
  z0 AS (SELECT factor, dt, code, (value - avg(value) OVER q) / nullif(stddev_pop(value) OVER q, 0) AS z FROM t WINDOW q AS (PARTITION BY factor, dt)), z AS (SELECT factor, dt, code, lag(z) OVER (PARTITION BY factor, code ORDER BY dt) AS z FROM z0)
  SELECT code, round(sum(w * z), 6) AS score, string_agg(printf('%s%+.2f', factor, w * z), ' ' ORDER BY factor) AS reasons FROM z JOIN u USING (factor) WHERE dt = (SELECT d FROM day) AND z IS NOT NULL GROUP BY code ORDER BY sum(w * z) DESC, code LIMIT 10""")
 def live_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.panel(spark, sf_dir, "sw")
+    p = kept(B.panel(spark, sf_dir, "sw"))
     values = {"price": F.col("close"), "volume": F.col("volume"), "spread": F.col("high") - F.col("low")}
     weights = selection.weights_by_date(selection.coefficients(_tall(p), _labels(p, 3), 5).select("factor", "dt", "ic"), 52, 26, calendar=B.calendar(spark, sf_dir, "sw"))
     z = selection.tall(selection.lagged_z(p, values), {f: F.col(f) for f in values})

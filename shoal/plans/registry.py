@@ -16,6 +16,7 @@ from shoal.functions import panel as P
 from shoal.operators import factors, screen, selection, simulate, stats, tables
 from shoal.plans.dsl import compile_factors
 from shoal.sources import bars as B
+from shoal.sources.commits import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -407,7 +408,7 @@ def daily_bars_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over weekly bars: the ten best by fallen price, traded on the next date."""
-    p = compile_factors(B.panel(spark, sf_dir, "sw"), {"x": "sub(0, returns(close, 4))"})
+    p = kept(compile_factors(B.panel(spark, sf_dir, "sw"), {"x": "sub(0, returns(close, 4))"}))
     signals = selection.picks(p.select("dt", "code", F.col("x").alias("score")), 10, [], "week")
     runs = [{"run_id": f"h{h}", "top": 10, "horizon": h, "stop": -8.0, "profit": 8.0, "trail": None} for h in (4, 8)]
     return simulate.backtest(signals, p.select("dt", "code", "open", "high", "low", "close"), runs)
@@ -427,5 +428,5 @@ def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backtest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a run, against the mean close of all codes."""
     bench = B.week_bars(spark, sf_dir).groupBy("dt").agg(F.avg("close").alias("close"))
-    x = simulate.results(simulated(spark, sf_dir), bench=bench)
+    x = simulate.results(kept(simulated(spark, sf_dir)), bench=bench)
     return x.select("run_id", "start", "end", *(r6(c).alias(c) for c in ("total_return", "cagr", "max_drawdown", "sharpe", "win_rate", "avg_trade_ret", "bench_return")), "n_trades", F.to_json("equity").alias("equity_json"))

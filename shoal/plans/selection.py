@@ -10,6 +10,7 @@ from shoal.plans.dsl import compile_factors
 from shoal.plans.registry import CORR, DIM, LEAD, SM, SW, again, dim, ewm_sql, macd_sql, query, r6, srank, sroll
 from shoal.sources import bars as B
 from shoal.sources import quotes
+from shoal.sources.commits import kept
 
 _MEANS = {f"ma{n}": ('"close"', n) for n in (5, 10, 20, 60, 120)} | {"vol_ma5": ("volume", 5), "vol_ma20": ("volume", 20), "amount_ma20": ("amount", 20)}
 _CHG = '("close" / nullif(lag("close", {n}) OVER (PARTITION BY code ORDER BY dt), 0) - 1) * 100'
@@ -151,7 +152,7 @@ def snapshot_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.parse(texts).select("code", "name", r6("price").alias("price"), "amount", "volume", "pe", "total_mv")
 
 
-_EXPRS = {"fallen": "sub(0, returns(close, 4))", "high": "div(close, sma(close, 6))", "busy": "div(volume, sma(volume, 6))", "quiet": "sub(0, div(volume, sma(volume, 6)))"}
+_EXPRS = {"fallen": "sub(0, returns(close, 4))", "above": "div(close, sma(close, 6))", "busy": "div(volume, sma(volume, 6))", "quiet": "sub(0, div(volume, sma(volume, 6)))"}
 
 
 @query()
@@ -183,7 +184,7 @@ def _lagged(p: DataFrame) -> DataFrame:
 
 @query()
 def mine_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS)
+    p = kept(compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS))
     chosen = selection.forward_select(_lagged(p), _weights(p, B.calendar(spark, sf_dir, "sw")), list(_EXPRS), p.select("dt", "code", "open", "high", "low", "close"), unit="week", **_RUN)
     return spark.createDataFrame([(i + 1, f, s) for i, (f, s) in enumerate(chosen)], "place int, factor string, sharpe double")
 
@@ -191,7 +192,7 @@ def mine_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def walk_forward_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained weights, entries on the first date of each month."""
-    p = compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS)
+    p = kept(compile_factors(B.panel(spark, sf_dir, "sw"), _EXPRS))
     signals = selection.picks(selection.weighted_score(_lagged(p), _weights(p, B.calendar(spark, sf_dir, "sw"))), _RUN["top"], [], "month")
     eq = simulate.backtest(signals, p.select("dt", "code", "open", "high", "low", "close"), [{"run_id": "walk", "stuck": 0} | _RUN])
     return eq.select("run_id", "dt", F.round("eq", 2).alias("eq"), "positions", "trades")
