@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.operators import evolution, screen, selection, stats, tables
 from shoal.plans import catalogue
+from shoal.plans.dsl import compile_factors
 from shoal.plans.registry import CORR, LAB, LEAD, SM, SW, labelled, query, r6, srank
 from shoal.plans.selection import _TALL, _labels, _tall
 from shoal.sources import bars as B
@@ -69,7 +72,15 @@ def factor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recipe_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.id, s.family, s.expr) for s in catalogue.catalogue()], "factor string, category string, expr string")
+    """All recipes, and on how many cells of the panel each has a value."""
+    p, specs = kept(B.panel(spark, sf_dir, "sm")), catalogue.catalogue()
+    parts = []
+    for ids in ([s.id for s in specs[i : i + 64]] for i in range(0, len(specs), 64)):
+        exprs = {s.id: s.expr for s in specs if s.id in ids}
+        n = compile_factors(p, exprs).agg(*(F.count(f).alias(f) for f in ids))
+        parts.append(n.select(F.explode(F.create_map(*(x for f in ids for x in (F.lit(f), F.col(f))))).alias("factor", "n")))
+    known = spark.createDataFrame([(s.id, s.family, s.expr) for s in specs], "factor string, category string, expr string")
+    return known.join(reduce(DataFrame.unionByName, parts), "factor")
 
 
 @query()
