@@ -130,11 +130,11 @@ def fill_outcomes(store: Store, horizons: tuple[int, ...] = (5, 10, 20, 60), ahe
     return len(days)
 
 
-def candidates(snapshot: DataFrame, listing: DataFrame, reports: DataFrame) -> DataFrame:
+def candidates(snapshot: DataFrame, listing: DataFrame, reports: DataFrame, key: str = "code") -> DataFrame:
     """Rows of ``snapshot`` (code, price) that trade in the two main markets, not under special treatment, with the newest
-    of their ``reports`` (code, period, metrics) where they have one; by code."""
+    of their ``reports`` (code, period, metrics) where they have one; by code. ``key`` joins the three, if several rows may have one code."""
     fit = listing.filter(F.col("exchange").isin("sh", "sz") & ~F.coalesce("is_st", F.lit(False)))
-    return snapshot.filter("price > 0").join(fit, "code").join(tables.latest(reports, ["code"], "period"), "code", "left").orderBy("code")
+    return snapshot.filter("price > 0").join(fit, key).join(tables.latest(reports, [key], "period"), key, "left").orderBy("code", key)
 
 
 def missing_alert(rows: DataFrame, metrics: list[str], most: float = 0.3) -> DataFrame:

@@ -145,9 +145,10 @@ def gap_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT code, round(price, 2) AS price, round(roe, 2) AS roe FROM s LEFT JOIN r USING (k) WHERE code[1] NOT IN ('8', '4', '9') AND upper(name) NOT LIKE '%ST%' AND price > 0""")
 def hard_filter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _spot(spark, sf_dir)
-    listing = s.select("code", quotes.exchange(F.col("code")).alias("exchange"), quotes.special(F.col("name")).alias("is_st"))
-    reports = B.table(spark, sf_dir, "orders").join(s.select("k", "code"), F.col("o_custkey") == F.col("k")).select("code", F.col("o_orderkey").alias("period"), F.col("o_totalprice").alias("roe"))
-    return screen.candidates(s.select("code", "price"), listing, reports).select("code", F.round("price", 2).alias("price"), F.round("roe", 2).alias("roe"))
+    # codes are cut from the keys, so in larger tables several parts have one
+    listing = s.select("k", quotes.exchange(F.col("code")).alias("exchange"), quotes.special(F.col("name")).alias("is_st"))
+    reports = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("period"), F.col("o_totalprice").alias("roe"))
+    return screen.candidates(s.select("k", "code", "price"), listing, reports, "k").select("code", F.round("price", 2).alias("price"), F.round("roe", 2).alias("roe"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (p_size % 4 = 0 OR p_size % 5 = 0) AS missing, count(*) FILTER (p_size % 4 = 0 OR p_size % 5 = 0) / count(*) > 0.3 AS alert FROM part")
