@@ -171,6 +171,21 @@ OPERATORS: dict[str, Operator] = {
 }
 
 
+def over_dates(text: str) -> bool:
+    """Whether an expression has windows over whole dates, which one task each must hold."""
+    seen = lambda n: isinstance(n, Call) and (n.form.kind == "date" or any(map(seen, n.arguments)))
+    return seen(parse(text))
+
+
+def batches(factors: dict[str, str], most: int = 64, dated: int = 4) -> list[list[str]]:
+    """Names of ``factors`` (name -> expression) in the parts to compile together: ``most`` of those with windows over codes alone, ``dated`` of
+    those with windows over dates, so that a date's rows aren't sorted with the columns of many others."""
+    ids: dict[bool, list[str]] = {False: [], True: []}
+    for f, e in factors.items():
+        ids[over_dates(e)].append(f)
+    return [own[k : k + n] for own, n in ((ids[False], most), (ids[True], dated)) for k in range(0, len(own), n)]
+
+
 def register_operator(name: str, build, kind: str = "row") -> None:
     """Add an operator: ``build`` takes columns, and plain numbers for parameters whose name begins with n, and returns a column.
 

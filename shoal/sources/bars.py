@@ -74,6 +74,15 @@ def densify(bars: DataFrame, dates: list[date] | None = None, key: str = "code")
     return x.select(key, day.alias("dt"), *(F.when(own, F.col(c)).alias(c) for c in rest), own.alias("is_bar"))
 
 
+#: Values that one task makes of a panel's rows, about.
+CELLS = 1 << 20
+
+
+def dealt(panel: DataFrame, factors: int, rows: int) -> DataFrame:
+    """A panel of ``rows`` rows dealt by code over as many tasks as ``factors`` columns need, so that what a task sorts doesn't grow with the panel."""
+    return panel.repartition(max(-(-rows * factors // CELLS), panel.sparkSession.sparkContext.defaultParallelism), "code")
+
+
 def adjusted(bars: DataFrame, raw: DataFrame) -> DataFrame:
     """Adjusted bars, or all raw ones if there are no adjusted bars at all: never some of each.
 
