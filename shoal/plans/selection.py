@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.operators import features, research, screen, selection, simulate, stats, tables
@@ -50,8 +50,12 @@ def technical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TALL = """t AS (SELECT dt, code, 'price' AS factor, "close" AS value FROM p UNION ALL SELECT dt, code, 'volume', volume FROM p UNION ALL SELECT dt, code, 'spread', high - low FROM p)"""
 
 
+def _values() -> dict[str, Column]:
+    return {"price": F.col("close"), "volume": F.col("volume"), "spread": F.col("high") - F.col("low")}
+
+
 def _tall(p: DataFrame) -> DataFrame:
-    return selection.tall(p, {"price": F.col("close"), "volume": F.col("volume"), "spread": F.col("high") - F.col("low")})
+    return selection.tall(p, _values())
 
 
 def _labels(p: DataFrame, *horizons: int) -> DataFrame:
@@ -66,8 +70,7 @@ def _labels(p: DataFrame, *horizons: int) -> DataFrame:
  SELECT factor, h, count(*) AS n, round(avg(ic), 6) AS ic, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 6) AS icir, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)), 6) AS t_stat,
  round(avg((ic > 0)::INT), 6) AS win FROM ic GROUP BY factor, h HAVING count(*) >= 30""".replace("1 AS h", "2 AS h"))
 def analyze_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.panel(spark, sf_dir, "sm")
-    s = selection.analyze(selection.coefficients(_tall(p), _labels(p, 2, 3), 5))
+    s = selection.analyze(selection.own_coefficients(B.panel(spark, sf_dir, "sm"), _values(), {h: stats.forward_return(h) for h in (2, 3)}, 5))
     return s.select("factor", "h", "n", *(r6(c).alias(c) for c in ("ic", "icir", "t_stat", "win")))
 
 

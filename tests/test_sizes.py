@@ -25,3 +25,25 @@ def test_recipes_over_dates_go_apart_and_tasks_follow_rows(spark):
     assert all(all(d) and len(d) <= 4 or not any(d) and len(d) <= 64 for d in dated) and any(map(all, dated))
     p = spark.createDataFrame([("a", 1)], "code string, x int")
     assert [bars.dealt(p, 64, n).rdd.getNumPartitions() for n in (1 << 20, 6 << 20)] == [64, 384]
+
+
+def test_a_rank_takes_one_sort(spark):
+    rows = [(1, 2.0), (1, 2.0), (1, None), (1, -1.0), (2, None), (2, 0.0), (2, -0.0)]
+    x = spark.createDataFrame(rows, "dt int, x double").withColumn("r", panel.rank_pct(F.col("x")))
+    assert plan(x).count("Sort ") == 1
+    assert sorted(((r.dt, r.x, r.r) for r in x.collect()), key=repr) == sorted([(1, 2.0, 2.5 / 3), (1, 2.0, 2.5 / 3), (1, None, None), (1, -1.0, 1 / 3), (2, None, None), (2, 0.0, 0.75), (2, -0.0, 0.75)], key=repr)
+
+
+def test_own_coefficients_need_no_join(spark):
+    r = np.random.default_rng(3)
+    v = lambda: float(np.round(r.normal(), 1)) if r.random() > 0.1 else None
+    rows = [(datetime.date(2024, 1, d), f"c{i}", v(), v(), v(), v()) for d in (1, 2, 3) for i in range(20)]
+    p = spark.createDataFrame(rows, "dt date, code string, a double, b double, f2 double, f3 double")
+    labels = p.select("dt", "code", F.explode(F.create_map(F.lit(2), F.col("f2"), F.lit(3), F.col("f3"))).alias("h", "fwd"))
+    values = {f: F.col(f) for f in "ab"}
+    own = selection.own_coefficients(p, values, {2: F.col("f2"), 3: F.col("f3")}, 5)
+    key = lambda df: sorted((x.factor, x.h, x.dt, x.n, round(x.ic, 9)) for x in df.collect())
+    assert key(own) == key(selection.coefficients(selection.tall(p, values), labels, 5)) and len(key(own)) == 12
+    import __spark_entry__ as entry
+
+    assert "Join" not in plan(entry.queries()["analyze_factors"](spark, SF)).replace("BroadcastHashJoin", "")
