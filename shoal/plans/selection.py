@@ -161,13 +161,13 @@ _EXPRS = {"fallen": "sub(0, returns(close, 4))", "above": "div(close, sma(close,
 @query()
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors by in-sample ratio without close relatives; the later half of the dates is out of sample."""
-    p = compile_factors(B.panel(spark, sf_dir, "sm"), _EXPRS)
-    rows = selection.tall(p, {f: F.col(f) for f in _EXPRS})
+    p = compile_factors(B.panel(spark, sf_dir, "sm"), _EXPRS).select("dt", "code", stats.forward_return(3).alias("fwd"), *_EXPRS)
+    p = kept(p)  # the panel is made once, for the coefficients, the dates and the pairs
     half = p.select("dt").distinct().agg(F.percentile_approx(F.unix_date("dt"), 0.5).alias("half"))
-    ic = selection.coefficients(rows, _labels(p, 3), 5).crossJoin(F.broadcast(half)).withColumn("oos", F.unix_date("dt") > F.col("half"))
+    ic = selection.own_coefficients(p, {f: F.col(f) for f in _EXPRS}, {3: F.col("fwd")}, 5).crossJoin(F.broadcast(half)).withColumn("oos", F.unix_date("dt") > F.col("half"))
     ratio = lambda c: F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))) * 252.0**0.5
     s = ic.groupBy(F.col("factor").alias("id")).agg(F.count("*").alias("n"), ratio(F.when(~F.col("oos"), F.col("ic"))).alias("icir"), ratio(F.when(F.col("oos"), F.col("ic"))).alias("oos_icir"))
-    corr = {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in research.pair_correlations(rows).collect()}
+    corr = {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in research.wide_correlations([p.drop("fwd")]).collect()}
     chosen = stats.greedy([r.asDict() for r in s.collect()], corr, gate=0.0)
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "place int, factor string")
 

@@ -47,3 +47,13 @@ def test_own_coefficients_need_no_join(spark):
     import __spark_entry__ as entry
 
     assert "Join" not in plan(entry.queries()["analyze_factors"](spark, SF)).replace("BroadcastHashJoin", "")
+
+
+def test_greedy_select_makes_its_panel_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    seen = []
+    real = research.wide_correlations
+    monkeypatch.setattr(research, "wide_correlations", lambda tables, *a: seen.extend(map(plan, tables)) or real(tables, *a))
+    entry.queries()["greedy_select"](spark, SF).collect()
+    assert seen and not any("Aggregate" in p or "Window" in p for p in seen)
