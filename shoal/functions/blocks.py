@@ -52,12 +52,29 @@ def classes(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.flatnonzero(of == k), mask[:, first[k]]) for k in range(len(first))]
 
 
+def ranks_of(x: np.ndarray, order: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``ranks(x[rows][:, columns])`` from the order of all rows of ``x``, without sorting again; those values are known."""
+    place = np.cumsum(rows) - 1
+    out = np.empty((rows.sum(), len(columns)), order="F")
+    for k, c in enumerate(columns.tolist()):
+        o = order[:, c]
+        o = o[rows[o]]
+        s = x[o, c]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[first, len(s)])
+        out[place[o], k] = np.repeat(first + (size + 1) / 2, size)
+    return out
+
+
 def correlate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that both have, correlation of the ranks over these) of each column of ``a`` with each of ``b``; rows are the same codes.
 
-    Columns with one mask are multiplied at once; ranks are taken again only over the rows that two different masks share.
+    Columns are sorted once. Those with one mask are multiplied at once; ranks are taken again only over the rows that two different masks share.
     """
     n, out = np.zeros((a.shape[1], b.shape[1]), np.int64), np.full((a.shape[1], b.shape[1]), np.nan)
+    a, b = (np.asfortranarray(a), np.asfortranarray(b)) if a is not b else (np.asfortranarray(a),) * 2
+    order_a = np.asfortranarray(np.argsort(a, axis=0, kind="stable"))
+    order_b = order_a if a is b else np.asfortranarray(np.argsort(b, axis=0, kind="stable"))
     right = classes(~np.isnan(b))
     for mine, rows in classes(~np.isnan(a)):
         held: dict[bytes, np.ndarray] = {}
@@ -68,6 +85,6 @@ def correlate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if both.sum() > 1:
                 key = both.tobytes()
                 if key not in held:
-                    held[key] = standard(ranks(a[np.ix_(both, mine)])).T
-                out[at] = held[key] @ standard(ranks(b[np.ix_(both, other)]))
+                    held[key] = standard(ranks_of(a, order_a, mine, both)).T
+                out[at] = held[key] @ standard(ranks_of(b, order_b, other, both))
     return n, out

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.plans.dsl import Spec, compile_factors
+from shoal.plans.dsl import Spec, batches, compile_factors
+from shoal.sources.bars import dealt
 from shoal.sources.commits import kept
 
 from . import research, selection, stats, tables
@@ -87,9 +88,10 @@ def research_loop(panel: DataFrame, labels: DataFrame, specs: list[Spec], old_oo
     exprs = {s.id: s.expr for s in specs}
 
     own = kept(panel.join(labels.select("dt", "code", "fwd"), ["dt", "code"], "left"))
-    for ids in (list(exprs)[i : i + batch] for i in range(0, len(exprs), batch)):
+    rows = own.count()
+    for ids in batches(exprs, batch):
         # one table a batch, written once; the gate, the folds and the stability read the same coefficients
-        wide = kept(compile_factors(own, {f: exprs[f] for f in ids}).select("dt", "code", "fwd", *(F.col(f).cast("double").alias(f) for f in ids)))
+        wide = kept(compile_factors(dealt(own, len(ids), rows), {f: exprs[f] for f in ids}).select("dt", "code", "fwd", *(F.col(f).cast("double").alias(f) for f in ids)))
         made |= dict.fromkeys(ids, wide)
         ic = kept(research.coefficients(wide, ids, "fwd", 2, masked=True).withColumn("h", F.lit(0)))
         found = selection.gated(ic, gate, least).join(selection.fold_ratios(ic, *folds).select("factor", "oos_icir"), "factor", "left")
@@ -105,11 +107,21 @@ def research_loop(panel: DataFrame, labels: DataFrame, specs: list[Spec], old_oo
             parts[id(made[f])][1].append(f)
         return list(parts.values())
 
-    pairs = research.wide_correlations([t.select("dt", "code", *fs) for t, fs in groups(sorted(passed))])
-    corr = {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in pairs.collect()} if len(passed) > 1 else {}
-    chosen = stats.greedy(list(passed.values()), corr, gate, ceiling, top, least)
+    # the walk looks at factors by falling ratio and ends at ``top``, so pairs are worked out as far as it gets
+    corr: dict[tuple[str, str], float] = {}
+    chosen: list[str] = []
+    order = sorted((s for s in passed.values() if s["oos_icir"] is not None), key=stats.by_ratio)
+    for k in range(0, len(order), 3 * top):
+        ids = sorted({*chosen, *(s["id"] for s in order[k : k + 3 * top])})
+        pairs = research.wide_correlations([t.select("dt", "code", *fs) for t, fs in groups(ids)])
+        corr |= {(r["f1"], r["f2"]): r["corr"] or 0.0 for r in pairs.collect()} if len(ids) > 1 else {}
+        chosen = stats.greedy(order[: k + 3 * top], corr, gate, ceiling, top, least)
+        if len(chosen) == top:
+            break
+    chosen = chosen or stats.greedy(list(passed.values()), corr, gate, ceiling, top, least)
     x = spark.createDataFrame([(f, *(passed[f][c] for c in ("icir", "oos_icir", "stability"))) for f in chosen], "factor string, is_icir double, oos_icir double, stability double")
-    own = reduce(DataFrame.unionByName, (selection.tall(t.select("dt", "code", *fs), {f: F.col(f) for f in fs}) for t, fs in groups(chosen)))
+    own = reduce(DataFrame.unionByName, (selection.tall(t.select("dt", "code", "fwd", *fs), {f: F.col(f) for f in fs}, "fwd") for t, fs in groups(chosen)))
+    own = kept(selection.ranked(own))
     x = x.join(selection.turnovers(own).select("factor", "turnover"), "factor", "left").join(selection.long_shorts(own, labels, rebalance=rebalance).select("factor", "net_ir"), "factor", "left")
     x = x.withColumn("oos_is_ratio", out_of_sample_ratio(F.col("oos_icir"), F.col("is_icir")))
     x = x.withColumn("reason", stats.drop_reason(F.col("net_ir"), F.col("oos_is_ratio"), F.col("stability"))).withColumn("selected", F.col("reason").isNull())

@@ -93,12 +93,17 @@ def folds(ic: DataFrame, train: int, test: int, step: int) -> DataFrame:
     return j.groupBy("begin").agg(ratio(F.when(~F.col("oos"), F.col("ic"))).alias("is_icir"), ratio(F.when(F.col("oos"), F.col("ic"))).alias("oos_icir"))
 
 
+def by_ratio(s: dict) -> tuple[float, str]:
+    """The order of falling ratio, equal ones by name; sums of one series in two orders differ in their last digits and count as equal."""
+    return -round(s["icir"], 9), s["id"]
+
+
 def greedy(stats: list[dict], corr: dict[tuple[str, str], float], gate: float = 0.5, ceiling: float = 0.7, top: int = 20, least: int = 50) -> list[str]:
     """Factors by falling ratio, without those that correlate with one chosen before or have no ratio out of sample.
 
     If that leaves none, the best that pass the gate. A walk over collected rows, one a factor.
     """
-    passed = sorted((s for s in stats if s["n"] >= least and s["icir"] is not None and s["icir"] >= gate), key=lambda s: (-s["icir"], s["id"]))
+    passed = sorted((s for s in stats if s["n"] >= least and s["icir"] is not None and s["icir"] >= gate), key=by_ratio)
     chosen: list[str] = []
     for s in passed:
         if len(chosen) == top:

@@ -57,3 +57,15 @@ def test_greedy_select_makes_its_panel_once(spark, monkeypatch):
     monkeypatch.setattr(research, "wide_correlations", lambda tables, *a: seen.extend(map(plan, tables)) or real(tables, *a))
     entry.queries()["greedy_select"](spark, SF).collect()
     assert seen and not any("Aggregate" in p or "Window" in p for p in seen)
+
+
+def test_equal_ratios_go_by_name():
+    row = lambda i, x: {"id": i, "n": 60, "icir": x, "oos_icir": 1.0}
+    assert stats.greedy([row("b", 1.0 + 1e-13), row("a", 1.0)], {("a", "b"): 1.0}) == ["a"]
+
+
+def test_ranks_of_some_rows():
+    x = np.round(np.random.default_rng(4).normal(0, 1, (50, 3)), 1)
+    rows = np.arange(50) % 3 > 0
+    columns = np.array([2, 0])
+    np.testing.assert_array_equal(blocks.ranks_of(x, np.argsort(x, axis=0), columns, rows), blocks.ranks(x[rows][:, columns]))
