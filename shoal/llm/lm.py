@@ -149,7 +149,7 @@ class Trainer:
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
         z[np.arange(n), k] -= 1
-        chosen = rows.ravel()
+        chosen = rows.ravel().astype(np.uint16)  # a table has 2^16 rows at most, and numpy sorts short integers by their digits
         order = np.argsort(chosen, kind="stable")
         s = chosen[order]
         begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])

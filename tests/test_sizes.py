@@ -69,3 +69,9 @@ def test_ranks_of_some_rows():
     rows = np.arange(50) % 3 > 0
     columns = np.array([2, 0])
     np.testing.assert_array_equal(blocks.ranks_of(x, np.argsort(x, axis=0), columns, rows), blocks.ranks(x[rows][:, columns]))
+
+
+def test_rows_of_weights_fit_short_integers():
+    from shoal.llm import lm
+
+    assert all(rows <= 1 << 16 for rows, _ in lm.SHAPES)
