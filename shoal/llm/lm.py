@@ -39,26 +39,31 @@ PAIR_ROWS = CLASSES * CLASSES
 SHAPES = ((2 * WORD_ROWS + 2 * PAIR_ROWS, CLASSES), (2 * CELL_ROWS, CELLS))
 TABLE = 1 << 20  # numbers of blocks of rows that one table may have
 BATCH, RATE = 8192, 0.5
+PART, FEW = 1024, 16  # tokens at a time within a batch, rows of weights that are summed one by one
 LANE_BYTES, TASK_BYTES = 24 << 20, 16 << 20
 MERGE = 256  # rows of weights that are averaged together
 #: The end of a text as a word.
 END = np.uint64(0x5EED0FE2D0000001)
 Weights = tuple[np.ndarray, np.ndarray]
 _EDGE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_LOWER = LOWER.tobytes()
+#: The class of an ending, by its last byte and the one before it (0 where the word has one byte).
+_FORM = (((np.arange(256, dtype=np.uint64)[:, None] * np.uint64(257) + np.arange(256, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FORMS)).astype(np.int16)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes with an end after each text, ending classes, tokens by row)."""
     data, offs = flat(column)
-    data = LOWER[data]
+    data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
     starts, ends, counts = spans(data, offs, BLANK)
     h = span_hash(data, starts, ends)
     last = ends.copy()
+    at = np.flatnonzero(_EDGE[data[last - 1]])
     for _ in range(3):  # signs after a word don't belong to its ending
-        last -= _EDGE[data[last - 1]] & (last - 1 > starts) if len(last) else 0
-    a = data[last - 1].astype(np.uint64) if len(last) else h
-    b = np.where(last - 2 >= starts, data[np.maximum(last - 2, 0)], 0).astype(np.uint64) if len(last) else h
-    form = ((a * np.uint64(257) + b) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FORMS)
+        at = at[last[at] - 1 > starts[at]]
+        last[at] -= 1
+        at = at[_EDGE[data[last[at] - 1]]]
+    form = _FORM[data[last - 1], np.where(last - 2 >= starts, data[np.maximum(last - 2, 0)], 0)] if len(last) else np.zeros(0, np.int16)
     total = counts + 1
     at = np.cumsum(total) - 1
     out, kind = np.empty(len(h) + len(counts), np.uint64), np.zeros(len(h) + len(counts), np.int16)
@@ -79,6 +84,27 @@ def classes(h: np.ndarray, form: np.ndarray, top: np.ndarray) -> np.ndarray:
     return out
 
 
+class Places:
+    """Where words stand among sorted distinct ones: the first bits of a hash say where to begin, and few stand before it there."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.shift = keys, np.uint64(64 - max(1, len(keys).bit_length()))
+        self.begin = np.searchsorted(keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """As searchsorted gives it for words that are there; for others a place whose word is another, if there is one."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int32)
+        at = np.minimum(self.begin[(h >> self.shift).astype(np.int64)], len(self.keys) - 1)
+        rest = np.flatnonzero(self.keys[at] < h)
+        for _ in range(8):
+            at[rest] += 1
+            rest = rest[at[rest] < len(self.keys)]
+            rest = rest[self.keys[at[rest]] < h[rest]]
+        at[rest] = np.searchsorted(self.keys, h[rest])
+        return np.minimum(at, len(self.keys) - 1)
+
+
 def rows_of(h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of weights that each token's context chooses: four for its class, and two for its cell."""
     n = len(h)
@@ -117,20 +143,79 @@ def zeros() -> Weights:
     return tuple(np.zeros(s, np.float32) for s in SHAPES)
 
 
-def logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """bias: a row, or one for each token."""
-    z = w.take(rows[:, 0], axis=0)
-    for j in range(1, rows.shape[1]):
-        z += w.take(rows[:, j], axis=0)
-    z += bias
+class Logits:
+    """The sums of the weights that tokens choose, in arrays that are used again: new ones of this size would be mapped and cleared by the system each time."""
+
+    def __init__(self) -> None:
+        self.held, self.part = np.empty(BATCH * max(CLASSES, CELLS), np.float32), np.empty(PART * max(CLASSES, CELLS), np.float32)
+
+    def of(self, w: np.ndarray, bias: np.ndarray, rows: np.ndarray, kind: np.ndarray | None) -> Iterator[tuple[slice, np.ndarray]]:
+        """(tokens, their logits) in parts that the processor's cache holds, which together are ``all_of``. ``bias``: a row, or with ``kind`` one for each kind of token."""
+        for lo in range(0, len(rows), PART):
+            at = slice(lo, min(lo + PART, len(rows)))
+            z, x = (y[: (at.stop - lo) * w.shape[1]].reshape(-1, w.shape[1]) for y in (self.held[lo * w.shape[1] :], self.part))
+            w.take(rows[at, 0], axis=0, out=z, mode="clip")  # other modes copy once more
+            for j in range(1, rows.shape[1]):
+                z += w.take(rows[at, j], axis=0, out=x, mode="clip")
+            z += bias if kind is None else bias.take(kind[at], axis=0, out=x, mode="clip")
+            yield at, z
+
+    def all_of(self, n: int, width: int) -> np.ndarray:
+        return self.held[: n * width].reshape(n, width)
+
+
+def exponents(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place; gives the sums by row. ``shifted`` comes first."""
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def shifted(z: np.ndarray) -> np.ndarray:
+    """z less each row's greatest, in place, where any exponential could overflow or vanish; else z as it is, which has the same softmax."""
+    if not (z.max() < 60 and z.min() > -60):
+        z -= z.max(1, keepdims=True)
     return z
 
 
+def own_of(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of each row's k-th in z's values one after the other."""
+    return np.arange(0, z.size, z.shape[1]) + k
+
+
 def log_share(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row's k-th."""
-    own = z[np.arange(len(z)), k]
-    top = z.max(1, keepdims=True)
-    return own - top[:, 0] - np.log(np.exp(z - top).sum(1))
+    """The logarithm of the softmax of each row's k-th; z is overwritten."""
+    own = shifted(z).ravel()[own_of(z, k)].astype(float)
+    return own - np.log(exponents(z), dtype=float)
+
+
+def whole_rows(x: np.ndarray) -> np.ndarray:
+    """x with each row as one value, which numpy puts in place faster than a row of numbers."""
+    return x.view(f"V{x.itemsize * x.shape[1]}").ravel()
+
+
+def sums_by_row(z: np.ndarray, rows: np.ndarray, held: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, how often each is chosen, sums of z over the tokens that chose it) in parts, each row once; the sums lie in ``held`` and go with the next part. ``part``: another such array."""
+    chosen = rows.ravel().astype(np.uint16)  # a table has 2^16 rows at most, and numpy sorts short integers by their digits
+    order = np.argsort(chosen, kind="stable")
+    s = chosen[order]
+    token = order // rows.shape[1]
+    begin = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s))
+    size = np.diff(begin)
+    by = np.argsort((len(s) - size).astype(np.uint16), kind="stable")
+    begin, size, width = begin[by], size[by], z.shape[1]
+    for lo in range(0, len(by), PART):
+        first, left = begin[lo : lo + PART], size[lo : lo + PART]
+        g, x = (y[: len(first) * width].reshape(-1, width) for y in (held, part))
+        z.take(token[first], axis=0, out=g, mode="clip")
+        # the second token of each row that has one, then the third, and so on, as long as many rows have one: few calls
+        done, n = 1, int(np.searchsorted(-left, -1))
+        while n > FEW:
+            g[:n] += z.take(token[first[:n] + done], axis=0, out=x[:n], mode="clip")
+            done += 1
+            n = int(np.searchsorted(-left[:n], -done))
+        for r in range(n):
+            g[r] += z.take(token[first[r] + done : first[r] + left[r]], axis=0).sum(0)
+        yield s[first], left, g
 
 
 class Trainer:
@@ -140,35 +225,23 @@ class Trainer:
         self.w, self.first = tuple(x.copy() for x in w), w
         self.sum = tuple(np.full(len(x), 1e-3, np.float32) for x in w)
         self.used = tuple(np.zeros(len(x), np.float32) for x in w)
-
-    def step(self, t: int, rows: np.ndarray, k: np.ndarray, bias: np.ndarray) -> None:
-        """In the table of classes (0) or of cells (1)."""
-        n = len(k)
-        z = logits(self.w[t], bias, rows)
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), k] -= 1
-        chosen = rows.ravel().astype(np.uint16)  # a table has 2^16 rows at most, and numpy sorts short integers by their digits
-        order = np.argsort(chosen, kind="stable")
-        s = chosen[order]
-        begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        size = np.diff(np.r_[begin, n * rows.shape[1]])
-        # the gradients of a row are added in pairs, then in fours, and so on: few calls, however often it was used
-        g = z.take(order // rows.shape[1], axis=0)
-        first, left, step = begin, size, 1
-        while len(first := first[left > 1]):
-            left = left[left > 1]
-            many = left // 2
-            at = ragged(np.zeros_like(many), many) * (2 * step) + np.repeat(first, many)
-            g[at] += g.take(at + step, axis=0)
-            left, step = left - many, 2 * step
-        g = g.take(begin, axis=0)
-        own = s[begin]
-        self.used[t][own] += size
-        self.sum[t][own] += np.einsum("ij,ij->i", g, g)
-        g *= (RATE / np.sqrt(self.sum[t][own]))[:, None]
-        self.w[t][own] -= g
+        self.logits, self.sums = Logits(), np.empty(PART * max(CLASSES, CELLS), np.float32)
+
+    def step(self, t: int, rows: np.ndarray, k: np.ndarray, bias: np.ndarray, kind: np.ndarray | None = None) -> None:
+        """In the table of classes (0) or of cells (1), for ``BATCH`` tokens at most. ``bias``, ``kind``: as in ``Logits.of``."""
+        for at, z in self.logits.of(self.w[t], bias, rows, kind):
+            total = exponents(shifted(z))
+            z *= (1 / total)[:, None]
+            z.ravel()[own_of(z, k[at])] -= 1
+        w, part = whole_rows(self.w[t]), self.logits.part
+        for own, size, g in sums_by_row(self.logits.all_of(len(k), SHAPES[t][1]), rows, self.sums, part):
+            self.used[t][own] += size
+            total = self.sum[t][own] + np.einsum("ij,ij->i", g, g)
+            self.sum[t][own] = total
+            g *= (RATE / np.sqrt(total))[:, None]
+            new = self.w[t].take(own, axis=0, out=part[: g.size].reshape(g.shape), mode="clip")
+            new -= g
+            w.put(own, whole_rows(new))
 
     def learn(self, h: np.ndarray, k: np.ndarray, counts: np.ndarray, bias: np.ndarray, cell_bias: np.ndarray) -> None:
         """Steps over the tokens of some texts: all of them for the class, those of classes of many words for the cell."""
@@ -179,7 +252,7 @@ class Trainer:
         cell = cells(h)
         for lo in range(0, len(rest), BATCH):
             at = rest[lo : lo + BATCH]
-            self.step(1, cell_rows[at], cell[at], cell_bias.take(k[at], axis=0))
+            self.step(1, cell_rows[at], cell[at], cell_bias, k[at])
 
     def changed(self) -> Iterator[pa.RecordBatch]:
         """(block, used, delta): the change of each block of rows, as half floats, with how often they were used."""
@@ -220,7 +293,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def folded() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h, f, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)  # equal words have equal endings, so any order of them does
             h = h[order]
             begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             return h[begin], f[order][begin], np.add.reduceat(c[order], begin)
@@ -276,14 +349,16 @@ def fit(docs: DataFrame, top: np.ndarray, bias: np.ndarray, cell_bias: np.ndarra
 def log_word(w: Weights, bias: np.ndarray, cell_bias: np.ndarray, h: np.ndarray, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The natural logarithm of P(class | context) P(cell | class, context) of each token; a frequent word's class has no cells."""
     rows, cell_rows = rows_of(h, k, counts)
-    out = np.empty(len(h))
+    out, sums = np.empty(len(h)), Logits()
     for lo in range(0, len(k), BATCH):
-        at = slice(lo, lo + BATCH)
-        out[at] = log_share(logits(w[0], bias, rows[at]), k[at])
+        own = slice(lo, lo + BATCH)
+        for at, z in sums.of(w[0], bias, rows[own], None):
+            out[own][at] = log_share(z, k[own][at])
     rest, cell = np.flatnonzero(k >= TOP), cells(h)
     for lo in range(0, len(rest), BATCH):
-        at = rest[lo : lo + BATCH]
-        out[at] += log_share(logits(w[1], cell_bias.take(k[at], axis=0), cell_rows[at]), cell[at])
+        own = rest[lo : lo + BATCH]
+        for at, z in sums.of(w[1], cell_bias, cell_rows[own], k[own]):
+            out[own[at]] += log_share(z, cell[own[at]])
     return out
 
 
@@ -356,10 +431,11 @@ def scores(docs: DataFrame) -> DataFrame:
         keys = right.column("h").to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
         keys, held = keys[order], right.column("c").to_numpy()[order]
+        places = Places(keys)
         outs = [[], [], [], []]
         for b in slices(left.to_batches(), "text"):
             h, form, n = tokens(b.column(b.schema.get_field_index("text")))
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+            at = places.of(h)
             c = np.where(keys[at] == h, held[at], 0) if len(keys) else np.zeros(len(h), np.int64)
             k = classes(h, form, top)
             own = log_word(w, bias, cell_bias, h, k, n) / np.log(10) + np.log10(word_share(c, k, cells(h), size, types, discount))

@@ -75,3 +75,59 @@ def test_rows_of_weights_fit_short_integers():
     from shoal.llm import lm
 
     assert all(rows <= 1 << 16 for rows, _ in lm.SHAPES)
+
+
+def test_a_step_holds_no_gradients_of_all_tokens():
+    """A batch's gradients by row and token would be 8 MB; its sums are made in parts."""
+    import tracemalloc
+
+    from shoal.llm import lm
+
+    r = np.random.default_rng(3)
+    k = r.integers(0, lm.CLASSES, lm.BATCH).astype(np.int32)
+    rows = np.minimum(r.integers(0, lm.WORD_ROWS, (lm.BATCH, 4)), r.integers(0, lm.WORD_ROWS, (lm.BATCH, 4))).astype(np.int32)
+    t, bias = lm.Trainer(lm.zeros()), np.zeros(lm.CLASSES, np.float32)
+    tracemalloc.start()
+    t.step(0, rows, k, bias)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    assert t.used[0].sum() == rows.size and np.array_equal(np.flatnonzero(t.used[0]), np.unique(rows))
+
+
+def test_sums_of_rows_by_parts():
+    """Rows chosen once, by a few tokens and by most of them, over several parts, against sums one by one."""
+    from shoal.llm import lm
+
+    r = np.random.default_rng(4)
+    z = r.normal(size=(4000, lm.CELLS)).astype(np.float32)
+    rows = np.where(r.random((4000, 2)) < 0.3, 7, (r.random((4000, 2)) ** 3 * 60000).astype(int)).astype(np.int32)
+    want, times = np.zeros((1 << 16, lm.CELLS)), np.bincount(rows.ravel(), minlength=1 << 16)
+    np.add.at(want, rows.ravel(), np.repeat(z.astype(float), 2, axis=0))
+    seen = []
+    for own, size, g in lm.sums_by_row(z, rows, *(np.empty(lm.PART * lm.CELLS, np.float32) for _ in range(2))):
+        np.testing.assert_array_equal(size, times[own])
+        np.testing.assert_allclose(g, want[own], atol=1e-3)
+        seen += own.tolist()
+    assert len(seen) > 2 * lm.PART and sorted(seen) == np.unique(rows).tolist()
+
+
+def test_softmax_of_far_logits():
+    """Logits whose exponentials overflow or vanish."""
+    from shoal.llm import lm
+
+    for shift in (0, 500, -500):
+        z = np.random.default_rng(5).normal(size=(9, 64)).astype(np.float32)
+        want = z[np.arange(9), 3] - np.log(np.exp(z).sum(1))
+        np.testing.assert_allclose(lm.log_share(z + np.float32(shift), np.full(9, 3)), want, atol=1e-3)
+
+
+def test_places_of_words():
+    from shoal.llm import lm
+    from shoal.llm.text import mix
+
+    h = mix(np.arange(1, 5000, dtype=np.uint64))
+    ask = np.r_[h, np.array([0, 2**64 - 1], np.uint64)]
+    for keys in (np.unique(h[::2]), np.unique(h[:1]), np.arange(50, dtype=np.uint64)):  # the last all begin with the same bits
+        np.testing.assert_array_equal(lm.Places(keys).of(ask), np.minimum(np.searchsorted(keys, ask), len(keys) - 1))
+    assert len(lm.Places(h[:0]).of(ask)) == len(ask)
