@@ -4,6 +4,9 @@ Text becomes a tree; equal subtrees are one node, over all factors of a compilat
 window can't nest in another, so nodes are dealt to stages by window depth; each stage adds
 its columns with one projection, windows by code before windows by date. No factor looks ahead: the built-in operators have only frames
 that end at the current date, and operators that are added are refused if what they build reads later dates.
+
+Many factors of a large panel (``compile_many``) leave what has no window over dates to numpy, on some codes' dates at a time: Spark goes over each row's
+whole frame for each window, which costs some hundred times as much.
 """
 
 from __future__ import annotations
@@ -12,12 +15,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shoal.functions import panel as P
+from shoal.functions.rolling import Series, ratio
 from shoal.plans import causal
-from shoal.sources.bars import FIELDS
+from shoal.sources.bars import FIELDS, dealt
 
 #: How a word goes on after its first character.
 _GOES_ON = {"digits": "0123456789.", "name": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"}
@@ -130,11 +138,13 @@ def parse(text: str) -> Node:
 
 @dataclass(frozen=True)
 class Operator:
-    """kind: row (no window), code, date, or ewm; build(columns, numbers) -> Column; pads: fills its first argument forward in a stage before."""
+    """kind: row (no window), code, date, or ewm; build(columns, numbers) -> Column; pads: fills its first argument forward in a stage before;
+    array(series, numbers) -> matrix, the same over matrices of ``rolling``, where there is one."""
 
     kind: str
     build: object = None
     pads: bool = False
+    array: object = None
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -145,29 +155,30 @@ def _roll(agg):
     return lambda x, n: P.rolling(agg, x, int(n), P.half(int(n)))
 
 
-_MEAN, _LEAST, _MOST = Operator("code", _roll(F.avg)), Operator("code", _roll(F.min)), Operator("code", _roll(F.max))
+_MEAN = Operator("code", _roll(F.avg), array=Series.mean)
+_LEAST, _MOST = Operator("code", _roll(F.min), array=Series.min), Operator("code", _roll(F.max), array=Series.max)
 OPERATORS: dict[str, Operator] = {
     "sma": _MEAN,
     "ts_mean": _MEAN,
-    "ema": Operator("ewm"),
-    "std": Operator("code", _roll(F.stddev_samp)),
+    "ema": Operator("ewm", array=Series.ema),
+    "std": Operator("code", _roll(F.stddev_samp), array=Series.std),
     "ts_min": _LEAST,
     "min": _LEAST,
     "ts_max": _MOST,
     "max": _MOST,
-    "zscore": Operator("code", lambda x, n: F.try_divide(x - _MEAN.build(x, n), F.nullif(_roll(F.stddev_samp)(x, n), F.lit(0.0)))),
-    "ts_rank": Operator("code", lambda x, n: P.ts_rank(x, int(n), P.half(int(n)))),
-    "ref": Operator("code", lambda x, n: F.lag(x, int(n)).over(P.by_code())),
-    "returns": Operator("code", lambda x, n: F.try_divide(x, F.lag(x, int(n)).over(P.by_code())) - 1, True),
-    "corr": Operator("code", lambda a, b, n: P.corr(a, b, int(n), P.half(int(n)))),
+    "zscore": Operator("code", lambda x, n: F.try_divide(x - _MEAN.build(x, n), F.nullif(_roll(F.stddev_samp)(x, n), F.lit(0.0))), array=Series.zscore),
+    "ts_rank": Operator("code", lambda x, n: P.ts_rank(x, int(n), P.half(int(n))), array=Series.rank),
+    "ref": Operator("code", lambda x, n: F.lag(x, int(n)).over(P.by_code()), array=Series.ref),
+    "returns": Operator("code", lambda x, n: F.try_divide(x, F.lag(x, int(n)).over(P.by_code())) - 1, True, Series.returns),
+    "corr": Operator("code", lambda a, b, n: P.corr(a, b, int(n), P.half(int(n))), array=Series.corr),
     "cs_rank": Operator("date", P.rank_pct),
     "cs_zscore": Operator("date", P.zscore_by_date),
-    "add": Operator("row", lambda a, b: a + b),
-    "sub": Operator("row", lambda a, b: a - b),
-    "div": Operator("row", _ratio),
-    "abs": Operator("row", F.abs),
-    "sign": Operator("row", F.signum),
-    "log": Operator("row", lambda x: F.when(x.isNotNull(), F.ln(F.greatest(x, F.lit(1e-12))))),
+    "add": Operator("row", lambda a, b: a + b, array=lambda a, b: a.x + b.x),
+    "sub": Operator("row", lambda a, b: a - b, array=lambda a, b: a.x - b.x),
+    "div": Operator("row", _ratio, array=lambda a, b: ratio(a.x, b.x)),
+    "abs": Operator("row", F.abs, array=lambda a: np.abs(a.x)),
+    "sign": Operator("row", F.signum, array=lambda a: np.sign(a.x)),
+    "log": Operator("row", lambda x: F.when(x.isNotNull(), F.ln(F.greatest(x, F.lit(1e-12)))), array=lambda a: np.log(np.maximum(a.x, 1e-12))),
 }
 
 
@@ -200,11 +211,18 @@ def register_operator(name: str, build, kind: str = "row") -> None:
 
 def compile_factors(panel: DataFrame, factors: dict[str, str]) -> DataFrame:
     """The dense panel with a column for each factor id. Many factors go in batches of some 64, to bound the plan."""
+    return _staged(panel, _trees(panel, factors))
+
+
+def _trees(panel: DataFrame, factors: dict[str, str]) -> dict[str, Node]:
     if both := set(factors) & set(panel.columns):
         raise ValueError(f"factors named as columns: {', '.join(sorted(both))}")
+    return {f: parse(e) for f, e in factors.items()}
+
+
+def _staged(panel: DataFrame, trees: dict[str, Node]) -> DataFrame:
     names: dict[Node, str] = {}
     stages: dict[int, dict[str, list[tuple[str, Node]]]] = {}
-    trees = {f: parse(e) for f, e in factors.items()}
 
     def windowed_at(stage: int, kind: str, node: Node) -> None:
         if node not in names:
@@ -251,7 +269,105 @@ def compile_factors(panel: DataFrame, factors: dict[str, str]) -> DataFrame:
             if own := stages[k].get(kind):
                 out = out.withColumns({n: windowed(node) for n, node in own})
     out = out.withColumns({f: column(t) for f, t in trees.items()})
-    return out.select(*panel.columns, *factors)
+    return out.select(*panel.columns, *trees)
+
+
+#: Cells of a matrix of some codes' dates, about: some 20 of them stay in a core's cache.
+MATRIX = 1 << 14
+
+
+def _fields(node: Node) -> set[str]:
+    match node:
+        case Field(name):
+            return {name}
+        case Call(_, arguments):
+            return set().union(*map(_fields, arguments))
+    return set()
+
+
+def _by_arrays(node: Node) -> bool:
+    """Whether numpy can work out a node: all its operators have arrays, and only parameters of windows are numbers."""
+    return not isinstance(node, Call) or node.form.array is not None and all(map(_by_arrays, node.arguments))
+
+
+def matrices(fields: dict[str, np.ndarray], nodes: dict[str, Node]) -> dict[str, np.ndarray]:
+    """The values of ``nodes`` from matrices dates x codes of the fields; equal subtrees are worked out once."""
+    shape = next(iter(fields.values())).shape
+    made: dict[Node, Series] = {}
+
+    def series(node: Node) -> Series:
+        if node not in made:
+            match node:
+                case Number(value):
+                    x = np.full(shape, value)
+                case Field(name):
+                    x = fields[name]
+                case Filled(of):
+                    x = series(of).filled()
+                case Call(_, (first, *rest)) if node.form.kind != "row":
+                    rest = (int(k.value) if isinstance(k, Number) else series(k) for k in rest)
+                    x = node.form.array(series(Filled(first) if node.form.pads else first), *rest)
+                case Call(_, arguments):
+                    x = node.form.array(*map(series, arguments))
+            made[node] = Series(x)
+        return made[node]
+
+    return {f: series(n).x for f, n in nodes.items()}
+
+
+def compile_many(panel: DataFrame, factors: dict[str, str], rows: int, keep: tuple[str, ...] = ("dt", "code")) -> DataFrame:
+    """``keep`` and the factors of ``compile_factors``, for many factors of a panel of ``rows`` rows.
+
+    Codes are dealt over tasks by rows and factors; a task gives the matrices of some codes at a time. Windows over dates are Spark's, on what numpy gives
+    them, and so is all of an operator that was added. A code's dates must fit a task. NaN counts as missing.
+    """
+    made: dict[Node, str] = {}
+
+    def rest(node: Node) -> Node:
+        """What Spark has to do: arrays' results are fields to it."""
+        if not isinstance(node, Call):
+            return node
+        if _by_arrays(node):
+            return Field(made.setdefault(node, f"_a{len(made)}"))
+        return Call(node.operator, tuple(map(rest, node.arguments)))
+
+    trees = {f: rest(t) for f, t in _trees(panel, factors).items()}
+    nodes = {name: node for node, name in made.items()}
+    read = sorted(set().union(*map(_fields, nodes.values())))
+    passed = [c for c in panel.columns if c in {"code", "dt", *keep} | set().union(*map(_fields, trees.values()))]
+    out = panel
+    if nodes:
+        kinds = {x.name: x for x in panel.schema}
+        schema = StructType([*(kinds[c] for c in passed), *(StructField(name, DoubleType()) for name in nodes)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            code = table.column("code").combine_chunks().dictionary_encode("encode").indices
+            order = pc.sort_indices(pa.table({"code": code, "dt": table.column("dt")}), [("code", "ascending"), ("dt", "ascending")], null_placement="at_start")
+            table, code = table.take(order), code.take(order).to_numpy()
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            dates = np.diff(np.r_[first, len(code)])
+            values = {c: table.column(c).cast(pa.float64(), safe=False).to_numpy() for c in read}
+            width = max(1, MATRIX // dates.max())
+            for k in range(0, len(first), width):
+                here = slice(first[k], first[k] + dates[k : k + width].sum())
+                across = np.repeat(np.arange(len(dates[k : k + width])), dates[k : k + width])
+                at = (np.arange(here.start, here.stop) - first[k + across], across)
+                empty = np.full((dates[k : k + width].max(), across[-1] + 1), np.nan)
+                fields = {"": empty}
+                for c, x in values.items():
+                    fields[c] = empty.copy()
+                    fields[c][at] = x[here]
+                with np.errstate(all="ignore"):
+                    found = {f: x[at] for f, x in matrices(fields, nodes).items()}
+                part = table.select(passed).slice(here.start, here.stop - here.start)
+                yield from pa.table([*part.columns, *(pa.array(x, mask=np.isnan(x)) for x in found.values())], names=[*passed, *found]).combine_chunks().to_batches()
+
+        out = dealt(panel.select(*dict.fromkeys([*passed, *read])), len(nodes), rows).mapInArrow(run, schema)
+    return _staged(out, trees).select(*keep, *factors)
 
 
 @dataclass(frozen=True)

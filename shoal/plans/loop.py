@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators import evolution, screen, selection, stats, tables
 from shoal.plans import catalogue
-from shoal.plans.dsl import batches, compile_factors
+from shoal.plans.dsl import batches, compile_many
 from shoal.plans.registry import CORR, LAB, LEAD, SM, SW, labelled, query, r6, srank
 from shoal.plans.selection import _TALL, _labels, _tall
 from shoal.sources import bars as B
@@ -76,7 +76,7 @@ def recipe_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, specs = kept(B.panel(spark, sf_dir, "sm")), catalogue.catalogue()
     rows, exprs, parts = p.count(), {s.id: s.expr for s in specs}, []
     for ids in batches(exprs):
-        n = compile_factors(B.dealt(p, len(ids), rows), {f: exprs[f] for f in ids}).agg(*(F.count(f).alias(f) for f in ids))
+        n = compile_many(p, {f: exprs[f] for f in ids}, rows).agg(*(F.count(f).alias(f) for f in ids))
         parts.append(n.select(F.explode(F.create_map(*(x for f in ids for x in (F.lit(f), F.col(f))))).alias("factor", "n")))
     known = spark.createDataFrame([(s.id, s.family, s.expr) for s in specs], "factor string, category string, expr string")
     return known.join(reduce(DataFrame.unionByName, parts), "factor")
