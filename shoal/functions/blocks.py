@@ -7,19 +7,16 @@ import numpy as np
 
 def ranks(x: np.ndarray) -> np.ndarray:
     """The average rank of each value in its column, from 1; NaN where there is none."""
-    n = len(x)
-    order = np.argsort(x, axis=0, kind="stable")
-    s = np.take_along_axis(x, order, 0)
-    place = np.arange(n)[:, None]
-    new = np.ones(x.shape, bool)
-    new[1:] = s[1:] != s[:-1]
-    first = np.maximum.accumulate(np.where(new, place, 0), axis=0)
-    end = np.ones(x.shape, bool)
-    end[:-1] = new[1:]
-    last = np.minimum.accumulate(np.where(end, place, n)[::-1], axis=0)[::-1]
-    out = np.empty(x.shape)
-    np.put_along_axis(out, order, (first + last) / 2 + 1, 0)
-    return np.where(np.isnan(x), np.nan, out)
+    out = np.full(x.shape, np.nan, order="F")
+    for k in range(x.shape[1]):
+        known = np.flatnonzero(~np.isnan(x[:, k]))
+        v = x[known, k]
+        o = np.argsort(v)
+        s = v[o]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
+        size = np.diff(np.r_[first, len(s)])
+        out[known[o], k] = np.repeat(first + (size + 1) / 2, size)
+    return out
 
 
 def standard(r: np.ndarray) -> np.ndarray:
@@ -45,11 +42,10 @@ def rank_ic(x: np.ndarray, y: np.ndarray, masked: bool) -> tuple[np.ndarray, np.
 
 def classes(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(columns, rows) of the columns that share a mask."""
-    if not mask.size:
-        return []
-    _, first, of = np.unique(np.packbits(mask, axis=0), axis=1, return_index=True, return_inverse=True)
-    of = of.reshape(-1)
-    return [(np.flatnonzero(of == k), mask[:, first[k]]) for k in range(len(first))]
+    found: dict[bytes, list[int]] = {}
+    for k, own in enumerate(np.ascontiguousarray(np.packbits(mask, axis=0).T)):
+        found.setdefault(own.tobytes(), []).append(k)
+    return [(np.array(columns), mask[:, columns[0]]) for columns in found.values()] if mask.size else []
 
 
 def ranks_of(x: np.ndarray, order: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -69,16 +65,20 @@ def ranks_of(x: np.ndarray, order: np.ndarray, columns: np.ndarray, rows: np.nda
 def correlate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that both have, correlation of the ranks over these) of each column of ``a`` with each of ``b``; rows are the same codes.
 
-    Columns are sorted once. Those with one mask are multiplied at once; ranks are taken again only over the rows that two different masks share.
+    Columns are sorted once. Those with one mask are multiplied at once; ranks are taken again only over the rows that two different masks share, and of
+    the pairs of a matrix with itself, once for both orders.
     """
     n, out = np.zeros((a.shape[1], b.shape[1]), np.int64), np.full((a.shape[1], b.shape[1]), np.nan)
-    a, b = (np.asfortranarray(a), np.asfortranarray(b)) if a is not b else (np.asfortranarray(a),) * 2
-    order_a = np.asfortranarray(np.argsort(a, axis=0, kind="stable"))
-    order_b = order_a if a is b else np.asfortranarray(np.argsort(b, axis=0, kind="stable"))
-    right = classes(~np.isnan(b))
-    for mine, rows in classes(~np.isnan(a)):
+    own = a is b
+    a = np.asfortranarray(a)
+    b = a if own else np.asfortranarray(b)
+    order_a = np.asfortranarray(np.argsort(a, axis=0))
+    order_b = order_a if own else np.asfortranarray(np.argsort(b, axis=0))
+    left = classes(~np.isnan(a))
+    right = left if own else classes(~np.isnan(b))
+    for k, (mine, rows) in enumerate(left):
         held: dict[bytes, np.ndarray] = {}
-        for other, more in right:
+        for other, more in right[k if own else 0 :]:
             both = rows & more
             at = np.ix_(mine, other)
             n[at] = both.sum()
@@ -86,5 +86,7 @@ def correlate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 key = both.tobytes()
                 if key not in held:
                     held[key] = standard(ranks_of(a, order_a, mine, both)).T
-                out[at] = held[key] @ standard(ranks_of(b, order_b, other, both))
+                out[at] = held[key] @ (held[key].T if own and other is mine else standard(ranks_of(b, order_b, other, both)))
+            if own:
+                n[np.ix_(other, mine)], out[np.ix_(other, mine)] = n[at].T, out[at].T
     return n, out

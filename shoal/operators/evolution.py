@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.plans.dsl import Spec, batches, compile_factors
-from shoal.sources.bars import dealt
+from shoal.plans.dsl import Spec, batches, compile_many
 from shoal.sources.commits import kept
 
 from . import research, selection, stats, tables
@@ -91,7 +90,7 @@ def research_loop(panel: DataFrame, labels: DataFrame, specs: list[Spec], old_oo
     rows = own.count()
     for ids in batches(exprs, batch):
         # one table a batch, written once; the gate, the folds and the stability read the same coefficients
-        wide = kept(compile_factors(dealt(own, len(ids), rows), {f: exprs[f] for f in ids}).select("dt", "code", "fwd", *(F.col(f).cast("double").alias(f) for f in ids)))
+        wide = kept(compile_many(own, {f: exprs[f] for f in ids}, rows, ("dt", "code", "fwd")).select("dt", "code", "fwd", *(F.col(f).cast("double").alias(f) for f in ids)))
         made |= dict.fromkeys(ids, wide)
         ic = kept(research.coefficients(wide, ids, "fwd", 2, masked=True).withColumn("h", F.lit(0)))
         found = selection.gated(ic, gate, least).join(selection.fold_ratios(ic, *folds).select("factor", "oos_icir"), "factor", "left")
@@ -120,9 +119,10 @@ def research_loop(panel: DataFrame, labels: DataFrame, specs: list[Spec], old_oo
             break
     chosen = chosen or stats.greedy(list(passed.values()), corr, gate, ceiling, top, least)
     x = spark.createDataFrame([(f, *(passed[f][c] for c in ("icir", "oos_icir", "stability"))) for f in chosen], "factor string, is_icir double, oos_icir double, stability double")
-    own = reduce(DataFrame.unionByName, (selection.tall(t.select("dt", "code", "fwd", *fs), {f: F.col(f) for f in fs}, "fwd") for t, fs in groups(chosen)))
-    own = kept(selection.ranked(own))
-    x = x.join(selection.turnovers(own).select("factor", "turnover"), "factor", "left").join(selection.long_shorts(own, labels, rebalance=rebalance).select("factor", "net_ir"), "factor", "left")
+    ranks = [(kept(research.date_ranks(t.select("dt", "code", "fwd", *fs), fs)), fs) for t, fs in groups(chosen)]
+    turnovers = reduce(DataFrame.unionByName, (selection.wide_turnovers(t, fs) for t, fs in ranks))
+    own = reduce(DataFrame.unionByName, (selection.tall(t, {f: F.col(f) for f in fs}, "fwd").withColumnRenamed("value", "r") for t, fs in ranks))
+    x = x.join(turnovers, "factor", "left").join(selection.long_shorts(own, labels, rebalance=rebalance).select("factor", "net_ir"), "factor", "left")
     x = x.withColumn("oos_is_ratio", out_of_sample_ratio(F.col("oos_icir"), F.col("is_icir")))
     x = x.withColumn("reason", stats.drop_reason(F.col("net_ir"), F.col("oos_is_ratio"), F.col("stability"))).withColumn("selected", F.col("reason").isNull())
     all_ = Window.partitionBy()  # at most ``top`` rows

@@ -21,9 +21,10 @@ _PAIRS = "f1 string, f2 string, n long, r double"
 def _matrix(table: pa.Table, skip: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
     """The value columns of a date's rows by code: their names, and the matrix."""
     names = [c for c in table.column_names if c not in skip]
-    if not names:
-        return names, np.zeros((table.num_rows, 0))
-    return names, np.column_stack([table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names])
+    x = np.empty((table.num_rows, len(names)), order="F")
+    for k, c in enumerate(names):
+        x[:, k] = table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return names, x
 
 
 def _pairs(left: list[str], right: list[str], n: np.ndarray, r: np.ndarray) -> pa.Table:
@@ -37,8 +38,9 @@ def _pairs(left: list[str], right: list[str], n: np.ndarray, r: np.ndarray) -> p
 def wide_correlations(tables: list[DataFrame], least: int = 100) -> DataFrame:
     """(f1, f2, cells, corr) of all pairs of the factors of wide tables (dt, code, factor...), one row a date and code in each, blocks of the factors.
 
-    Ranks by date over the cells that both factors have, a correlation by date, its mean over dates; zero for pairs with fewer than ``least`` cells. Each pair
-    of tables meets by date, one date's matrices in a task, and gives out pairs and not cells.
+    Ranks by date over the cells that both factors have, a correlation by date, its mean over dates; zero for pairs with fewer than ``least`` cells. Tables of no
+    more than two blocks in all make one matrix a date, so that each factor is sorted once; of more, each pair of tables meets by date. A task has one date's
+    matrices, and gives out pairs and not cells.
     """
 
     def meet(a: DataFrame, b: DataFrame | None) -> DataFrame:
@@ -57,8 +59,27 @@ def wide_correlations(tables: list[DataFrame], least: int = 100) -> DataFrame:
             return a.groupBy("dt").applyInArrow(inside, _PAIRS)
         return a.groupBy("dt").cogroup(b.groupBy("dt")).applyInArrow(across, _PAIRS)
 
-    parts = [meet(a, None if i == j else b) for i, a in enumerate(tables) for j, b in enumerate(tables) if i <= j]
-    days = reduce(DataFrame.unionByName, parts)
+    of = [[c for c in t.columns if c not in ("dt", "code")] for t in tables]
+    names = [c for own in of for c in own]
+
+    def together(table: pa.Table) -> pa.Table:
+        """All tables' rows of a date, of which ``part`` is the table and ``x`` the values in it."""
+        code = table.column("code").combine_chunks().dictionary_encode("encode")
+        row, part = code.indices.to_numpy(), table.column("part").to_numpy()
+        x, at = np.full((row.max() + 1, len(names)), np.nan, order="F"), 0
+        for k, own in enumerate(of):
+            mine = np.flatnonzero(part == k)
+            held = table.column("x").take(pa.array(mine)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            x[row[mine], at : at + len(own)] = held.reshape(len(mine), len(own))
+            at += len(own)
+        return _pairs(names, names, *blocks.correlate(x, x))
+
+    if len(tables) > 1 and len(names) <= 2 * BLOCK:
+        rows = [t.select("dt", "code", F.lit(k).alias("part"), F.array(*(F.col(c).cast("double") for c in own)).alias("x")) for k, (t, own) in enumerate(zip(tables, of, strict=True))]
+        days = reduce(DataFrame.unionByName, rows).groupBy("dt").applyInArrow(together, _PAIRS)
+    else:
+        parts = [meet(a, None if i == j else b) for i, a in enumerate(tables) for j, b in enumerate(tables) if i <= j]
+        days = reduce(DataFrame.unionByName, parts)
     out = days.groupBy("f1", "f2").agg(F.sum("n").alias("cells"), F.avg("r").alias("r"))
     return out.select("f1", "f2", "cells", F.when(F.col("cells") < least, 0.0).otherwise(F.col("r")).alias("corr"))
 
@@ -82,7 +103,20 @@ def coefficients(wide: DataFrame, factors: list[str], label: str = "fwd", least:
         keep = np.flatnonzero((n >= least) & ~np.isnan(ic))
         return pa.table({"factor": pa.array([names[k] for k in keep], pa.string()), "dt": pa.array([table.column("dt")[0].as_py()] * len(keep), pa.date32()), "n": pa.array(n[keep]), "ic": pa.array(ic[keep])})
 
-    return wide.select("dt", "code", label, *factors).groupBy("dt").applyInArrow(run, "factor string, dt date, n long, ic double")
+    return wide.select("dt", label, *factors).groupBy("dt").applyInArrow(run, "factor string, dt date, n long, ic double")
+
+
+def date_ranks(wide: DataFrame, factors: list[str]) -> DataFrame:
+    """A wide table with each factor's values as ranks among the date's values, over their number (``panel.rank_pct``): all of a date's in one matrix."""
+    passed = [c for c in wide.columns if c not in factors]
+
+    def run(table: pa.Table) -> pa.Table:
+        names, x = _matrix(table, tuple(passed))
+        r = blocks.ranks(x) / np.maximum((~np.isnan(x)).sum(0), 1)
+        return pa.table([*(table.column(c) for c in passed), *(pa.array(r[:, k], mask=np.isnan(r[:, k])) for k in range(len(names)))], names=[*passed, *names])
+
+    x = wide.select(*passed, *(F.col(f).cast("double").alias(f) for f in factors))
+    return x.groupBy("dt").applyInArrow(run, x.schema)
 
 
 def stability(series: DataFrame, key: str, value: str, window: int = 252, floor: float = 0.0, per_year: float = 252.0) -> DataFrame:

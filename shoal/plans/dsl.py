@@ -335,7 +335,7 @@ def compile_many(panel: DataFrame, factors: dict[str, str], rows: int, keep: tup
     nodes = {name: node for node, name in made.items()}
     read = sorted(set().union(*map(_fields, nodes.values())))
     passed = [c for c in panel.columns if c in {"code", "dt", *keep} | set().union(*map(_fields, trees.values()))]
-    out = panel
+    out, most = panel, MATRIX
     if nodes:
         kinds = {x.name: x for x in panel.schema}
         schema = StructType([*(kinds[c] for c in passed), *(StructField(name, DoubleType()) for name in nodes)])
@@ -351,7 +351,7 @@ def compile_many(panel: DataFrame, factors: dict[str, str], rows: int, keep: tup
             first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             dates = np.diff(np.r_[first, len(code)])
             values = {c: table.column(c).cast(pa.float64(), safe=False).to_numpy() for c in read}
-            width = max(1, MATRIX // dates.max())
+            width = max(1, most // dates.max())
             for k in range(0, len(first), width):
                 here = slice(first[k], first[k] + dates[k : k + width].sum())
                 across = np.repeat(np.arange(len(dates[k : k + width])), dates[k : k + width])

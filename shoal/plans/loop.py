@@ -85,7 +85,7 @@ def recipe_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def research_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loop over the whole catalogue, with folds and windows as long as the tables allow."""
-    p = B.panel(spark, sf_dir, "sm")
+    p = kept(B.panel(spark, sf_dir, "sm"))
     specs = catalogue.catalogue()
     x = evolution.research_loop(p, _labels(p, 3), specs, gate=0.0, least=30, folds=(24, 12, 12), window=24)
     return x.select("factor", *(r6(c).alias(c) for c in ("is_icir", "oos_icir", "oos_is_ratio", "stability", "turnover", "net_ir", "new_oos")), "reason", "selected", "verdict")

@@ -67,3 +67,42 @@ def test_the_catalogue_has_no_windows_over_codes(spark):
     assert "windowspecdefinition(dt" in plan and "windowspecdefinition(code" not in plan
     n = {r.factor: r.n for r in x.filter(F.col("factor").isin("change_close__k5", "ranked_close__k5")).collect()}
     assert n["change_close__k5"] == n["ranked_close__k5"] > 0
+
+
+def test_ranks_and_turnover_of_wide_tables(spark, odd):
+    from shoal.operators import research, selection
+
+    x = odd.filter("code is not null").withColumn("fwd", F.col("open"))
+    fs = ["close", "volume"]
+    r = research.date_ranks(x.select("dt", "code", "fwd", *fs), fs).cache()
+    tall = selection.ranked(selection.tall(x, {f: F.col(f) for f in fs}))
+    want = {(k.factor, k.dt, k.code): k.r for k in tall.collect()}
+    got = {(k.factor, k.dt, k.code): k.value for k in selection.tall(r, {f: F.col(f) for f in fs}).collect()}
+    assert got == want and len(got) > 500
+    want = {k.factor: k.turnover for k in selection.turnovers(tall).collect()}
+    assert {k.factor: k.turnover for k in selection.wide_turnovers(r, fs).collect()} == pytest.approx(want)
+
+
+def test_tables_of_two_blocks_make_one_matrix_a_date(spark, odd, monkeypatch):
+    from shoal.operators import research
+
+    x = odd.filter("code is not null").withColumn("copy", F.col("close"))
+    tables = [x.select("dt", "code", "open", "close"), x.select("dt", "code", "volume").filter("code <> 'c3'"), x.select("dt", "code", "high", "copy")]
+    go = lambda: {(r.f1, r.f2): (r.cells, r["corr"]) for r in research.wide_correlations(tables, 20).collect()}
+    one = go()
+    assert "CoGroups" not in research.wide_correlations(tables)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(research, "BLOCK", 2)
+    parts = go()
+    assert one.keys() == parts.keys() and len(one) == 10 and one["close", "copy"][1] == pytest.approx(1)
+    assert all(one[k][0] == parts[k][0] and one[k][1] == (None if parts[k][1] is None else pytest.approx(parts[k][1])) for k in one)
+
+
+def test_the_loop_takes_no_windows_over_codes_for_its_factors(spark, odd, monkeypatch):
+    from shoal.operators import evolution
+
+    plans, real = [], evolution.kept
+    monkeypatch.setattr(evolution, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    p = odd.filter("code is not null")
+    evolution.research_loop(p, p.select("dt", "code", F.lit(1).alias("h"), F.col("amount").alias("fwd")), [dsl.Spec("a", "x", "ema(sma(close, 5), 3)")], gate=-99.0, least=2).collect()
+    made = [x for x in plans if "MapInArrow" in x]
+    assert made and not any("Window" in x for x in made)
